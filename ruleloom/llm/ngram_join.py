@@ -13,8 +13,10 @@ last, by rising count; all others by hash) and shows only a prefix of it:
 ``boundary`` minimises the number of keys written plus lists scanned, from the
 size histogram and the mean list length of this very corpus.  Both prefixes are
 lossless, so every link is found.  Lists of at most ``COLD`` members become
-candidate pairs; longer lists are cut into blocks of bounded bytes that are
-compared block by block.  All candidates are verified on whole shingle sets.
+candidate pairs; longer lists are cut into blocks of bounded size that are
+compared block by block.  A 1024-bit parity of each set gives a lower bound of the
+difference of two sets, which drops most candidates that are no links; the rest
+are verified on whole shingle sets.
 
 The heavy list has at most ``HEAVY_MOST`` entries (1 MB) whatever the input, and
 any list gives the same result: it only moves frequent shingles out of prefixes.
@@ -33,13 +35,13 @@ from pyspark.sql.window import Window
 
 from ruleloom.llm import scratch
 from ruleloom.llm.components import connected_components
-from ruleloom.llm.shingles import WordHashes, mix, shingle_set
+from ruleloom.llm.shingles import mix, shingle_sets
 
 HEAVY_MOST = 1 << 17
 HEAVY_FROM = 64
-COLD = 16
-BLOCK_SHINGLES = 1 << 16
-BLOCK_LEAST = 128
+COLD = 64
+BLOCK = 512
+PARITY_BITS = 1024
 BITMAP_BITS = 1 << 24
 VERIFY_COST = 4.0
 SMALL_MOST = 256
@@ -78,11 +80,20 @@ def choose_boundary(histogram: dict[int, int], list_length: float, percent: int)
     return best
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits: whether an odd number of the set's shingles falls on each.
+
+    Two sets whose parities differ in d bits differ in at least d shingles.
+    """
+    odd = (np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _counts(width: int):
     """Per partition: shingles seen often, list-length moments and the size histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sizes, moments = WordHashes(), {}, [0, 0]
+        sizes, moments = {}, [0, 0]
         kept, times, buffer, held = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
 
         def fold(kept, times, buffer):
@@ -99,8 +110,7 @@ def _counts(width: int):
             return values, total
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, width, words)
+            for s in shingle_sets(batch.column(0).to_pylist(), width):
                 if len(s):
                     sizes[min(len(s), SMALL_MOST + 1)] = sizes.get(min(len(s), SMALL_MOST + 1), 0) + 1
                     buffer.append(s)
@@ -147,26 +157,27 @@ def _keys(width: int, percent: int, boundary: int, heavy: np.ndarray, rank: np.n
         return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
-            sizes, ids, keys, none = [], [], [], np.empty(0, np.uint64)
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width, words)
+            sizes, ids, keys, marks, none = [], [], [], [], np.empty(0, np.uint64)
+            for s in shingle_sets(batch.column(1).to_pylist(), width):
                 cid = xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None
                 sizes.append(len(s))
                 ids.append(cid - (1 << 64) if cid is not None and cid >> 63 else cid)
                 if cid is None or cid in seen:
                     keys.append(none)
+                    marks.append(None)
                 else:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(cid)
                     keys.append(keys_of(s))
+                    marks.append(parity(s))
             offsets = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(k) for k in keys], out=offsets[1:])
             flat = np.concatenate(keys) if keys else none
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists], ["doc_id", "n", "cid", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists, pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "n", "cid", "keys", "parity"])
 
     return run
 
@@ -175,11 +186,9 @@ def _sets(width: int):
     """Class id and whole shingle set of every row that comes in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             ids, sets = [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, width, words)
+            for s in shingle_sets(batch.column(0).to_pylist(), width):
                 if len(s):
                     cid = xxhash.xxh3_64_intdigest(s.tobytes())
                     ids.append(cid - (1 << 64) if cid >> 63 else cid)
@@ -192,35 +201,32 @@ def _sets(width: int):
     return run
 
 
-def _block_links(percent: int):
-    """Links between the classes of one block, or of two; both are bounded in bytes."""
+def _block_pairs(percent: int):
+    """Pairs of one block, or of two, that their parities allow; each under the least long list they share."""
 
     def run(table: pa.Table) -> pa.Table:
-        first, second, ids = table["first"][0].as_py(), table["second"][0].as_py(), table["cid"].to_numpy()
-        block = table["block"].to_numpy()
-        sets = [np.asarray(x.values) for x in table["shingles"]]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        _, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
-        common = count > 1
-        column = np.cumsum(common) - 1
-        held = common[code]
-        column, owner = column[code[held]], owner[held]
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
+        key, first, second = table["key"][0].as_py(), table["first"][0].as_py(), table["second"][0].as_py()
+        block, ids, sizes = table["block"].to_numpy(), table["cid"].to_numpy(), table["n"].to_numpy()
+        marks = np.stack([np.asarray(x.values) for x in table["parity"]]).view(np.uint64)
+        lists = table["keys"]
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        overlap, width = np.zeros((len(left), len(right)), np.int64), 2048
-        for start in range(0, int(common.sum()), width):
-            a, b = np.searchsorted(column, [start, start + width])
-            m = np.zeros((len(sets), width), np.float32)
-            m[owner[a:b], column[a:b] - start] = 1
-            overlap += np.rint(m[left] @ m[right].T).astype(np.int64)
-        union = sizes[left][:, None] + sizes[right][None, :] - overlap
-        i, j = np.nonzero(100 * overlap >= percent * union)
-        x, y = ids[left[i]], ids[right[j]]
-        ok = x < y if first == second else x != y
-        x, y = x[ok], y[ok]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        apart = np.zeros((len(left), len(right)), np.int64)
+        for w in range(marks.shape[1]):
+            apart += np.bitwise_count(marks[left, w][:, None] ^ marks[right, w][None, :])
+        total = sizes[left][:, None] + sizes[right][None, :]
+        i, j = np.nonzero((100 + percent) * apart <= (100 - percent) * total)
+        i, j = left[i], right[j]
+        ok = ids[i] < ids[j] if first == second else ids[i] != ids[j]
+        sets: dict[int, set] = {}
+        a, b = [], []
+        for x, y in zip(i[ok], j[ok]):
+            for z in (x, y):
+                if z not in sets:
+                    sets[z] = set(lists[int(z)].as_py())
+            if min(sets[x] & sets[y]) == key:
+                a.append(min(ids[x], ids[y]))
+                b.append(max(ids[x], ids[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -253,7 +259,7 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     length = moment.get(1, 0) / max(1, moment.get(0, 0))
     boundary = choose_boundary({r.value: r.n for r in stats if r.kind == 2}, length, percent)
 
-    keyed = scratch.cut(own.mapInArrow(_keys(width, percent, boundary, heavy[by_hash], by_hash.astype(np.int64)), "doc_id long, n long, cid long, keys array<long>"), "keys")
+    keyed = scratch.cut(own.mapInArrow(_keys(width, percent, boundary, heavy[by_hash], by_hash.astype(np.int64)), "doc_id long, n long, cid long, keys array<long>, parity array<long>"), "keys")
     docs_out = keyed.select("doc_id", "n", "cid")
 
     entries = keyed.select("cid", "n", F.explode("keys").alias("k")).select(F.expr("shiftright(k, 2)").alias("key"), F.expr("cast(k & 3 as int)").alias("role"), "cid", "n")
@@ -264,33 +270,37 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     x, y = entries.where(F.col("members") <= COLD).alias("x"), entries.where(F.col("members") <= COLD).alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
     fits = (100 * F.col("x.n") >= percent * F.col("y.n")) & (((F.col("x.role") == 2) & (F.col("y.role") == 2)) | ((F.col("x.role") == 1) & (F.col("y.role") < 2) & (F.col("y.n") > boundary)))
-    pairs = x.join(y, "key").where(smaller & fits).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).where("a < b").distinct()
-    pairs = scratch.cut(pairs, "pairs")
+    pairs = x.join(y, "key").where(smaller & fits).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")).where("a < b").distinct()
 
-    hot = entries.where(F.col("members") > COLD).select("key", "cid", "n").distinct()
-    by_size = Window.partitionBy("key").orderBy("n", "cid").rowsBetween(Window.unboundedPreceding, -1)
-    hot = hot.withColumn("block", F.expr("cast(0 as long)") + F.floor(F.coalesce(F.sum(F.greatest(F.col("n"), F.lit(BLOCK_LEAST))).over(by_size), F.lit(0)) / BLOCK_SHINGLES))
-    hot = scratch.cut(hot, "blocks")
+    sketch = keyed.where("parity is not null").select("cid", "parity").dropDuplicates(["cid"])
+    one, two = sketch.select(F.col("cid").alias("a"), F.col("parity").alias("pa")), sketch.select(F.col("cid").alias("b"), F.col("parity").alias("pb"))
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    pairs = pairs.join(one, "a").join(two, "b").where((100 + percent) * apart <= (100 - percent) * F.col("total")).select("a", "b")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(hot.select("cid")).distinct()
+    hot = entries.where(F.col("members") > COLD).select("key", "cid", "n").distinct()
+    by_size = Window.partitionBy("key").orderBy("n", "cid")
+    hot = scratch.cut(hot.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)), "blocks")
+    span = hot.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    p, q = span.alias("p"), span.alias("q")
+    tasks = p.join(q, "key").where((F.col("p.block") <= F.col("q.block")) & (100 * F.col("p.high") >= percent * F.col("q.low")))
+    tasks = tasks.select("key", F.col("p.block").alias("first"), F.col("q.block").alias("second"))
+    tasks = tasks.select("key", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
+    # of a class at most as many lists as its prefix is long
+    member = hot.groupBy("cid").agg(F.collect_list("key").alias("keys")).join(sketch, "cid")
+    sent = tasks.join(hot, ["key", "block"]).join(member, "cid")
+    hot_pairs = sent.groupBy("key", "first", "second").applyInArrow(_block_pairs(percent), "a long, b long")
+    pairs = scratch.cut(pairs.union(hot_pairs).distinct(), "pairs")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     firsts = docs_out.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     ids = firsts.join(wanted, "cid", "left_semi").select("doc_id")
     sets = _with_bit(own, ids, "doc_id").select("text").mapInArrow(_sets(width), "cid long, shingles array<long>")
     sets = scratch.cut(sets.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     overlap = F.size(F.array_intersect("sa", "sb"))
-    cold_links = pairs.join(left, "a").join(right, "b").select("a", "b", overlap.alias("o"), (F.size("sa") + F.size("sb")).alias("t")).where(F.expr(f"100 * o >= {percent} * (t - o)")).select("a", "b")
-
-    span = hot.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    p, q = span.alias("p"), span.alias("q")
-    tasks = p.join(q, "key").where((F.col("p.block") <= F.col("q.block")) & (100 * F.col("p.high") >= percent * F.col("q.low")))
-    tasks = tasks.select("key", F.col("p.block").alias("first"), F.col("q.block").alias("second"))
-    sent = tasks.select("key", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block")).join(hot.select("key", "block", "cid"), ["key", "block"]).join(sets, "cid")
-    hot_links = sent.groupBy("key", "first", "second").applyInArrow(_block_links(percent), "a long, b long")
-
-    return docs_out, scratch.cut(cold_links.union(hot_links).distinct(), "links")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", overlap.alias("o"), (F.size("sa") + F.size("sb")).alias("t")).where(F.expr(f"100 * o >= {percent} * (t - o)")).select("a", "b")
+    return docs_out, scratch.cut(links, "links")
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:

@@ -7,6 +7,7 @@ Only where the session names no folder (tests on one machine) a private one is m
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{root(spark)}/ruleloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the driver forgets what was shuffled for this table, and executors delete it
     return spark.read.schema(df.schema).parquet(path)
 
 

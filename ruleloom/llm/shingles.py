@@ -1,26 +1,21 @@
-"""Word shingles as 64-bit hashes, computed in Arrow batches.
+"""Word shingles as 64-bit hashes, computed for many texts at once in numpy.
 
-A word is a run of ``[^\\x20\\x09-\\x0D]``; only A-Z are lower-cased.  Both come
-free from ``bytes.lower`` and ``bytes.split``, which know ASCII alone.  Two
-different shingles share a hash with probability 2**-64.
+A word is a run of ``[^\\x20\\x09-\\x0D]``; only A-Z are lower-cased.  A word's
+hash is a polynomial of its bytes modulo 2**64, a shingle's hash mixes those of
+its words, so two different shingles share a hash with probability about 2**-64.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import xxhash
-
-WORD_CACHE = 300_000
+from collections.abc import Iterator
 
+import numpy as np
 
-class WordHashes(dict):
-    """Memo of word hashes with a bounded number of entries."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+GROUP_BYTES = 1_000_000
+STEP = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x2545F4914F6CDD1D
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,17 +27,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles; a shorter text is one shingle; no words, none."""
-    if not text:
-        return np.empty(0, np.uint64)
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    step = np.uint64(0x9E3779B97F4A7C15)
-    k = min(width, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        out = mix(out * step + h[j : len(h) - k + 1 + j])
-    return np.unique(out)
+def _powers(first: int, base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % (1 << 64), np.uint64)
+    out[0] = first
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_LOW = _powers(1, BASE, 1 << 16)
+_HIGH = _powers(1, pow(BASE, 1 << 16, 1 << 64), 1 << 12)
+
+
+def _power(k: np.ndarray) -> np.ndarray:
+    if len(k) and k.max() >= 1 << 16:
+        return _LOW[k & 0xFFFF] * _HIGH[(k >> 16) & 0xFFF]
+    return _LOW[k]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the offsets at which each text's begin."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = SPACE[data]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+    offsets = np.searchsorted(starts, begin)
+    if not len(starts):
+        return np.empty(0, np.uint64), offsets
+    spread = np.diff(starts, append=len(data))
+    k = np.arange(starts[0], len(data)) - np.repeat(starts, spread)
+    value = (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * _power(k)
+    value[space[starts[0] :]] = 0
+    return mix(np.add.reduceat(value, starts - starts[0])), offsets
+
+
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its ``width``-word shingles.
+
+    A shorter text is one shingle, one without words has none.
+    """
+    step = mix(np.array([width], np.uint64))[0]
+    group: list[bytes] = []
+    held = 0
+    for i, text in enumerate(texts):
+        group.append(text.encode("utf-8", "surrogatepass").lower() if text else b"")
+        held += len(group[-1])
+        if held < GROUP_BYTES and i + 1 < len(texts):
+            continue
+        words, at = word_hashes(group)
+        n = len(words) - width + 1
+        if n > 0:
+            rolled = np.full(n, step, np.uint64)
+            for j in range(width):
+                rolled = mix(rolled * STEP + words[j : j + n])
+        for a, b in zip(at[:-1], at[1:]):
+            if b - a >= width:
+                yield np.unique(rolled[a : b - width + 1])
+            elif b > a:
+                one = np.array([b - a], np.uint64)
+                for j in range(a, b):
+                    one = mix(one * STEP + words[j : j + 1])
+                yield one
+            else:
+                yield np.empty(0, np.uint64)
+        group, held = [], 0
