@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ruleloom.llm import queries_native, queries_near, queries_text
+from ruleloom.llm import queries_models, queries_native, queries_near, queries_text
 
 
 def queries():
     found = {}
-    for module in (queries_near, queries_native, queries_text):
+    for module in (queries_near, queries_native, queries_text, queries_models):
         found |= {name: f for name, f in vars(module).items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
