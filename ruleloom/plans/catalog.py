@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ruleloom.plans.registry import QUERIES, SQL
+
+MODULES = ("q_indicators",)
+for _m in MODULES:
+    importlib.import_module(f"ruleloom.plans.{_m}")
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["k22_build_features"](spark, sf_dir)
