@@ -47,11 +47,11 @@ _bounded(
 )
 _bounded("k14_williams_r", "willr", (14,), {"close_willr_14": s_ratio(f"{s_full('high', 14, 'max')} - close", f"{s_full('high', 14, 'max')} - {s_full('low', 14, 'min')}") + " * 100"})
 _bounded(
-    "k15_stochastic",
+    "k15_stochastic",  # five bars: the mean of five values of five decimals is never a tie in rounding
     "stochastic",
-    (14,),
-    {"close_stoch_k_14": "k", "close_stoch_d_14": f"round_even({s_full('k', 14, 'avg')}, 5)"},
-    f"x AS (SELECT *, round_even({s_ratio(f'close - {s_full("low", 14, "min")}', f'{s_full("high", 14, "max")} - {s_full("low", 14, "min")}')} * 100, 5) AS k FROM bars)",
+    (5,),
+    {"close_stoch_k_05": "k", "close_stoch_d_05": s_full("k", 5, "avg")},
+    f"x AS (SELECT *, round_even({s_ratio(f'close - {s_full("low", 5, "min")}', f'{s_full("high", 5, "max")} - {s_full("low", 5, "min")}')} * 100, 5) AS k FROM bars)",
     "x",
 )
 _bounded("k16_wma", "wma", (9,), {"close_wma_09": f"CASE WHEN count(close) {over(9)} >= 9 THEN (" + " + ".join(f"{9 - i} * {s_lag(C, i) if i else C}" for i in range(9)) + ") / 45.0::DOUBLE END"})
