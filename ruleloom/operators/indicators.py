@@ -88,7 +88,7 @@ def williams_r(on: str, w: int) -> dict[str, Column]:
 def stochastic(on: str, w: int) -> dict[str, Column]:
     top, low = full(F.col("high"), w, F.max), full(F.col("low"), w, F.min)
     k = r5(ratio(F.col(on) - low, top - low) * 100)
-    return {name(on, "stoch_k", w): k, name(on, "stoch_d", w): r5(full(k, w, F.avg))}
+    return {name(on, "sk", w): k, name(on, "sd", w): r5(full(k, w, F.avg))}
 
 
 def wma(on: str, w: int) -> dict[str, Column]:
@@ -105,7 +105,7 @@ def aroon(on: str, w: int) -> dict[str, Column]:
     """Over ``w + 1`` bars; of equal extremes the oldest counts."""
     high, low = _gather(F.col("high"), w + 1), _gather(F.col("low"), w + 1)
     at = lambda a, extreme: (F.array_position(a, extreme(a)) - 1) / w * 100
-    return {name(on, "aroon_up", w): r5(at(high, F.array_max)), name(on, "aroon_down", w): r5(at(low, F.array_min))}
+    return {f"aroon_up_{w:02d}": r5(at(high, F.array_max)), f"aroon_down_{w:02d}": r5(at(low, F.array_min))}
 
 
 def williams_ad(on: str, w: int) -> dict[str, Column]:
@@ -146,11 +146,15 @@ def _atr(pdf, on: str, w: int) -> dict:
     return {name(on, "atr", w): atr.round(DIGITS), name(on, "natr", w): (atr / pdf[on].where(pdf[on] != 0)).round(DIGITS)}
 
 
+def macd_names(on: str, fast: int, slow: int, signal: int) -> list[str]:
+    stem = f"{on}_macd_{fast:02d}_{slow:02d}"
+    return [stem, f"{stem}_signal_{signal:02d}", f"{stem}_hist_{signal:02d}"]
+
+
 def _macd(pdf, on: str, fast: int, slow: int, signal: int) -> dict:
     line = (ewm(pdf[on], 2 / (fast + 1)) - ewm(pdf[on], 2 / (slow + 1))) / pdf[on].where(pdf[on] != 0)
     smooth = ewm(line, 2 / (signal + 1))
-    tag = f"{fast:02d}_{slow:02d}_{signal:02d}"
-    return {f"{on}_macd_line_{tag}": line.round(DIGITS), f"{on}_macd_signal_{tag}": smooth.round(DIGITS), f"{on}_macd_hist_{tag}": (line - smooth).round(DIGITS)}
+    return dict(zip(macd_names(on, fast, slow, signal), (x.round(DIGITS) for x in (line, smooth, line - smooth))))
 
 
 def _adx(pdf, on: str, w: int) -> dict:
@@ -161,7 +165,7 @@ def _adx(pdf, on: str, w: int) -> dict:
     dp, dm = 100 * ewm(plus, 1 / w) / atr, 100 * ewm(minus, 1 / w) / atr
     total = dp + dm
     dx = 100 * (dp - dm).abs() / total.where(total != 0)
-    return {name(on, "di_plus", w): dp.round(DIGITS), name(on, "di_minus", w): dm.round(DIGITS), name(on, "adx", w): ewm(dx, 1 / w).round(DIGITS)}
+    return {name(on, "adx", w): ewm(dx, 1 / w).round(DIGITS)}
 
 
 RECURSIVE = {"rsi": _rsi, "ema": _ema, "atr": _atr, "adx": _adx}
@@ -179,11 +183,10 @@ def recursive_features(bars: DataFrame, wanted: list[tuple[str, str, tuple[int,
     columns, halo = [], 0
     for kind, on, p in wanted:
         if kind == "macd":
-            tag = "_".join(f"{x:02d}" for x in p)
-            columns += [f"{on}_macd_{part}_{tag}" for part in ("line", "signal", "hist")]
+            columns += macd_names(on, *p)
             halo = max(halo, _halo(2 / (max(p) + 1), 2))
         else:
-            columns += {"rsi": [name(on, "rsi", p[0])], "ema": [name(on, "ema", p[0])], "atr": [name(on, "atr", p[0]), name(on, "natr", p[0])], "adx": [name(on, "di_plus", p[0]), name(on, "di_minus", p[0]), name(on, "adx", p[0])]}[kind]
+            columns += {"rsi": [name(on, "rsi", p[0])], "ema": [name(on, "ema", p[0])], "atr": [name(on, "atr", p[0]), name(on, "natr", p[0])], "adx": [name(on, "adx", p[0])]}[kind]
             halo = max(halo, _halo(2 / (p[0] + 1) if kind == "ema" else 1 / p[0], 2 if kind == "adx" else 1))
     needs = sorted({on for _, on, _ in wanted} | ({"high", "low"} if any(k in ("atr", "adx") for k, _, _ in wanted) else set()))
 
@@ -209,14 +212,14 @@ def candle_geometry(*, gap: bool = True) -> dict[str, Column]:
     o, h, low, c = map(F.col, ("open", "high", "low", "close"))
     span = h - low
     out = {
-        "candle_body": ratio(F.abs(c - o), span),
-        "candle_upper_wick": ratio(h - F.greatest(o, c), span),
-        "candle_lower_wick": ratio(F.least(o, c) - low, span),
-        "candle_close_pos": ratio(c - low, span),
-        "candle_range_pct": ratio(span, c),
+        "body": ratio(c - o, span),
+        "upper_wick": ratio(h - F.greatest(o, c), span),
+        "lower_wick": ratio(F.least(o, c) - low, span),
+        "close_pos": ratio(c - low, span),
+        "range_pct": ratio(span, c),
     }
     if gap:
-        out["candle_gap"] = ratio(o, lag(c)) - 1
+        out["gap"] = ratio(o, lag(c)) - 1
     return {k: r5(v) for k, v in out.items()}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ruleloom.plans.registry import QUERIES, SQL
 
-MODULES = ("q_indicators", "q_regime")
+MODULES = ("q_indicators", "q_regime", "q_events")
 for _m in MODULES:
     importlib.import_module(f"ruleloom.plans.{_m}")
 

@@ -50,7 +50,7 @@ _bounded(
     "k15_stochastic",  # five bars: the mean of five values of five decimals is never a tie in rounding
     "stochastic",
     (5,),
-    {"close_stoch_k_05": "k", "close_stoch_d_05": s_full("k", 5, "avg")},
+    {"close_sk_05": "k", "close_sd_05": s_full("k", 5, "avg")},
     f"x AS (SELECT *, round_even({s_ratio(f'close - {s_full("low", 5, "min")}', f'{s_full("high", 5, "max")} - {s_full("low", 5, "min")}')} * 100, 5) AS k FROM bars)",
     "x",
 )
@@ -60,7 +60,7 @@ _bounded(
     "k19_aroon",
     "aroon",
     (14,),
-    {"close_aroon_up_14": "(list_position(h, list_max(h)) - 1) / 14.0::DOUBLE * 100", "close_aroon_down_14": "(list_position(l, list_min(l)) - 1) / 14.0::DOUBLE * 100"},
+    {"aroon_up_14": "(list_position(h, list_max(h)) - 1) / 14.0::DOUBLE * 100", "aroon_down_14": "(list_position(l, list_min(l)) - 1) / 14.0::DOUBLE * 100"},
     f"x AS (SELECT *, {s_full('high', 15, 'list')} AS h, {s_full('low', 15, 'list')} AS l FROM bars)",
     "x",
 )
@@ -99,7 +99,7 @@ _F, _S = _mean(2 / 13, "@.close", "f"), _mean(2 / 27, "@.close", "s")
 _recursive(
     "k12_macd",
     [("macd", C, (12, 26, 9))],
-    _scan({"f": _F, "s": _S, "g": ("0", f"0.8 * p.g + 0.2 * (({_F[1]}) - ({_S[1]})) / n.close")}, {"close_macd_line_12_26_09": "round_even((f - s) / close, 5)", "close_macd_signal_12_26_09": "round_even(g, 5)", "close_macd_hist_12_26_09": "round_even((f - s) / close - g, 5)"}, "", "bars"),
+    _scan({"f": _F, "s": _S, "g": ("0", f"0.8 * p.g + 0.2 * (({_F[1]}) - ({_S[1]})) / n.close")}, {"close_macd_12_26": "round_even((f - s) / close, 5)", "close_macd_12_26_signal_09": "round_even(g, 5)", "close_macd_12_26_hist_09": "round_even((f - s) / close - g, 5)"}, "", "bars"),
 )
 _PLUS, _MINUS = "CASE WHEN n.up > n.dn AND n.up > 0 THEN n.up ELSE 0 END", "CASE WHEN n.dn > n.up AND n.dn > 0 THEN n.dn ELSE 0 END"
 _recursive(
@@ -107,7 +107,7 @@ _recursive(
     [("adx", C, (14,))],
     s_select(
         BARS,
-        {"close_di_plus_14": "round_even(p, 5)", "close_di_minus_14": "round_even(m, 5)", "close_adx_14": "round_even(z, 5)"},
+        {"close_adx_14": "round_even(z, 5)"},
         "r",
         _TR
         + f", e AS (SELECT n.*, n.tr AS a, 0::DOUBLE AS u, 0::DOUBLE AS v FROM x n WHERE rn = 0 UNION ALL SELECT n.*, {_mean(1 / 14, '@.tr', 'a')[1]}, {1 - 1 / 14!r} * p.u + {1 / 14!r} * ({_PLUS}), {1 - 1 / 14!r} * p.v + {1 / 14!r} * ({_MINUS}) FROM e p JOIN x n ON n.ticker = p.ticker AND n.rn = p.rn + 1)"
@@ -159,12 +159,12 @@ _SPAN = "high - low"
     s_select(
         BARS,
         {
-            "candle_body": s_ratio("abs(close - open)", _SPAN),
-            "candle_upper_wick": s_ratio("high - greatest(open, close)", _SPAN),
-            "candle_lower_wick": s_ratio("least(open, close) - low", _SPAN),
-            "candle_close_pos": s_ratio("close - low", _SPAN),
-            "candle_range_pct": s_ratio(_SPAN, "close"),
-            "candle_gap": s_ratio("open", s_lag(C)) + " - 1",
+            "body": s_ratio("close - open", _SPAN),
+            "upper_wick": s_ratio("high - greatest(open, close)", _SPAN),
+            "lower_wick": s_ratio("least(open, close) - low", _SPAN),
+            "close_pos": s_ratio("close - low", _SPAN),
+            "range_pct": s_ratio(_SPAN, "close"),
+            "gap": s_ratio("open", s_lag(C)) + " - 1",
         },
         digits=5,
     ),
