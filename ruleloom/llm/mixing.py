@@ -26,6 +26,7 @@ REPEAT = 2
 BLOCK_TOKENS = 4096
 GOLDEN = (math.sqrt(5.0) - 1.0) / 2.0
 SLOT_CHUNK = 4096
+GRID = 4096
 BUCKET_ROWS = 2048
 
 
@@ -70,7 +71,10 @@ def schedule(targets: DataFrame, *, block_tokens: int = BLOCK_TOKENS) -> DataFra
     rows = scratch.cut(rows.select("source", "quota", "low", "high"), "quotas")
     total = rows.agg(F.sum("quota").alias("n")).first().n or 0
     slots = spark.range(total).select(F.col("id").alias("position"), F.expr(f"id div {SLOT_CHUNK}").alias("chunk"), ((F.col("id") + 1.0) * GOLDEN % 1.0 * float(total)).alias("point"))
-    slots = slots.join(F.broadcast(rows), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))) if total else slots.join(rows)
+    # the cumulative shares as a grid: a source is listed in every cell that it reaches into
+    cells = F.explode(F.expr(f"sequence(cast(floor(low / {max(total, 1)} * {GRID}) as long), cast(floor(high / {max(total, 1)} * {GRID}) as long))"))
+    shares = rows.select("source", "low", "high", cells.alias("cell"))
+    slots = slots.withColumn("cell", F.floor(F.col("point") / max(total, 1) * GRID)).join(shares, "cell").where("point >= low and point < high")
     slots = slots.select("position", "chunk", "source")
     before = slots.groupBy("source", "chunk").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("chunk")) - F.col("n"))
     in_chunk = slots.withColumn("r", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("position")) - 1)
@@ -127,3 +131,22 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     out = every.join(g, same, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select("e.doc_id", "e.size", "e.source_size", "e.target", zero("taken").alias("taken"), F.array(*(zero(f"__t{i}") for i in range(repeat))).alias("taken_by_pass"), "first_position")
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with every row as often as :func:`mix` takes it, all columns as they are.
+
+    A pass that takes at least half of a document's words takes the document; so
+    whole texts pass, and each source misses its target by less than a document
+    per pass.  Rows without words are taken once, as they count for no source.
+    """
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    halves = F.aggregate("taken_by_pass", F.lit(0), lambda n, w: n + F.when(2 * w >= F.col("size"), 1).otherwise(0))
+    times = F.when(F.col("size") == 0, 1).otherwise(halves)
+    # rows that repeat an id are alike in what is taken of them, up to the last one
+    per_id = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), times.alias("__times"))
+    per_id = per_id.withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__size").orderBy(F.desc("__times"))))
+    rows = docs.withColumn("__size0", n_words(F.col(text_col))).withColumn("__id0", F.col(id_col).cast("long"))
+    rows = rows.withColumn("__row0", F.row_number().over(Window.partitionBy("__id0", "__size0").orderBy(F.col(source_col))))
+    same = F.col("__id0").eqNullSafe(F.col("__id")) & (F.col("__size0") == F.col("__size")) & (F.col("__row0") == F.col("__row"))
+    return rows.join(per_id, same).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
