@@ -332,9 +332,10 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; others go.
 
-    Rows without words stay.  Rows that repeat a kept id stay only once.
+    Rows without words stay, and rows with a null id, which no id can stand for.
+    Of rows that repeat a kept id and text one stays.
     """
     found = ngram_components(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    same = docs.join(kept, docs[id_col].cast("long") == kept["__kept"], "left_semi")
-    return same.dropDuplicates([id_col])
+    named = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col, text_col])
+    return named.union(docs.where(F.col(id_col).isNull()))

@@ -21,6 +21,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -246,13 +247,15 @@ def collisions(pseudonymised: DataFrame) -> DataFrame:
     return e.groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).where("originals > 1")
 
 
-def replace_in_place(docs: DataFrame, *, text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text_col``; all other columns as they are."""
-    import pandas as pd
+def replace_in_place(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
+    """``docs`` with surrogates in ``text_col`` (and its new length in ``length_col``); all other columns as they are."""
 
     @F.pandas_udf("string")
     def swap(text: pd.Series) -> pd.Series:
         surrogates = Surrogates(key)
         return pd.Series([replace(t, surrogates)[0] if t else t for t in text], dtype=object)
 
-    return docs.withColumn(text_col, swap(F.col(text_col).cast("string")))
+    out = docs.withColumn(text_col, swap(F.col(text_col).cast("string")))
+    if length_col:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out
