@@ -53,7 +53,8 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, sh
     rows = rows.withColumn("total", F.sum("source_size").over(whole) * share).withColumn("filled", F.sum("cap").over(full) - F.col("cap")).withColumn("open", F.sum("weight").over(whole) - F.sum("weight").over(full) + F.col("weight"))
     # the level if all before are full and this one and all later are not
     level = (F.col("total") - F.col("filled")) / F.col("open")
-    rows = rows.withColumn("level", F.min(F.when(level <= F.col("fills"), level)).over(whole))
+    # the first source in that order for which this holds
+    rows = rows.withColumn("level", level).withColumn("level", F.min_by("level", F.when(F.col("level") <= F.col("fills"), F.col("fills"))).over(whole))
     return rows.select("source", "source_size", "weight", F.when(F.col("level").isNull() | (F.col("cap") <= F.col("weight") * F.col("level")), F.col("cap")).otherwise(F.col("weight") * F.col("level")).alias("target"))
 
 

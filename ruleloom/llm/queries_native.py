@@ -33,7 +33,7 @@ c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / we
 f AS (SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) AS total,
     sum(cap) OVER o - cap AS filled, (SELECT sum(weight) FROM c) - sum(weight) OVER o + weight AS open
   FROM c WINDOW o AS (ORDER BY fills, source IS NULL, encode(source))),
-l AS (SELECT min((total - filled) / open) AS level FROM f WHERE (total - filled) / open <= fills),
+l AS (SELECT arg_min((total - filled) / open, fills) AS level FROM f WHERE (total - filled) / open <= fills),
 t AS (SELECT source, source_size, least(cap, coalesce(weight * level, cap)) AS target FROM f, l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
     (sum(size) OVER (PARTITION BY d.source ORDER BY shuffle, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS b
