@@ -14,9 +14,9 @@ last, by rising count; all others by hash) and shows only a prefix of it:
 size histogram and the mean list length of this very corpus.  Both prefixes are
 lossless, so every link is found.  Lists of at most ``COLD`` members become
 candidate pairs; longer lists are cut into blocks of bounded size that are
-compared block by block.  A 1024-bit parity of each set gives a lower bound of the
-difference of two sets, which drops most candidates that are no links; the rest
-are verified on whole shingle sets.
+compared block by block.  A parity of each set, two bits a shingle, gives a lower
+bound of the difference of two sets, which drops nearly all candidates that are no
+links; the rest are verified on whole shingle sets.
 
 The heavy list has at most ``HEAVY_MOST`` entries (1 MB) whatever the input, and
 any list gives the same result: it only moves frequent shingles out of prefixes.
@@ -41,7 +41,8 @@ HEAVY_MOST = 1 << 17
 HEAVY_FROM = 64
 COLD = 64
 BLOCK = 512
-PARITY_BITS = 1024
+PARITY_LEAST, PARITY_MOST = 1 << 10, 1 << 17
+TASK_SHINGLES = 1 << 20
 BITMAP_BITS = 1 << 24
 VERIFY_COST = 4.0
 SMALL_MOST = 256
@@ -81,11 +82,13 @@ def choose_boundary(histogram: dict[int, int], list_length: float, percent: int)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """PARITY_BITS bits: whether an odd number of the set's shingles falls on each.
+    """For each of twice as many bits as shingles: whether an odd number of shingles falls on it.
 
-    Two sets whose parities differ in d bits differ in at least d shingles.
+    Two sets whose parities differ in d bits differ in at least d shingles.  A longer
+    parity folds onto half its length by exclusive or.
     """
-    odd = (np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)
+    bits = min(PARITY_MOST, max(PARITY_LEAST, 1 << (2 * len(s) - 1).bit_length()))
+    odd = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -207,15 +210,26 @@ def _block_pairs(percent: int):
     def run(table: pa.Table) -> pa.Table:
         key, first, second = table["key"][0].as_py(), table["first"][0].as_py(), table["second"][0].as_py()
         block, ids, sizes = table["block"].to_numpy(), table["cid"].to_numpy(), table["n"].to_numpy()
-        marks = np.stack([np.asarray(x.values) for x in table["parity"]]).view(np.uint64)
+        marks = [np.asarray(x.values).view(np.uint64) for x in table["parity"]]
+        words = np.array([len(m) for m in marks])
         lists = table["keys"]
-        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        apart = np.zeros((len(left), len(right)), np.int64)
-        for w in range(marks.shape[1]):
-            apart += np.bitwise_count(marks[left, w][:, None] ^ marks[right, w][None, :])
-        total = sizes[left][:, None] + sizes[right][None, :]
-        i, j = np.nonzero((100 + percent) * apart <= (100 - percent) * total)
-        i, j = left[i], right[j]
+        some_i, some_j = [], []
+        for p in np.unique(words[block == first]):
+            for q in np.unique(words[block == second]):
+                if max(p, q) > 2 * min(p, q):
+                    continue  # sizes too far apart for a link
+                least = min(p, q)
+                left, right = np.flatnonzero((block == first) & (words == p)), np.flatnonzero((block == second) & (words == q))
+                x, y = (np.stack([m[:least] if len(m) == least else m[:least] ^ m[least:] for m in (marks[i] for i in side)]) for side in (left, right))
+                apart = np.zeros((len(left), len(right)), np.int64)
+                for w in range(least):
+                    apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None, :])
+                total = sizes[left][:, None] + sizes[right][None, :]
+                i, j = np.nonzero((100 + percent) * apart <= (100 - percent) * total)
+                some_i.append(left[i])
+                some_j.append(right[j])
+        none = np.empty(0, np.int64)
+        i, j = np.concatenate([none, *some_i]), np.concatenate([none, *some_j])
         ok = ids[i] < ids[j] if first == second else ids[i] != ids[j]
         sets: dict[int, set] = {}
         a, b = [], []
@@ -231,6 +245,29 @@ def _block_pairs(percent: int):
     return run
 
 
+def _verify(percent: int):
+    """Links among the candidate pairs of a task, on whole sets; rows are pairs (a, b) or sets (a, shingles)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        b = table["b"].to_numpy(zero_copy_only=False)
+        is_pair = ~np.isnan(b.astype(np.float64))
+        firsts = table["a"].to_numpy()
+        shingles = table["shingles"]
+        sets = {int(firsts[i]): np.asarray(shingles[int(i)].values) for i in np.flatnonzero(~is_pair)}
+        others = table["b"].to_pylist()
+        out_a, out_b = [], []
+        for i in np.flatnonzero(is_pair):
+            x, y = sets[int(firsts[i])], sets[others[i]]
+            both = np.sort(np.concatenate([x, y]), kind="stable")
+            o = int((both[1:] == both[:-1]).sum())
+            if 100 * o >= percent * (len(x) + len(y) - o):
+                out_a.append(int(firsts[i]))
+                out_b.append(others[i])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
 def _slot(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
 
@@ -274,7 +311,8 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     sketch = keyed.where("parity is not null").select("cid", "parity").dropDuplicates(["cid"])
     one, two = sketch.select(F.col("cid").alias("a"), F.col("parity").alias("pa")), sketch.select(F.col("cid").alias("b"), F.col("parity").alias("pb"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    fold = lambda p, q: F.when(F.size(p) > F.size(q), F.zip_with(F.slice(p, 1, F.size(q)), F.slice(p, F.size(q) + 1, F.size(q)), lambda v, w: v.bitwiseXOR(w))).otherwise(F.col(p))
+    apart = F.aggregate(F.zip_with(fold("pa", "pb"), fold("pb", "pa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
     pairs = pairs.join(one, "a").join(two, "b").where((100 + percent) * apart <= (100 - percent) * F.col("total")).select("a", "b")
 
     hot = entries.where(F.col("members") > COLD).select("key", "cid", "n").distinct()
@@ -291,15 +329,21 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hot_pairs = sent.groupBy("key", "first", "second").applyInArrow(_block_pairs(percent), "a long, b long")
     pairs = scratch.cut(pairs.union(hot_pairs).distinct(), "pairs")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    firsts = docs_out.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    ids = firsts.join(wanted, "cid", "left_semi").select("doc_id")
-    sets = _with_bit(own, ids, "doc_id").select("text").mapInArrow(_sets(width), "cid long, shingles array<long>")
-    sets = scratch.cut(sets.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-    overlap = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", overlap.alias("o"), (F.size("sa") + F.size("sb")).alias("t")).where(F.expr(f"100 * o >= {percent} * (t - o)")).select("a", "b")
+    # Pairs meet in tasks by the components that they form, so that a set is sent once and not for every pair;
+    # a component of many shingles is cut into blocks, and a task compares one or two of them.
+    nodes = connected_components(pairs).join(docs_out.groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "cid")
+    nodes = nodes.withColumn("part", F.expr(f"(sum(n) OVER (PARTITION BY root ORDER BY n, cid) - n) div {TASK_SHINGLES}")).withColumn("parts", F.max("part").over(Window.partitionBy("root")) + 1)
+    nodes = scratch.cut(nodes, "nodes")
+    total = nodes.agg(F.sum("n").alias("t")).first().t or 0
+    end = lambda k: nodes.select(F.col("cid").alias(k), F.col("part").alias(f"part_{k}"), *(["root", "parts"] if k == "a" else []))
+    i, j = F.least("part_a", "part_b"), F.greatest("part_a", "part_b")
+    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(max(12, -(-2 * total // TASK_SHINGLES))))).otherwise(-F.abs(F.shiftright(F.xxhash64("root", i, j), 1)) - 1)
+    pairs = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", task.alias("task"))
+    needed = pairs.select("task", F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = _with_bit(own, nodes.select("doc_id"), "doc_id").select("text").mapInArrow(_sets(width), "cid long, shingles array<long>")
+    sets = needed.join(sets, "cid").select("task", F.col("cid").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    sent = sets.union(pairs.select("task", "a", "b", F.lit(None).cast("array<long>").alias("shingles")))
+    links = sent.groupBy("task").applyInArrow(_verify(percent), "a long, b long")
     return docs_out, scratch.cut(links, "links")
 
 
