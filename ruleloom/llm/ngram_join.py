@@ -42,7 +42,7 @@ HEAVY_FROM = 64
 COLD = 64
 BLOCK = 512
 PARITY_LEAST, PARITY_MOST = 1 << 10, 1 << 17
-TASK_SHINGLES = 1 << 20
+PART_SHINGLES, PART_LEAST = 1 << 20, 1 << 10
 BITMAP_BITS = 1 << 24
 VERIFY_COST = 4.0
 SMALL_MOST = 256
@@ -204,66 +204,95 @@ def _sets(width: int):
     return run
 
 
-def _block_pairs(percent: int):
-    """Pairs of one block, or of two, that their parities allow; each under the least long list they share."""
+def _allowed(marks: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (one of ``left``, one of ``right``) that parities and sizes do not rule out, each unordered pair once."""
+    words = np.array([len(m) for m in marks])
+    same = left is right
+    some_i, some_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for p in np.unique(words[left]):
+        for q in np.unique(words[right]):
+            if max(p, q) > 2 * min(p, q):
+                continue  # sizes too far apart for a link
+            least, li, ri = min(p, q), left[words[left] == p], right[words[right] == q]
+            x, y = (np.stack([m if len(m) == least else m[:least] ^ m[least:] for m in (marks[i] for i in side)]) for side in (li, ri))
+            apart = np.zeros((len(li), len(ri)), np.int32)
+            for w in range(least):
+                apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None, :])
+            i, j = np.nonzero((100 + percent) * apart <= (100 - percent) * (sizes[li][:, None] + sizes[ri][None, :]))
+            some_i.append(li[i])
+            some_j.append(ri[j])
+    i, j = np.concatenate(some_i), np.concatenate(some_j)
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    ok = (100 * small >= percent * large) & ((i < j) if same else (i != j))
+    return i[ok], j[ok]
+
+
+def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of some edges those that join two trees: as connected, and fewer than nodes."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for x, y in zip(i.tolist(), j.tolist()):
+        a, b = root(x), root(y)
+        if a != b:
+            parent[a] = b
+            out.append((x, y))
+    return out
+
+
+def _block_candidates(percent: int):
+    """Of the candidate pairs of one block, or of two, a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, first, second = table["key"][0].as_py(), table["first"][0].as_py(), table["second"][0].as_py()
+        first, second = table["first"][0].as_py(), table["second"][0].as_py()
         block, ids, sizes = table["block"].to_numpy(), table["cid"].to_numpy(), table["n"].to_numpy()
         marks = [np.asarray(x.values).view(np.uint64) for x in table["parity"]]
-        words = np.array([len(m) for m in marks])
-        lists = table["keys"]
-        some_i, some_j = [], []
-        for p in np.unique(words[block == first]):
-            for q in np.unique(words[block == second]):
-                if max(p, q) > 2 * min(p, q):
-                    continue  # sizes too far apart for a link
-                least = min(p, q)
-                left, right = np.flatnonzero((block == first) & (words == p)), np.flatnonzero((block == second) & (words == q))
-                x, y = (np.stack([m[:least] if len(m) == least else m[:least] ^ m[least:] for m in (marks[i] for i in side)]) for side in (left, right))
-                apart = np.zeros((len(left), len(right)), np.int64)
-                for w in range(least):
-                    apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None, :])
-                total = sizes[left][:, None] + sizes[right][None, :]
-                i, j = np.nonzero((100 + percent) * apart <= (100 - percent) * total)
-                some_i.append(left[i])
-                some_j.append(right[j])
-        none = np.empty(0, np.int64)
-        i, j = np.concatenate([none, *some_i]), np.concatenate([none, *some_j])
-        ok = ids[i] < ids[j] if first == second else ids[i] != ids[j]
-        sets: dict[int, set] = {}
-        a, b = [], []
-        for x, y in zip(i[ok], j[ok]):
-            for z in (x, y):
-                if z not in sets:
-                    sets[z] = set(lists[int(z)].as_py())
-            if min(sets[x] & sets[y]) == key:
-                a.append(min(ids[x], ids[y]))
-                b.append(max(ids[x], ids[y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        left = np.flatnonzero(block == first)
+        right = left if first == second else np.flatnonzero(block == second)
+        edges = _forest(*_allowed(marks, sizes, left, right, percent))
+        return pa.table({"a": pa.array([int(ids[x]) for x, _ in edges], pa.int64()), "b": pa.array([int(ids[y]) for _, y in edges], pa.int64())})
 
     return run
 
 
 def _verify(percent: int):
-    """Links among the candidate pairs of a task, on whole sets; rows are pairs (a, b) or sets (a, shingles)."""
+    """Links within the components of a task, on whole sets: a spanning forest (b set), and what each class links with (b null)."""
 
     def run(table: pa.Table) -> pa.Table:
-        b = table["b"].to_numpy(zero_copy_only=False)
-        is_pair = ~np.isnan(b.astype(np.float64))
-        firsts = table["a"].to_numpy()
-        shingles = table["shingles"]
-        sets = {int(firsts[i]): np.asarray(shingles[int(i)].values) for i in np.flatnonzero(~is_pair)}
-        others = table["b"].to_pylist()
-        out_a, out_b = [], []
-        for i in np.flatnonzero(is_pair):
-            x, y = sets[int(firsts[i])], sets[others[i]]
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            o = int((both[1:] == both[:-1]).sum())
-            if 100 * o >= percent * (len(x) + len(y) - o):
-                out_a.append(int(firsts[i]))
-                out_b.append(others[i])
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        roots, first, second, part = (table[c].to_numpy() for c in ("root", "first", "second", "part"))
+        ids, copies = table["cid"].to_numpy(), table["copies"].to_numpy()
+        sets = [np.asarray(x.values).view(np.uint64) for x in table["shingles"]]
+        out_a, out_b, out_n = [], [], []
+        for r in np.unique(roots):
+            rows = np.flatnonzero(roots == r)
+            _, once = np.unique(np.stack([ids[rows], part[rows]]), axis=1, return_index=True)
+            rows = rows[once]
+            mine = [sets[i] for i in rows]
+            sizes = np.array([len(s) for s in mine], np.int64)
+            left = np.flatnonzero(part[rows] == first[rows[0]])
+            right = left if first[rows[0]] == second[rows[0]] else np.flatnonzero(part[rows] == second[rows[0]])
+            i, j = _allowed([parity(s).view(np.uint64) for s in mine], sizes, left, right, percent)
+            ok = np.zeros(len(i), bool)
+            for k, (x, y) in enumerate(zip(i, j)):
+                both = np.sort(np.concatenate([mine[x], mine[y]]), kind="stable")
+                o = int((both[1:] == both[:-1]).sum())
+                ok[k] = 100 * o >= percent * (sizes[x] + sizes[y] - o)
+            i, j = i[ok], j[ok]
+            linked = np.bincount(i, copies[rows][j], len(rows)) + np.bincount(j, copies[rows][i], len(rows))
+            for x in np.flatnonzero(linked):
+                out_a.append(int(ids[rows[x]]))
+                out_b.append(None)
+                out_n.append(int(linked[x]))
+            for x, y in _forest(i, j):
+                out_a.append(int(ids[rows[x]]))
+                out_b.append(int(ids[rows[y]]))
+                out_n.append(0)
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "linked": pa.array(out_n, pa.int64())})
 
     return run
 
@@ -280,10 +309,12 @@ def _with_bit(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
 
 def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Documents with their class, and all links between classes of different sets.
+    """Documents with their class, and the links between classes of different sets.
 
     Returns ``(doc_id, n, cid)``, one row per input row (``cid`` null without
-    words), and ``(a, b)``, each link once with ``a < b``.
+    words), and rows of two kinds: ``(a, b)`` are links that connect all that links
+    connect, ``(a, null, linked)`` say with how many documents of other classes a
+    class links (summed over rows).
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counted = own.select("text").mapInArrow(_counts(width), "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
@@ -323,28 +354,30 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     tasks = p.join(q, "key").where((F.col("p.block") <= F.col("q.block")) & (100 * F.col("p.high") >= percent * F.col("q.low")))
     tasks = tasks.select("key", F.col("p.block").alias("first"), F.col("q.block").alias("second"))
     tasks = tasks.select("key", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
-    # of a class at most as many lists as its prefix is long
-    member = hot.groupBy("cid").agg(F.collect_list("key").alias("keys")).join(sketch, "cid")
-    sent = tasks.join(hot, ["key", "block"]).join(member, "cid")
-    hot_pairs = sent.groupBy("key", "first", "second").applyInArrow(_block_pairs(percent), "a long, b long")
-    pairs = scratch.cut(pairs.union(hot_pairs).distinct(), "pairs")
-
-    # Pairs meet in tasks by the components that they form, so that a set is sent once and not for every pair;
-    # a component of many shingles is cut into blocks, and a task compares one or two of them.
-    nodes = connected_components(pairs).join(docs_out.groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "cid")
-    nodes = nodes.withColumn("part", F.expr(f"(sum(n) OVER (PARTITION BY root ORDER BY n, cid) - n) div {TASK_SHINGLES}")).withColumn("parts", F.max("part").over(Window.partitionBy("root")) + 1)
+    sent = tasks.join(hot, ["key", "block"]).join(sketch, "cid")
+    hot_pairs = sent.groupBy("key", "first", "second").applyInArrow(_block_candidates(percent), "a long, b long")
+    pairs = scratch.cut(pairs.union(hot_pairs), "pairs")
+
+    # The candidates' components meet in tasks, so that a set is sent once and not for every pair; there
+    # all pairs of a component are compared.  A large component is cut into parts, and a task has one or two.
+    classes = docs_out.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    nodes = connected_components(pairs).join(classes, "cid")
+    nodes = nodes.withColumn("part", F.expr(f"(sum(greatest(n, {PART_LEAST})) OVER (PARTITION BY root ORDER BY n, cid) - greatest(n, {PART_LEAST})) div {PART_SHINGLES}"))
     nodes = scratch.cut(nodes, "nodes")
     total = nodes.agg(F.sum("n").alias("t")).first().t or 0
-    end = lambda k: nodes.select(F.col("cid").alias(k), F.col("part").alias(f"part_{k}"), *(["root", "parts"] if k == "a" else []))
-    i, j = F.least("part_a", "part_b"), F.greatest("part_a", "part_b")
-    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(max(12, -(-2 * total // TASK_SHINGLES))))).otherwise(-F.abs(F.shiftright(F.xxhash64("root", i, j), 1)) - 1)
-    pairs = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", task.alias("task"))
-    needed = pairs.select("task", F.explode(F.array("a", "b")).alias("cid")).distinct()
+    span = nodes.groupBy("root", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    p, q = span.alias("p"), span.alias("q")
+    tasks = p.join(q, "root").where((F.col("p.part") <= F.col("q.part")) & (100 * F.col("p.high") >= percent * F.col("q.low")))
+    tasks = tasks.select("root", F.col("p.part").alias("first"), F.col("q.part").alias("second"))
+    # components of one part share tasks; the others have one for each pair of parts
+    alone = F.col("first") + F.col("second") > 0
+    task = F.when(alone | F.col("several"), F.concat_ws(",", "root", "first", "second")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(12, -(-2 * total // PART_SHINGLES)))).cast("string"))
+    several = span.groupBy("root").agg((F.max("part") > 0).alias("several"))
+    tasks = tasks.join(several, "root").withColumn("task", task).withColumn("part", F.explode(F.array_distinct(F.array("first", "second"))))
+    needed = tasks.join(nodes.select("root", "part", "cid", "copies"), ["root", "part"]).select("task", "root", "first", "second", "part", "cid", "copies")
     sets = _with_bit(own, nodes.select("doc_id"), "doc_id").select("text").mapInArrow(_sets(width), "cid long, shingles array<long>")
-    sets = needed.join(sets, "cid").select("task", F.col("cid").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    sent = sets.union(pairs.select("task", "a", "b", F.lit(None).cast("array<long>").alias("shingles")))
-    links = sent.groupBy("task").applyInArrow(_verify(percent), "a long, b long")
-    return docs_out, scratch.cut(links, "links")
+    found = needed.join(sets, "cid").groupBy("task").applyInArrow(_verify(percent), "a long, b long, linked long")
+    return docs_out, scratch.cut(found, "links")
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -363,9 +396,8 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows, links = ngram_links(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    labels = connected_components(links)
-    both = links.select(F.col("a").alias("cid"), F.col("b").alias("other")).union(links.select("b", "a"))
-    degree = both.join(classes.select(F.col("cid").alias("other"), "copies"), "other").groupBy("cid").agg(F.sum("copies").alias("linked"))
+    labels = connected_components(links.where("b is not null").select("a", "b"))
+    degree = links.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("linked").alias("linked"))
     classes = classes.join(labels, "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(degree, "cid", "left")
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     known = classes.join(roots, "root").select("cid", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
