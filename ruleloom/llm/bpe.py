@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 #: Fixed by the vocabulary: how a text is cut into words before merging (white space by its Unicode property).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MEMO = 200_000
+MEMO = 300_000
 MEMO_WORD = 64
+ID_BITS, PLACE_BITS = 20, 40
+PLACE = (1 << PLACE_BITS) - 1
 BATCH_CHARS = 2_000_000
 
 
@@ -50,10 +52,12 @@ class Encoder(dict):
         to_byte = {c: b for b, c in names.items()}
         vocab = file["model"]["vocab"]
         self.single = [vocab[names[b]] for b in range(256)]
-        self.merges = {}
+        self.ranks, self.made = {}, []  # by the pair of ids in one number; and the id that a rank makes
         for rank, pair in enumerate(file["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] << ID_BITS | vocab[b]] = rank
+            self.made.append(vocab[a + b])
+        self.older: dict[str, tuple[int, ...]] = {}
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", ())}
         self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in vocab.items():
@@ -64,44 +68,54 @@ class Encoder(dict):
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.merge(word.encode("utf-8"))
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.merge(word.encode("utf-8"))
         if len(word) <= MEMO_WORD:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO:  # words in use move on, the rest goes
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        single, merges = self.single, self.merges
-        symbol = [single[b] for b in word]
+        symbol = list(map(self.single.__getitem__, word))
         n = len(symbol)
         if n == 1:
             return tuple(symbol)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        rank_of, made, push = self.ranks.get, self.made, heapq.heappush
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        after[-1] = -1
         heap = []
-        for i in range(n - 1):
-            found = merges.get((symbol[i], symbol[i + 1]))
-            if found:
-                heap.append((found[0], i, found[1]))
+        left = symbol[0]
+        for i in range(1, n):
+            right = symbol[i]
+            rank = rank_of(left << ID_BITS | right)
+            if rank is not None:
+                heap.append(rank << PLACE_BITS | (i - 1))
+            left = right
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i = entry & PLACE
             j = after[i]
-            if symbol[i] < 0 or j < 0 or merges.get((symbol[i], symbol[j])) != (rank, new):
+            left = symbol[i]
+            if left < 0 or j < 0 or rank_of(left << ID_BITS | symbol[j]) != entry >> PLACE_BITS:
                 continue  # stale
-            symbol[i], symbol[j] = new, -1
+            new = symbol[i] = made[entry >> PLACE_BITS]
+            symbol[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                found = merges.get((new, symbol[k]))
-                if found:
-                    heapq.heappush(heap, (found[0], i, found[1]))
+                rank = rank_of(new << ID_BITS | symbol[k])
+                if rank is not None:
+                    push(heap, rank << PLACE_BITS | i)
             h = before[i]
             if h >= 0:
-                found = merges.get((symbol[h], new))
-                if found:
-                    heapq.heappush(heap, (found[0], h, found[1]))
-        return tuple(s for s in symbol if s >= 0)
+                rank = rank_of(symbol[h] << ID_BITS | new)
+                if rank is not None:
+                    push(heap, rank << PLACE_BITS | h)
+        return tuple([s for s in symbol if s >= 0])
 
     def encode(self, text: str) -> list[int]:
         if self.cuts is None or not any(s in text for s in self.special):
