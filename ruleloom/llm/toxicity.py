@@ -12,6 +12,7 @@ and only from rows outside the held-out fold; everything else covers all rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +40,9 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir d
 DISGUISE = str.maketrans("013457@$!|*", "oieas" + "t" + "as" + "ii" + "*")
 
 
+REPEATED = re.compile(r"(.)\1\1", re.DOTALL)
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 0
 
@@ -59,21 +63,31 @@ class WordCodes(dict):
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
+        self.starts = {t[:3] for t in lexicon}  # every term begins with three letters of its words
+        self.older: dict[str, int] = {}
 
     def weigh(self, word: str) -> float:
-        return max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0)
+        return max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0) if plain(word)[:3] in self.starts else 0.0
 
-    def __missing__(self, word: str) -> int:
+    def code(self, word: str) -> int:
+        if word.isalpha() and word.islower():  # most words
+            return min(len(word), 4095) | (word in SECOND_PERSON) << 36 | (REPEATED.search(word) is not None) << 37 | min(int(self.weigh(word) * 100), 2000) << 40
         signs = sum(not c.isalnum() for c in word)
         upper = sum(c.isupper() for c in word)
         w = plain(word)
-        odd = any(c in w for c in "@$*!|") or (any(c.isdigit() for c in w) and any(c.isalpha() for c in w)) or any(w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2))
+        odd = any(c in w for c in "@$*!|") or (any(c.isdigit() for c in w) and any(c.isalpha() for c in w)) or REPEATED.search(w) is not None
         weight = self.weigh(word)
         if odd and weight == 0.0:
             weight = self.weigh(w.translate(DISGUISE))
-        code = min(len(word), 4095) | min(upper, 4095) << 12 | min(signs, 4095) << 24 | (w in SECOND_PERSON) << 36 | odd << 37 | (upper > 1 and upper == sum(c.isalpha() for c in word)) << 38 | ("!" in word) << 39 | min(int(weight * 100), 2000) << 40
+        return min(len(word), 4095) | min(upper, 4095) << 12 | min(signs, 4095) << 24 | (w in SECOND_PERSON) << 36 | odd << 37 | (upper > 1 and upper == sum(c.isalpha() for c in word)) << 38 | ("!" in word) << 39 | min(int(weight * 100), 2000) << 40
+
+    def __missing__(self, word: str) -> int:
+        code = self.older.get(word)
+        if code is None:
+            code = self.code(word)
         if len(word) <= 64:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO:  # words in use move on, the rest goes
+                self.older = dict(self)
                 self.clear()
             self[word] = code
         return code
