@@ -8,7 +8,7 @@ token's class and then the token within its class (two softmaxes of 64).
 Tokens are words; the vocabulary is the most frequent word hashes of the whole
 corpus plus shared buckets for the rest.  Training reads every document: each
 partition starts from the corpus counts, makes one pass over its own texts with
-every ``STRIDE``-th token as a target, and the weights of all partitions are
+one token in ``STRIDE`` as a target, and the weights of all partitions are
 averaged, weighted by their targets, in fixed point so that reruns agree.
 """
 
@@ -32,7 +32,7 @@ SLOT_BITS = 18
 WIDTH = 16
 REACH = 3
 STRIDE = 8
-BATCH = 8192
+BATCH = 2048
 RATE = 0.08
 FIXED = 1 << 16
 GROUP_BYTES = 400_000
@@ -166,7 +166,7 @@ def train_on(batches: Iterator[list[str | None]], table: np.ndarray, start: Netw
     """One pass over the texts of a partition."""
     net = start.load(start.flat())
     squares = [np.zeros_like(p) for p in net.parts()]
-    windows, targets, held, seen = [], [], 0, 0
+    windows, targets, held, seen, passed = [], [], 0, 0, 0
 
     def step() -> None:
         net.step(np.concatenate(windows), np.concatenate(targets), squares)
@@ -178,7 +178,9 @@ def train_on(batches: Iterator[list[str | None]], table: np.ndarray, start: Netw
             if not len(slots):
                 continue
             tokens, place = _padded(table[slots], at)
-            chosen = place[seen % STRIDE :: STRIDE]
+            # by a hash of the place in the partition, so that no period of the texts meets one of the choice
+            chosen = place[mix(np.arange(passed, passed + len(place), dtype=np.uint64)) % np.uint64(STRIDE) == 0]
+            passed += len(place)
             seen += len(chosen)
             for i in range(0, len(chosen), BATCH):
                 c = chosen[i : i + BATCH]
