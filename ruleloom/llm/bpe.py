@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm.batches import small
+
 #: Fixed by the vocabulary: how a text is cut into words before merging (white space by its Unicode property).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MEMO = 300_000
+MEMO = 150_000
 MEMO_WORD = 64
 ID_BITS, PLACE_BITS = 20, 40
 PLACE = (1 << PLACE_BITS) - 1
@@ -160,7 +162,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             for start, texts in _parts(batch, 1):
                 ids = [bpe.encode(t) if t else [] for t in texts]
                 offsets = [0]
@@ -179,7 +181,7 @@ def decode(coded: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "decoded"])
 
     return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, decoded string")

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm.batches import small
 from ruleloom.llm.shingles import mix
 
 EXACT = 4
@@ -209,7 +210,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(sha), pa.array(own.strings()), pa.array(new.strings()), pa.array(own.likeness(new)), pa.array(own.likeness(shifted))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         rows, held, last = [], 0, None
-        for batch in batches:
+        for batch in small(batches):
             for r, tail, i, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if last is not None and last[0] == r:
                     rows.append((last[1], last[2], text))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm.batches import small
 from ruleloom.llm.shingles import mix, word_hashes
 
 CLASSES = 64
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, *, text_col: str = "text") -> tuple[np.ndarray, Network
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for slots, _ in _groups(batch.column(0).to_pylist()):
                 n += np.bincount(slots, minlength=len(n))
         used = np.flatnonzero(n)
@@ -233,7 +234,7 @@ def fit(docs: DataFrame, *, text_col: str = "text") -> tuple[np.ndarray, Network
     start = Network.start(counts)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = train_on((b.column(0).to_pylist() for b in batches), table, start)
+        net, seen = train_on((b.column(0).to_pylist() for b in small(batches)), table, start)
         if seen:
             weight = 1 + seen // 1024
             values = np.rint(net.flat().astype(np.float64) * FIXED).astype(np.int64) * weight
@@ -258,7 +259,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     table, net = fit(docs, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, total = zip(*score_texts(batch.column(1).to_pylist(), table, net)) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_tokens", "score"])
 

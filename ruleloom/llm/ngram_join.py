@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ruleloom.llm.batches import small
 from ruleloom.llm import scratch
 from ruleloom.llm.components import connected_components
 from ruleloom.llm.shingles import mix, shingle_sets
@@ -112,7 +113,7 @@ def _counts(width: int):
                 values, total = values[top], total[top]
             return values, total
 
-        for batch in batches:
+        for batch in small(batches):
             for s in shingle_sets(batch.column(0).to_pylist(), width):
                 if len(s):
                     sizes[min(len(s), SMALL_MOST + 1)] = sizes.get(min(len(s), SMALL_MOST + 1), 0) + 1
@@ -161,7 +162,7 @@ def _keys(width: int, percent: int, boundary: int, heavy: np.ndarray, rank: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in batches:
+        for batch in small(batches):
             sizes, ids, keys, marks, none = [], [], [], [], np.empty(0, np.uint64)
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 cid = xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None
@@ -189,7 +190,7 @@ def _sets(width: int):
     """Class id and whole shingle set of every row that comes in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, sets = [], []
             for s in shingle_sets(batch.column(0).to_pylist(), width):
                 if len(s):

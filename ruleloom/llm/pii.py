@@ -21,11 +21,12 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm.batches import small
+
 DEFAULT_KEY = b"ruleloom surrogate key"
 ROUNDS = 8
 #: Given names by script and gender; the surrogate of one is another of the same list.
@@ -229,7 +230,7 @@ def pseudonymise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)
-        for batch in batches:
+        for batch in small(batches):
             texts, found = [], []
             for text in batch.column(1).to_pylist():
                 new, entities = replace(text, surrogates) if text else (text, [])
@@ -250,12 +251,15 @@ def collisions(pseudonymised: DataFrame) -> DataFrame:
 def replace_in_place(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
     """``docs`` with surrogates in ``text_col`` (and its new length in ``length_col``); all other columns as they are."""
 
-    @F.pandas_udf("string")
-    def swap(text: pd.Series) -> pd.Series:
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)
-        return pd.Series([replace(t, surrogates)[0] if t else t for t in text], dtype=object)
+        for batch in small(batches):
+            at = batch.schema.get_field_index(text_col)
+            new = [replace(t, surrogates)[0] if t else t for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, pa.field(text_col, pa.string()), pa.array(new, pa.string()))
 
-    out = docs.withColumn(text_col, swap(F.col(text_col).cast("string")))
+    texts = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    out = texts.mapInArrow(swap, texts.schema)
     if length_col:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm.batches import small
 from ruleloom.llm.boosting import Boosted, fit_boosted, isotonic
 
 TRAIN_ROWS = 20_000
@@ -30,7 +30,7 @@ FOLDS = 3
 STARTS = (3, 4, 5, 6, 7, 8)
 LEXICON_MOST = 4_000
 TERM_LETTERS = 24
-MEMO = 200_000
+MEMO = 120_000
 BANDS = (2.0, 3.0, 4.0)
 NEAR = 6
 FEATURES = 16
@@ -157,7 +157,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*rows)) or [(), (), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["term", "fold", "toxic", "n"])
 
-    for batch in batches:
+    for batch in small(batches):
         for fold, y, text in zip(*(c.to_pylist() for c in batch.columns)):
             d = seen.setdefault((fold, y), {})
             own = {t for w in set((text or "").split()) for t in terms(w)}
@@ -196,7 +196,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = [WordCodes(x) for x in others]
-        for batch in batches:
+        for batch in small(batches):
             ids, fold, y, text = (c.to_pylist() for c in batch.columns)
             x = [features(t, codes[f]).tolist() for f, t in zip(fold, text)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fold, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["id", "fold", "toxic", "x"])
@@ -224,7 +224,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(model.lexicon)
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if not ids:
                 continue
@@ -238,11 +238,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that the model does not predict toxic, with all their columns."""
 
-    @F.pandas_udf("boolean")
-    def toxic(text: pd.Series) -> pd.Series:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(model.lexicon)
-        if not len(text):
-            return pd.Series([], dtype=bool)
-        return pd.Series(model.score(np.stack([features(t, codes) for t in text])) >= 0.5)
+        for batch in small(batches):
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            toxic = model.score(np.stack([features(t if t is None else str(t), codes) for t in texts])) >= 0.5
+            yield batch.filter(pa.array(~toxic))
 
-    return docs.where(~toxic(F.col(text_col).cast("string")))
+    return docs.mapInArrow(keep, docs.schema)
