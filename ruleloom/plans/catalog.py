@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ruleloom.plans.registry import QUERIES, SQL
 
-MODULES = ("q_indicators", "q_regime", "q_events", "q_alpha", "q_backtest", "q_reports")
+MODULES = ("q_indicators", "q_regime", "q_events", "q_alpha", "q_backtest", "q_reports", "q_flagship")
 for _m in MODULES:
     importlib.import_module(f"ruleloom.plans.{_m}")
 
@@ -22,4 +22,4 @@ def oracle_sql():
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["k22_build_features"](spark, sf_dir)
+    return QUERIES["flagship_event_study"](spark, sf_dir)
