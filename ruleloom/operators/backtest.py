@@ -267,3 +267,20 @@ def decide(s: DataFrame, *, partial_pf: float = 1.5, pf: float = 2.0, wr: float
     s = s.withColumn("__hard", why(hard)).withColumn("__soft", why(soft))
     verdict = F.when(F.size("__hard") > 0, "NON-EDGE").when(few, "INSUFFICIENT-DATA").when(F.size("__soft") > 0, "PARTIAL-EDGE").otherwise("EDGE")
     return s.withColumn("verdict", verdict).withColumn("reasons", F.when(F.size("__hard") > 0, F.col("__hard")).otherwise(F.col("__soft"))).drop("__hard", "__soft")
+
+
+def pick_cell(best: DataFrame, *keys: str, policy: str = "last") -> DataFrame:
+    """``(*keys, cell)`` from each window's best cell: the last window's, or the one chosen most often (ties: most recently)."""
+    if policy == "last":
+        return best.groupBy(*keys).agg(F.max_by("cell", "window").alias("cell"))
+    votes = best.groupBy(*keys, "cell").agg(F.count("*").alias("votes"), F.max("window").alias("latest"))
+    return votes.groupBy(*keys).agg(F.max_by("cell", F.struct("votes", "latest")).alias("cell"))
+
+
+def adopt_limit(market: DataFrame, limit: DataFrame, *keys: str, least_fill: float = 0.80) -> DataFrame:
+    """``(*keys, adopted)``: a limit entry replaces the market entry if out of sample it fills often enough and has the better
+    Sharpe ratio and net gain. Both frames have ``fill_rate``, ``sharpe_raw`` and ``total_net_gain``."""
+    m = market.select(*keys, F.col("sharpe_raw").alias("m_sharpe"), F.col("total_net_gain").alias("m_gain"))
+    both = m.join(limit.select(*keys, "fill_rate", "sharpe_raw", "total_net_gain"), list(keys), "left")
+    better = (F.col("fill_rate") >= least_fill) & (F.col("sharpe_raw") > F.col("m_sharpe")) & (F.col("total_net_gain") > F.col("m_gain"))
+    return both.select(*keys, F.coalesce(better, F.lit(False)).alias("adopted"))

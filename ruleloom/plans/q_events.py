@@ -101,7 +101,12 @@ _features("f12_percent_b", _F("bb_pct_b_close_20", "position", ("close", "close_
 _features("f13_range_position", _F("pos_close_range20", "position", ("close", "close_min_20", "close_max_20")))
 
 
-@query("f8_macd_pairs")
+_MAC = f"""e AS (SELECT n.*, n.close AS f, n.close AS s, 0::DOUBLE AS g FROM bars n WHERE rn = 0 UNION ALL SELECT n.*, {1 - 2 / 13!r} * p.f + {2 / 13!r} * n.close, {1 - 2 / 27!r} * p.s + {2 / 27!r} * n.close,
+  0.8 * p.g + 0.2 * (({1 - 2 / 13!r} * p.f + {2 / 13!r} * n.close) - ({1 - 2 / 27!r} * p.s + {2 / 27!r} * n.close)) / n.close FROM e p JOIN bars n ON n.ticker = p.ticker AND n.rn = p.rn + 1),
+w AS (SELECT ticker, rn, round_even((f - s) / close, 5) AS m, round_even(g, 5) AS g FROM e)"""
+
+
+@query("f8_macd_pairs", f"WITH RECURSIVE {TOTAL_BARS_SQL}, {_MAC} SELECT ticker, rn::BIGINT AS rn, round(m / nullif(g, 0), 6) + 0.0::DOUBLE AS ratio_close_macd12_26_signal, round((m - g) / (SELECT stddev_samp(m - g) FROM w), 6) + 0.0::DOUBLE AS diffnorm_close_macd12_26_signal FROM w")
 def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ruleloom.operators.indicators import build_features
 
@@ -110,7 +115,10 @@ def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape(ft.add_features(df, plan), *(f.name for f in plan))
 
 
-@query("f9_aroon_pairs")
+_ARO = f"h AS (SELECT ticker, rn, {s_full('high', 15, 'list')} AS h, {s_full('low', 15, 'list')} AS l FROM bars), w AS (SELECT ticker, rn, round((list_position(h, list_max(h)) - 1) / 14.0::DOUBLE * 100, 5) AS u, round((list_position(l, list_min(l)) - 1) / 14.0::DOUBLE * 100, 5) AS d FROM h)"
+
+
+@query("f9_aroon_pairs", f"WITH {TOTAL_BARS_SQL}, {_ARO} SELECT ticker, rn::BIGINT AS rn, round(u / nullif(d, 0), 6) AS ratio_aroon14_up_down, round((u - d) / (SELECT stddev_samp(u - d) FROM w), 6) + 0.0::DOUBLE AS diffnorm_aroon14_up_down FROM w")
 def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ruleloom.operators.indicators import build_features
 

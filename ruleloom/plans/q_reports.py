@@ -217,7 +217,11 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rg.reasons_by(n.withColumn("reasons", F.array_compact(F.array(F.when(F.col("n") < 300, "few"), F.when(F.col("n") > 100, "many")))), "ticker")
 
 
-@query("p8_duplicate_clusters")
+@query(
+    "p8_duplicate_clusters",
+    f"""WITH {_RULES}, {_J1}, pf AS (SELECT event_id AS rule_id, round({_PF}, 9) AS pf FROM l WHERE ticker = '5-LOW' GROUP BY 1), bo AS (SELECT rule_a AS rule_id, rule_b AS other FROM jc WHERE jaccard > 0.1 UNION ALL SELECT rule_b, rule_a FROM jc WHERE jaccard > 0.1),
+dm AS (SELECT bo.rule_id, other, row_number() OVER (PARTITION BY bo.rule_id ORDER BY q.pf, other) AS r FROM bo JOIN pf p ON p.rule_id = bo.rule_id JOIN pf q ON q.rule_id = other WHERE q.pf > p.pf) SELECT other AS dominant, list_sort(list(rule_id)) AS members FROM dm WHERE r = 1 GROUP BY 1""",
+)
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rg.duplicate_clusters(j4(spark, sf_dir))
 
