@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.batches import small
+from ruleloom.llm.batches import bound, small
 
 #: Fixed by the vocabulary: how a text is cut into words before merging (white space by its Unicode property).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MEMO = 150_000
+MEMO = 100_000
 MEMO_WORD = 64
 ID_BITS, PLACE_BITS = 20, 40
 PLACE = (1 << PLACE_BITS) - 1
@@ -172,6 +172,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), lists, pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
+    bound(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.batches import small
+from ruleloom.llm.batches import bound, small
 from ruleloom.llm.shingles import mix
 
 EXACT = 4
@@ -224,4 +224,5 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         if rows:
             yield out(rows)
 
+    bound(docs.sparkSession)
     return with_next(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

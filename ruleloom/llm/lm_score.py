@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.batches import small
+from ruleloom.llm.batches import bound, small
 from ruleloom.llm.shingles import mix, word_hashes
 
 CLASSES = 64
@@ -256,6 +256,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scores; null ids are kept; an empty table gives an empty result; other
     columns are not read.
     """
+    bound(docs.sparkSession)
     table, net = fit(docs, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

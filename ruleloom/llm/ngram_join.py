@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ruleloom.llm.batches import small
+from ruleloom.llm.batches import bound, small
 from ruleloom.llm import scratch
 from ruleloom.llm.components import connected_components
 from ruleloom.llm.shingles import mix, shingle_sets
@@ -317,6 +317,7 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     connect, ``(a, null, linked)`` say with how many documents of other classes a
     class links (summed over rows).
     """
+    bound(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counted = own.select("text").mapInArrow(_counts(width), "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     counted = counted.where((F.col("kind") > 0) | (F.col("n") >= HEAVY_FROM))

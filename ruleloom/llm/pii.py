@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.batches import small
+from ruleloom.llm.batches import bound, small
 
 DEFAULT_KEY = b"ruleloom surrogate key"
 ROUNDS = 8
@@ -238,6 +238,7 @@ def pseudonymise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 found.append([{"kind": k, "start": s, "end": e, "original": text[s:e], "surrogate": x} for k, s, e, x in entities])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(found, pa.list_(ENTITY))], ["doc_id", "text", "entities"])
 
+    bound(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text string, entities array<struct<kind string, start int, end int, original string, surrogate string>>")
 
@@ -258,6 +259,7 @@ def replace_in_place(docs: DataFrame, *, text_col: str = "text", length_col: str
             new = [replace(t, surrogates)[0] if t else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, pa.field(text_col, pa.string()), pa.array(new, pa.string()))
 
+    bound(docs.sparkSession)
     texts = docs.withColumn(text_col, F.col(text_col).cast("string"))
     out = texts.mapInArrow(swap, texts.schema)
     if length_col:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.batches import small
+from ruleloom.llm.batches import bound, small
 from ruleloom.llm.boosting import Boosted, fit_boosted, isotonic
 
 TRAIN_ROWS = 20_000
@@ -171,6 +171,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """A model of ``labels[label_col]`` from texts of rows whose crc32(id) mod 5 is not 0."""
+    bound(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     some = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y"), F.crc32(key.cast("binary")).alias("__crc")).where("__y in (0, 1) and __id is not null and __crc % 5 <> 0").dropDuplicates(["__id"])
     some = some.orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
@@ -231,6 +232,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
             score = model.score(np.stack([features(t, codes) for t in texts]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(i) for i in ids]), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
+    bound(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -245,4 +247,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text")
             toxic = model.score(np.stack([features(t if t is None else str(t), codes) for t in texts])) >= 0.5
             yield batch.filter(pa.array(~toxic))
 
+    bound(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
