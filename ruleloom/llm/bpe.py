@@ -47,7 +47,8 @@ def byte_names() -> dict[int, str]:
 class Encoder(dict):
     """Encodes and decodes texts; as a dict it remembers the ids of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None):
+        self.most = MEMO if memo is None else memo
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         names = byte_names()
@@ -74,7 +75,7 @@ class Encoder(dict):
         if ids is None:
             ids = self.merge(word.encode("utf-8"))
         if len(word) <= MEMO_WORD:
-            if len(self) >= MEMO:  # words in use move on, the rest goes
+            if len(self) >= self.most:  # words in use move on, the rest goes
                 self.older = dict(self)
                 self.clear()
             self[word] = ids
@@ -135,8 +136,8 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, memo: int | None = None) -> Encoder:
+    return Encoder(path, memo)
 
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
@@ -151,9 +152,11 @@ def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
         yield start, values[start:]
 
 
-def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", memo: int | None = None) -> DataFrame:
     """``(doc_id, ids, decoded)`` per input row: the token ids of the whole text, and the text decoded from them.
 
+    A worker remembers the ids of up to twice ``memo`` words (about 200 bytes each).
+
     Defined cases: a null text is encoded as an empty one, which has no ids and
     decodes to an empty text; a special token's string in a text is that token;
     repeated rows and null ids are kept; an empty table gives an empty result;
@@ -161,7 +164,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
+        bpe = encoder(vocabulary, memo)
         for batch in small(batches):
             for start, texts in _parts(batch, 1):
                 ids = [bpe.encode(t) if t else [] for t in texts]

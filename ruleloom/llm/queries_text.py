@@ -16,7 +16,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary()))
+    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), memo=400_000))
 
 
 def op8_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
