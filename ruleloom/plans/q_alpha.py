@@ -144,13 +144,24 @@ nu AS (SELECT de.ticker, de.event_id, de.h, stddev_pop(d) AS sd, count(d) AS k,
 
 
 def rotation_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All activations and returns, over every bar of each ticker."""
     bars, a = fixed_activations(spark, sf_dir)
-    return a.where(F.col("rn") < _ROT_SPLIT), al.forward(bars, (1, 5)).where(F.col("rn") < _ROT_SPLIT)
+    return a, al.forward(bars, (1, 5))
+
+
+def rotation_prefix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first bars alone, for the queries whose SQL tries every shift by a join; the ``_whole`` ones have no SQL."""
+    return tuple(x.where(F.col("rn") < _ROT_SPLIT) for x in rotation_inputs(spark, sf_dir))
 
 
 @query("m7_rotation_null", f"WITH {_ROT} SELECT ticker, event_id, h::INTEGER AS h, re.n::BIGINT AS n, round(delta, 6) + 0.0::DOUBLE AS delta, round(delta / sd, 5) + 0.0::DOUBLE AS z, round((1 + ge) / (1 + k), 6) AS p FROM re JOIN nu USING (ticker, event_id, h)")
-def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(al.rotation_null(*rotation_inputs(spark, sf_dir)).withColumn("z", F.round("z", 5))))
+def m7(spark: SparkSession, sf_dir: str, inputs=rotation_prefix) -> DataFrame:
+    return rounded(rounded(al.rotation_null(*inputs(spark, sf_dir)).withColumn("z", F.round("z", 5))))
+
+
+@query("m7_rotation_null_whole")
+def m7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m7(spark, sf_dir, rotation_inputs)
 
 
 @query("m8_horizon_choice")
@@ -222,11 +233,16 @@ def m19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("m21_benjamini_hochberg", f"WITH {_ROT}, p AS (SELECT ticker, event_id, h, round((1 + ge) / (1 + k), 6) AS p FROM nu), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, event_id ORDER BY p) AS i, count(*) OVER (PARTITION BY ticker, event_id) AS m FROM p), l AS (SELECT *, max(CASE WHEN p <= i / m * 0.1 THEN i END) OVER (PARTITION BY ticker, event_id) AS l FROM r) SELECT ticker, event_id, h::INTEGER AS h, p, coalesce(i <= l, false) AS significant FROM l")
-def m21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rounded(al.rotation_null(*rotation_inputs(spark, sf_dir)).where("z is not null").select("ticker", "event_id", "h", "p"))
+def m21(spark: SparkSession, sf_dir: str, inputs=rotation_prefix) -> DataFrame:
+    r = rounded(al.rotation_null(*inputs(spark, sf_dir)).where("z is not null").select("ticker", "event_id", "h", "p"))
     return st.benjamini_hochberg(r, "p", 0.1, "ticker", "event_id")
 
 
+@query("m21_benjamini_hochberg_whole")
+def m21_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m21(spark, sf_dir, rotation_inputs)
+
+
 @query("m22_m23_p_values")
 def m22(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, a = fixed_activations(spark, sf_dir)
@@ -267,11 +283,16 @@ def m26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("n1_search_null", f"WITH {_ROT}, sd AS (SELECT ticker, event_id, h, stddev_pop(d) AS sd FROM de WHERE o > 0 AND d IS NOT NULL GROUP BY 1, 2, 3), z AS (SELECT de.ticker, o, max(abs(d / sd)) AS z FROM de JOIN sd USING (ticker, event_id, h) WHERE n >= 2 AND d IS NOT NULL AND sd > 0 GROUP BY 1, 2), r AS (SELECT ticker, z AS re FROM z WHERE o = 0) SELECT z.ticker, count(*)::BIGINT AS offsets, round(any_value(re), 5) AS real, round((1 + sum((z >= re)::INT)) / (1 + count(*)), 6) AS p, round(quantile_cont(z, 0.95), 5) AS bar FROM z JOIN r USING (ticker) WHERE o > 0 GROUP BY 1")
-def n1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = al.search_null(*rotation_inputs(spark, sf_dir))
+def n1(spark: SparkSession, sf_dir: str, inputs=rotation_prefix) -> DataFrame:
+    out = al.search_null(*inputs(spark, sf_dir))
     return rounded(out.withColumn("real", F.round("real", 5)).withColumn("bar", F.round("bar", 5)))
 
 
+@query("n1_search_null_whole")
+def n1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return n1(spark, sf_dir, rotation_inputs)
+
+
 @query("n2_sampled_rotations", f"WITH {ORDER_BARS_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY ticker) AS n FROM bars), d AS (SELECT * FROM (VALUES (0, 17), (1, 101), (2, 333)) t(draw, k)) SELECT n.ticker, draw::INTEGER AS draw, n.rn::BIGINT AS rn, b.close FROM n, d JOIN bars b ON b.ticker = n.ticker AND b.rn = (n.rn + k) % n.n")
 def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.rotated(order_bars(spark, sf_dir), [17, 101, 333]).select("ticker", "draw", F.col("rn").cast("long").alias("rn"), "close")
