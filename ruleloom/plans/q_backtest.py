@@ -117,7 +117,7 @@ def b12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b14_walk_forward")
 def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, a = fixed_activations(spark, sf_dir)
-    best, oos = bt.walk_forward(bars, a.where("event_id in ('E-SPREAD', 'E-RANGE')"), GRID[:4], min_train=24)
+    best, oos = bt.walk_forward(bars, a, GRID, min_train=24)
     pooled = oos.groupBy(*KEYS).agg(F.count("*").alias("oos_trades"), bt.profit_factor().alias("oos_pf"))
     return rounded(best.groupBy(*KEYS).agg(F.count("*").alias("windows")).join(pooled, list(KEYS), "left"))
 

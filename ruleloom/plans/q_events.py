@@ -330,8 +330,12 @@ def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g13_diversity_gate")
 def g13b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = fixed_activations(spark, sf_dir)[1].where("ticker = '5-LOW'")
-    return spark.createDataFrame([(i, e) for i, e in enumerate(gt.diversity(a, 0.3))], "i int, event_id string")
+    """The events that each ticker keeps, in the order of their choice."""
+    a = fixed_activations(spark, sf_dir)[1].select("ticker", F.concat_ws("|", "ticker", "event_id").alias("event_id"), "rn")
+    kept: dict[str, list[str]] = {}
+    for ticker, event_id in (x.split("|") for x in gt.diversity(a, 0.3)):  # events of two tickers never overlap
+        kept.setdefault(ticker, []).append(event_id)
+    return spark.createDataFrame([(t, i, e) for t, events in sorted(kept.items()) for i, e in enumerate(events)], "ticker string, i int, event_id string")
 
 
 @query(

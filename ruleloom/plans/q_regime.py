@@ -104,6 +104,14 @@ def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(lookup, "open_dt", "left").select("o_orderkey", "regime", "regime_stable")
 
 
+@query("r7_regime_lookup_whole")
+def r7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of every priority with the regime of their ticker's day."""
+    lookup = reg.regime_table(with_regime(spark, sf_dir))
+    orders = src.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").alias("open_dt"))
+    return orders.join(lookup, ["ticker", "open_dt"], "left").select("o_orderkey", "regime", "regime_stable")
+
+
 _D = f"p AS (SELECT *, ln(close) AS p FROM bars), d AS (SELECT *, {s_lag('p')} AS b, p - {s_lag('p')} AS d FROM p)"
 
 

@@ -54,3 +54,39 @@ def test_rotations_try_every_shift_of_whole_series(spark, tables):
         assert abs(r.z - zs[t, e, r.h]) < 2e-5 and abs(r.p - ps[t, e, r.h]) < 2e-6
     assert {(r.ticker, r.event_id, r.h): r.p for r in q["m21_benjamini_hochberg_whole"](spark, SF).collect()} == {k: r.p for k, r in rows.items()}
     assert {r.ticker: r.offsets for r in q["n1_search_null_whole"](spark, SF).collect()} == {t: n - 1 for t, n in bars_of.items()}
+
+
+def test_reports_cover_every_ticker_event_and_cell(spark, tables):
+    from ruleloom.plans.q_backtest import GRID, LONG, backtest
+    from ruleloom.operators import backtest as bt
+
+    q = catalog.queries()
+    _, ledger, _ = backtest(spark, SF, [LONG])
+    days = {}
+    for r in ledger.select("ticker", "event_id", "fill_dt").distinct().collect():
+        days.setdefault(f"{r.ticker}/{r.event_id}", set()).add(r.fill_dt)
+    assert len({k.split("/")[0] for k in days}) == 5
+    want = {(x, y): round(len(days[x] & days[y]) / len(days[x] | days[y]), 6) for x in days for y in days if x < y}
+    got = {(r.rule_a, r.rule_b): r.jaccard for r in q["j1_jaccard_by_date_whole"](spark, SF).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert {(r.rule_a, r.rule_b) for r in q["j2_gain_correlation_whole"](spark, SF).collect()} == set(want)
+    assert {r.rule_id for r in q["j3_correlation_maxima_whole"](spark, SF).collect()} == set(days)
+    duplicates = {r.rule_id: r.duplicate_of for r in q["j4_duplicates_whole"](spark, SF).collect()}
+    assert set(duplicates) == set(days)
+    assert {m: r.dominant for r in q["p8_duplicate_clusters_whole"](spark, SF).collect() for m in r.members} == {k: v for k, v in duplicates.items() if v}
+    orders = q["r7_regime_lookup_whole"](spark, SF)
+    assert orders.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    low = {r.o_orderkey: (r.regime, r.regime_stable) for r in q["r7_regime_lookup"](spark, SF).collect()}
+    assert low.items() <= {r.o_orderkey: (r.regime, r.regime_stable) for r in orders.collect()}.items()
+    bars, a = fixed_activations(spark, SF)
+    active = tables[1]
+    on = {k: set(x["rn"]) for k, x in active.groupby(["ticker", "event_id"])}
+    kept = {}
+    for t, e in sorted(on, key=lambda k: (-len(on[k]), k)):
+        if all(len(on[t, e] & on[t, o]) / len(on[t, e] | on[t, o]) < 0.3 for o in kept.get(t, [])):
+            kept.setdefault(t, []).append(e)
+    assert {(r.ticker, r.i, r.event_id) for r in q["g13_diversity_gate"](spark, SF).collect()} == {(t, i, e) for t, x in kept.items() for i, e in enumerate(x)}
+    best, _ = bt.walk_forward(bars, a, GRID, min_train=24)
+    windows = {(r.ticker, r.event_id): r.windows for r in q["b14_walk_forward"](spark, SF).collect()}
+    assert windows == {(r.ticker, r.event_id): r["count"] for r in best.groupBy("ticker", "event_id").count().collect()}
+    assert {e for _, e in windows} == set(active["event_id"])
