@@ -5,11 +5,16 @@ masked; the score of a text is the sum of the logarithms of these probabilities.
 The network embeds the window, weighs each place and dimension, and predicts the
 token's class and then the token within its class (two softmaxes of 64).
 
-Tokens are words; the vocabulary is the most frequent word hashes of the whole
-corpus plus shared buckets for the rest.  Training reads every document: each
-partition starts from the corpus counts, makes one pass over its own texts with
-one token in ``STRIDE`` as a target, and the weights of all partitions are
-averaged, weighted by their targets, in fixed point so that reruns agree.
+Every word has a probability of its own: that of its token, of ``TOKENS``, which the
+network predicts, times the word's share of that token by counts of the whole corpus.
+Frequent words have a token almost to themselves, the others share ``TOKENS -
+FREQUENT``.  Words are told apart by 64-bit hashes.  The executors hold the counts of
+the most frequent words, and the others are joined, so the number of words is not
+bounded.  Training reads every document: each partition starts from the corpus
+counts, makes one pass over its own texts with
+one token in ``STRIDE`` as a target, and the
+weights of all partitions are averaged, weighted by their targets, in fixed point so
+that reruns agree.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm import scratch
 from ruleloom.llm.batches import bound, small
 from ruleloom.llm.shingles import mix, word_hashes
 
@@ -32,10 +38,12 @@ PAD = TOKENS
 SLOT_BITS = 18
 WIDTH = 16
 REACH = 3
-STRIDE = 8
 BATCH = 2048
 RATE = 0.08
+STRIDE = 8
 FIXED = 1 << 16
+#: Words whose counts every executor holds at most; the counts of others are joined, with the same result.
+KNOWN = 1 << 18
 GROUP_BYTES = 400_000
 SHIFTS = [j for j in range(-REACH, REACH + 1) if j]
 
@@ -86,75 +94,100 @@ class Network:
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Logarithm of the probability of each target given its hidden vector."""
-        logits = h @ self.to_class.T + self.class_bias
-        group = target >> 6
-        out = logits[np.arange(len(h)), group] - log_sum_exp(logits)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                logits = h[rows] @ self.to_word[c].T + self.word_bias[c]
-                out[rows] += logits[np.arange(len(rows)), target[rows] & 63] - log_sum_exp(logits)
-        return out
+        order, ends = by_class(target)
+        word, hidden = target[order] & 63, np.ascontiguousarray(h[order].T)
+        logits = self.to_class @ hidden + self.class_bias[:, None]
+        out = np.repeat(np.arange(CLASSES), np.diff(ends))
+        out = logits[out, np.arange(len(h))] - log_sum_exp(logits)
+        for c in np.flatnonzero(np.diff(ends)):
+            at = slice(ends[c], ends[c + 1])
+            logits = self.to_word[c] @ hidden[:, at] + self.word_bias[c][:, None]
+            out[at] += logits[word[at], np.arange(logits.shape[1])] - log_sum_exp(logits)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def step(self, windows: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
         """One Adagrad step on targets with their windows (a column per place)."""
         n = len(target)
+        order, ends = by_class(target)
+        windows, target = windows[order], target[order]
         e = self.embed[windows]
-        h = np.tanh((e * self.place[None]).sum(axis=1) + self.shift)
-        group = target >> 6
-        p = softmax(h @ self.to_class.T + self.class_bias)
-        p[np.arange(n), group] -= 1
-        g_class, g_class_bias, g_h = p.T @ h, p.sum(axis=0), p @ self.to_class
+        h = np.repeat(self.shift[None, :], n, axis=0)
+        for j, w in enumerate(self.place):
+            h += w * e[:, j]
+        np.tanh(h, out=h)
+        hidden, word = np.ascontiguousarray(h.T), target & 63
+        p = softmax(self.to_class @ hidden + self.class_bias[:, None])
+        p[target >> 6, np.arange(n)] -= 1
+        g_class, g_class_bias, g_h = p @ h, p.sum(axis=1), self.to_class.T @ p
         g_word, g_word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                q = softmax(h[rows] @ self.to_word[c].T + self.word_bias[c])
-                q[np.arange(len(rows)), target[rows] & 63] -= 1
-                g_word[c], g_word_bias[c] = q.T @ h[rows], q.sum(axis=0)
-                g_h[rows] += q @ self.to_word[c]
-        g_h *= 1 - h * h
-        g_place = (e * g_h[:, None, :]).sum(axis=0)
+        for c in np.flatnonzero(np.diff(ends)):
+            at = slice(ends[c], ends[c + 1])
+            q = softmax(self.to_word[c] @ hidden[:, at] + self.word_bias[c][:, None])
+            q[word[at], np.arange(q.shape[1])] -= 1
+            g_word[c], g_word_bias[c] = q @ h[at], q.sum(axis=1)
+            g_h[:, at] += self.to_word[c].T @ q
+        g_h = np.ascontiguousarray(g_h.T) * (1 - h * h)
+        g_place = np.stack([(e[:, j] * g_h).sum(axis=0) for j in range(len(SHIFTS))])
         spread = (g_h[:, None, :] * self.place[None]).reshape(-1, WIDTH)
-        flat = windows.ravel()
+        flat = windows.ravel().astype(np.int16)
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-        g_embed = np.zeros_like(self.embed)
-        g_embed[flat[order][first]] = np.add.reduceat(spread[order], first, axis=0)
-        g_embed[PAD] = 0
-        for w, g, s in zip(self.parts(), [g_embed, g_place, g_h.sum(axis=0), g_class, g_class_bias, g_word, g_word_bias], squares):
+        rows = flat[order][first]
+        g_embed = np.add.reduceat(spread[order], first, axis=0)
+        g_embed[rows == PAD] = 0
+        # of the embeddings only those of the windows have a gradient
+        g_embed /= n
+        squares[0][rows] += g_embed * g_embed
+        self.embed[rows] -= RATE * g_embed / (np.sqrt(squares[0][rows]) + 1e-4)
+        for w, g, s in zip(self.parts()[1:], [g_place, g_h.sum(axis=0), g_class, g_class_bias, g_word, g_word_bias], squares[1:]):
             g /= n
             s += g * g
             w -= RATE * g / (np.sqrt(s) + 1e-4)
 
 
+def by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of targets by class, and where each class begins and the last ends."""
+    group = (target >> 6).astype(np.uint8)
+    return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=CLASSES))])
+
+
 def log_sum_exp(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    """Of each column."""
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    """Of each column."""
+    x = np.exp(x - x.max(axis=0))
+    x /= x.sum(axis=0)
+    return x
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slots of all words of some texts, and the offsets of each text."""
+def _words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of all words of some texts, and the offsets of each text."""
     group: list[bytes] = []
     held = 0
     for i, text in enumerate(texts):
         group.append(text.encode("utf-8", "surrogatepass").lower() if text else b"")
         held += len(group[-1])
         if held >= GROUP_BYTES or i + 1 == len(texts):
-            words, at = word_hashes(group)
-            yield (mix(words) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), at
+            yield word_hashes(group)
             group, held = [], 0
 
 
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (mix(words) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slots of all words of some texts, and the offsets of each text."""
+    for words, at in _words(texts):
+        yield _slots(words), at
+
+
 def _padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of several texts with REACH pads around each, and the places of the tokens."""
     place = np.arange(len(ids)) + REACH * (1 + np.repeat(np.arange(len(at) - 1), np.diff(at)))
@@ -196,36 +229,116 @@ def train_on(batches: Iterator[list[str | None]], table: np.ndarray, start: Netw
     return net, seen
 
 
+def token_scores(slots: np.ndarray, at: np.ndarray, table: np.ndarray, net: Network) -> np.ndarray:
+    """Log-probability of the token of every word."""
+    tokens, place = _padded(table[slots], at)
+    logp = np.empty(len(place))
+    for i in range(0, len(place), 65536):
+        p = place[i : i + 65536]
+        h = net.hidden(tokens[p[0] - REACH : p[-1] + REACH + 1])[p - p[0]]
+        logp[i : i + 65536] = net.log_probability(h, tokens[p])
+    return logp
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each text."""
+    total = np.zeros(len(at) - 1)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        total[some] = np.add.reduceat(values, at[:-1][some])
+    return total
+
+
 def score_texts(texts: list[str | None], table: np.ndarray, net: Network) -> Iterator[tuple[int, float]]:
-    """Number of tokens and summed log-probability of each text."""
+    """Number of words and summed log-probability of the tokens of each text."""
     for slots, at in _groups(texts):
-        n = np.diff(at)
-        total = np.zeros(len(n))
-        if len(slots):
-            tokens, place = _padded(table[slots], at)
-            logp = np.empty(len(place))
-            for i in range(0, len(place), 65536):
-                p = place[i : i + 65536]
-                h = net.hidden(tokens[p[0] - REACH : p[-1] + REACH + 1])[p - p[0]]
-                logp[i : i + 65536] = net.log_probability(h, tokens[p])
-            some = np.flatnonzero(n)
-            total[some] = np.add.reduceat(logp, at[:-1][some])
-        yield from zip(n.tolist(), total.tolist())
+        total = _sums(token_scores(slots, at, table, net) if len(slots) else np.empty(0), at)
+        yield from zip(np.diff(at).tolist(), total.tolist())
+
+
+@dataclass
+class Shares:
+    """What words have of their tokens: logarithms of the tokens' counts and of those of the words with ``least`` or more."""
+
+    tokens: np.ndarray
+    words: np.ndarray
+    logs: np.ndarray
+    least: int
+
+    def of(self, words: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the shares, and which words' counts are not among ``words`` and taken as one."""
+        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
+        known = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
+        counts = np.where(known, self.logs[at], 0.0) if len(self.words) else np.zeros(len(words))
+        return counts - self.tokens[tokens], ~known
+
+
+def score_words(texts: list[str | None], table: np.ndarray, net: Network, shares: Shares) -> Iterator[tuple[int, float, np.ndarray]]:
+    """Number of words and summed log-probability of each text, and the words whose counts are to be added."""
+    for words, at in _words(texts):
+        if not len(words):
+            yield from ((0, 0.0, words) for _ in at[1:])
+            continue
+        slots = _slots(words)
+        share, unknown = shares.of(words, table[slots])
+        total = _sums(token_scores(slots, at, table, net) + share, at)
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+            # below a count of two there is nothing to add
+            yield int(b - a), float(total[i]), words[a:b][unknown[a:b]] if shares.least > 2 else words[:0]
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``(slot, word, n)`` of every word of all texts."""
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, back = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(_slots(words).astype(np.int32)), pa.array(words.view(np.int64)), pa.array(n)], ["slot", "word", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in small(batches):
+            for words, _ in _words(batch.column(0).to_pylist()):
+                held.append(np.unique(words, return_counts=True))
+                size += len(held[-1][0])
+                if size >= 1 << 19:
+                    yield merged(held)
+                    held, size = [], 0
+        if size:
+            yield merged(held)
+
+    return texts.mapInArrow(count, "slot int, word long, n long").groupBy("slot", "word").agg(F.sum("n").alias("n"))
+
+
+def word_shares(counts: DataFrame, tokens: np.ndarray) -> Shares:
+    """From the counts of words and of tokens."""
+    top = 1 << 16
+    sizes = counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("words")).toArrow()  # at most ``top`` rows
+    least, held = top + 1, 0
+    for n, words in sorted(zip(sizes["n"].to_pylist(), sizes["words"].to_pylist()), reverse=True):
+        if held + words > KNOWN:
+            break
+        least, held = n, held + words
+    # no row has a count between the next one that is there and this one
+    below = max((n for n in sizes["n"].to_pylist() if n < least), default=0)
+    least = below + 1
+    known = counts.where(F.col("n") >= least).select("word", "n").toArrow() if held else None
+    words = known["word"].to_numpy().view(np.uint64) if known else np.empty(0, np.uint64)
+    order = np.argsort(words)
+    logs = np.log(known["n"].to_numpy().astype(np.float64))[order] if known else np.empty(0)
+    return Shares(np.log(np.maximum(tokens, 1.0)), words[order], logs, least if held else 1 << 62)
 
 
 def fit(docs: DataFrame, *, text_col: str = "text") -> tuple[np.ndarray, Network]:
     """Table from word slot to token, and the averaged network, from all of ``docs``."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    return _fit(texts, scratch.cut(count_words(texts), "lm-words"))[:2]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in small(batches):
-            for slots, _ in _groups(batch.column(0).to_pylist()):
-                n += np.bincount(slots, minlength=len(n))
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["slot", "n"])
 
-    counted = texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SLOT_BITS rows
+def _fit(texts: DataFrame, words: DataFrame) -> tuple[np.ndarray, Network, np.ndarray]:
+    """Table, network, and the counts of the tokens."""
+    counted = words.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SLOT_BITS rows
     counted = counted.sort_values(["n", "slot"], ascending=[False, True])
     table = FREQUENT + np.arange(1 << SLOT_BITS) % (TOKENS - FREQUENT)
     top = counted["slot"].to_numpy()[:FREQUENT]
@@ -245,11 +358,11 @@ def fit(docs: DataFrame, *, text_col: str = "text") -> tuple[np.ndarray, Network
     mean = texts.mapInArrow(train, "i int, v long, w long").groupBy("i").agg((F.sum("v").cast("double") / F.sum("w")).alias("v")).toPandas()  # one row per weight
     flat = start.flat().astype(np.float64)
     flat[mean["i"].to_numpy(np.int64)] = mean["v"].to_numpy() / FIXED
-    return table, start.load(flat)
+    return table, start.load(flat), counts
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: doc_id, n_tokens, score (summed log-probability), mean_score (per token).
+    """Per input row: doc_id, n_tokens, score (summed log-probability of its words), mean_score (per word).
 
     Defined cases: a null, empty or blank text has no tokens, score 0 and a null
     mean; places beyond a text's ends are a padding token; repeated rows get equal
@@ -257,13 +370,24 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     columns are not read.
     """
     bound(docs.sparkSession)
-    table, net = fit(docs, text_col=text_col)
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    words = scratch.cut(count_words(texts), "lm-words")
+    table, net, counts = _fit(texts, words)
+    shares = word_shares(words, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            n, total = zip(*score_texts(batch.column(1).to_pylist(), table, net)) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_tokens", "score"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, n_tokens long, score double")
+            n, total, rest = zip(*score_words(batch.column(2).to_pylist(), table, net, shares)) if batch.num_rows else ((), (), ())
+            out = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([r.view(np.int64) for r in rest], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["row", "doc_id", "n_tokens", "score", "rest"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = rows.mapInArrow(run, "row long, doc_id long, n_tokens long, score double, rest array<long>")
+    if shares.least > 2:
+        out = scratch.cut(out, "lm-scores")
+        # in fixed point, so that the order of the sum does not matter
+        log = F.sum(F.round(F.log("n") * float(1 << 32)).cast("long")) / float(1 << 32)
+        more = out.select("row", F.explode("rest").alias("word")).join(words.where(F.col("n") < shares.least).select("word", "n"), "word").groupBy("row").agg(log.alias("more"))
+        out = out.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    out = out.select("doc_id", "n_tokens", "score")
     return out.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -113,6 +114,25 @@ def test_training_beats_frequencies(spark):
     assert (start.load(start.flat()).flat() == start.flat()).all()
 
 
+@pytest.mark.parametrize("known", [0, 3000, 1 << 18])
+def test_every_word_has_a_probability_of_its_own(spark, monkeypatch, known):
+    monkeypatch.setattr(lm_score, "KNOWN", known)
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{min(rng.randrange(9000), rng.randrange(9000))}" for _ in range(300))) for i in range(80)] + [(None, "w1 w2"), (3, ""), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    table, net = lm_score.fit(df)
+    counts = Counter(w for _, t in docs for w in (t or "").split())
+    token = {w: int(table[next(lm_score._groups([w]))[0][0]]) for w in counts}
+    assert len(counts) > lm_score.TOKENS  # so that words share tokens
+    whole = Counter()
+    for w, n in counts.items():
+        whole[token[w]] += n
+    want = [s + sum(np.log(counts[w] / whole[token[w]]) for w in (t or "").split()) for (_, t), (_, s) in zip(docs, lm_score.score_texts([t for _, t in docs], table, net))]
+    got = lm_score.score_documents(df).collect()
+    assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, (i for i, _ in docs)))
+    assert np.allclose(sorted(r.score for r in got), sorted(want), atol=1e-3)
+
+
 def test_scores_of_no_rows(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string").where("doc_id > 5")
     assert lm_score.score_documents(df).collect() == []
