@@ -11,8 +11,7 @@ Frequent words have a token almost to themselves, the others share ``TOKENS -
 FREQUENT``.  Words are told apart by 64-bit hashes.  The executors hold the counts of
 the most frequent words, and the others are joined, so the number of words is not
 bounded.  Training reads every document: each partition starts from the corpus
-counts, makes one pass over its own texts with
-one token in ``STRIDE`` as a target, and the
+counts, makes one pass over its own texts with every token as a target, and the
 weights of all partitions are averaged, weighted by their targets, in fixed point so
 that reruns agree.
 """
@@ -40,7 +39,6 @@ WIDTH = 16
 REACH = 3
 BATCH = 2048
 RATE = 0.08
-STRIDE = 8
 FIXED = 1 << 16
 #: Words whose counts every executor holds at most; the counts of others are joined, with the same result.
 KNOWN = 1 << 18
@@ -200,7 +198,7 @@ def train_on(batches: Iterator[list[str | None]], table: np.ndarray, start: Netw
     """One pass over the texts of a partition."""
     net = start.load(start.flat())
     squares = [np.zeros_like(p) for p in net.parts()]
-    windows, targets, held, seen, passed = [], [], 0, 0, 0
+    windows, targets, held, seen = [], [], 0, 0
 
     def step() -> None:
         net.step(np.concatenate(windows), np.concatenate(targets), squares)
@@ -212,9 +210,8 @@ def train_on(batches: Iterator[list[str | None]], table: np.ndarray, start: Netw
             if not len(slots):
                 continue
             tokens, place = _padded(table[slots], at)
-            # by a hash of the place in the partition, so that no period of the texts meets one of the choice
-            chosen = place[mix(np.arange(passed, passed + len(place), dtype=np.uint64)) % np.uint64(STRIDE) == 0]
-            passed += len(place)
+            # in an order by hash, so that a step's targets are of many texts
+            chosen = place[np.argsort(mix(np.arange(len(place), dtype=np.uint64)))]
             seen += len(chosen)
             for i in range(0, len(chosen), BATCH):
                 c = chosen[i : i + BATCH]

@@ -133,6 +133,13 @@ def test_every_word_has_a_probability_of_its_own(spark, monkeypatch, known):
     assert np.allclose(sorted(r.score for r in got), sorted(want), atol=1e-3)
 
 
+def test_every_token_is_a_target():
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(70)) for i in range(90)] + [None, ""]
+    table = np.arange(1 << lm_score.SLOT_BITS) % lm_score.TOKENS
+    start = lm_score.Network.start(np.ones(lm_score.TOKENS))
+    assert lm_score.train_on(iter([texts[:40], texts[40:]]), table, start)[1] == 90 * 70
+
+
 def test_scores_of_no_rows(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string").where("doc_id > 5")
     assert lm_score.score_documents(df).collect() == []
