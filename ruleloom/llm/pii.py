@@ -3,10 +3,12 @@
 A surrogate is the image of the entity under a keyed permutation of all strings
 of the same format (the same signs and, letter by letter, the same class: digit,
 hex digit, small or capital vowel or consonant of one script; or the same gendered
-name list).  So equal entities get equal surrogates in every document
-(coreference), and different ones get different ones (distinctness), without any
-table of the corpus.  The permutation is a Feistel network ``f`` turned into the
-cyclic shift ``f^-1(f(x) + 1)``, which maps nothing to itself.  Card numbers keep
+list of given names; family names have one permutation for all titles).  So equal
+entities get equal surrogates in every document (coreference), and different ones get
+different ones (distinctness), without any table of the corpus.  The permutation is a
+Feistel network ``f`` turned into the cyclic shift ``f^-1(f(x) + 1)``, which maps nothing
+to itself; where it leaves the entities of the same form (say from no hex number to
+one), it is applied again until it is back among them.  Card numbers keep
 their leading digit and whether their check digit is right; addresses of a
 network keep their class; mail addresses keep their reserved or top-level domain.
 
@@ -29,6 +31,8 @@ from ruleloom.llm.batches import bound, small
 
 DEFAULT_KEY = b"ruleloom surrogate key"
 ROUNDS = 8
+#: Letters that are permuted at once; those of a longer entity follow block by block.
+BLOCK = 512
 #: Given names by script and gender; the surrogate of one is another of the same list.
 NAMES = {
     ("latin", "f"): "Alice Anna Amelia Beatrice Carla Camille Charlotte Claire Clara Daniela Elena Elise Emily Emma Erika Eva Grace Hannah Helena Ines Isabel Jana Julia Karin Laura Lena Louise Lucia Maria Marta Mary Monika Nina Olivia Paula Rosa Sarah Sofia Sophie Teresa Valerie".split(),
@@ -36,8 +40,8 @@ NAMES = {
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Николай Павел Сергей Юрий".split(),
 }
-#: Titles that announce a name, with its gender where they tell it.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f"}
+#: Titles that announce a name.
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Herrn Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Господин Госпожа".split()
 #: Letter classes that a surrogate keeps.
 CLASSES = ("0123456789", "aeiouy", "AEIOUY", "bcdfghjklmnpqrstvwxz", "BCDFGHJKLMNPQRSTVWXZ", "àâäáãåæèéêëìíîïòóôöõøùúûüýÿ", "ÀÂÄÁÃÅÆÈÉÊËÌÍÎÏÒÓÔÖÕØÙÚÛÜÝŸ", "çñßšž", "ÇÑŠŽ", "аеёиоуыэюя", "АЕЁИОУЫЭЮЯ", "бвгджзйклмнпрстфхцчшщъь", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ")
 CLASS_OF = {c: s for s in CLASSES for c in s}
@@ -47,8 +51,8 @@ RESERVED = {"example.com", "example.org", "example.net"}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Detectors in order of precedence; the group "v" is what is replaced.
 DETECTORS: list[tuple[str, str]] = [
-    ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passwd|password|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[A-Za-z0-9_\-./+]{8,512})"),
-    ("secret", r"(?<![A-Za-z0-9])(?P<v>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"),
+    ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passwd|password|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[A-Za-z0-9_\-./+]{8,})"),
+    ("secret", r"(?<![A-Za-z0-9])(?P<v>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"),
     ("email", r"(?<![\w.+%-])(?P<v>[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9-])"),
     ("iban", r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
     ("ssn", r"(?<![\d-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d-])"),
@@ -117,50 +121,65 @@ class Surrogates:
         at = [i for i, c in enumerate(text) if i >= fixed and alphabet(c)]
         sets = [alphabet(text[i]) for i in at]
         tweak = kind + "|" + "".join(s[0] if i >= fixed and (s := alphabet(c)) else "=" + c for i, c in enumerate(text))
-        new = self.permute([s.index(text[i]) for s, i in zip(sets, at)], list(map(len, sets)), tweak)
+        digits, radix = [s.index(text[i]) for s, i in zip(sets, at)], list(map(len, sets))
+        new = self.permute(digits[:BLOCK], radix[:BLOCK], tweak)
+        if len(at) > BLOCK:  # each block by a permutation that the ones before it choose
+            before = hashlib.blake2b(tweak.encode("utf-8", "surrogatepass"), key=self.key[:64])
+            for i in range(BLOCK, len(at), BLOCK):
+                before.update(bytes(digits[i - BLOCK : i]))
+                new += self.permute(digits[i : i + BLOCK], radix[i : i + BLOCK], before.hexdigest())
         out = list(text)
         for i, s, d in zip(at, sets, new):
             out[i] = s[d]
         return "".join(out)
 
-    def _of(self, kind: str, text: str, gender: str = "") -> str:
+    def _among(self, text: str, form: Callable[[str], object], step: Callable[[str], str]) -> str:
+        """The next string of the same form under a permutation of more: a permutation of those of each form."""
+        of, new = form(text), step(text)
+        while form(new) != of:
+            new = step(new)
+        return new
+
+    def _of(self, kind: str, text: str) -> str:
         if kind == "card":
             return self._card(text)
         if kind == "phone":
             return self.classes(text, kind, fixed=re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", text).end())
         if kind == "ip":
-            o = list(map(int, text.split(".")))
-            keep = 2 if (o[0], o[1]) == (192, 168) else 1 if o[0] in (10, 127) else 0
-            new = self.permute(o[keep:], [256] * (4 - keep), f"ip|{o[:keep]}")
-            return ".".join(map(str, o[:keep] + new))
+            keep = kept_octets(text)
+
+            def step(t: str) -> str:
+                o = list(map(int, t.split(".")))
+                return ".".join(map(str, o[:keep] + self.permute(o[keep:], [256] * (4 - keep), f"ip|{o[:keep]}")))
+
+            return self._among(text, kept_octets, step)
         if kind in ("ip6", "secret"):
-            body = text.replace(":", "")
-            hexa = HEX_LOW if all(c in HEX_LOW for c in body) else HEX_HIGH if all(c in HEX_HIGH for c in body) else None
+            hexa, fixed = secret_form(text)
             if hexa:
-                return self.classes(text, kind, alphabet=lambda c: hexa if c in hexa else None)
-            return self.classes(text, kind, fixed=4 if re.match(r"AKIA|gh[pousr]_", text) else 0)
+                return self._among(text, secret_form, lambda t: self.classes(t, kind, alphabet=lambda c: hexa if c in hexa else None))
+            return self._among(text, secret_form, lambda t: self.classes(t, kind, fixed=fixed))
         if kind == "iban":
             return self.classes(text, kind, fixed=2)
         if kind == "email":
-            local, _, domain = text.rpartition("@")
-            labels = domain.split(".")
-            kept = 2 if ".".join(labels[-2:]).lower() in RESERVED else 1
-            head = ".".join(labels[:-kept])
-            joined = self.classes(local + "@" + head, f"email|{'.'.join(labels[-kept:])}|{len(local)}")
-            return ".".join(filter(None, [joined, *labels[-kept:]])) if head else joined + ".".join(labels[-kept:])
+            return self._among(text, kept_labels, lambda t: self._email(t, kept_labels(text)))
         if kind == "name":
-            return " ".join(self._name(w, gender) for w in text.split(" "))
+            return " ".join(self._name(w) for w in text.split(" "))
         return self.classes(text, kind)
 
-    def _name(self, word: str, gender: str) -> str:
+    def _email(self, text: str, kept: int) -> str:
+        local, _, domain = text.rpartition("@")
+        labels = domain.split(".")
+        head = ".".join(labels[:-kept])
+        joined = self.classes(local + "@" + head, f"email|{'.'.join(labels[-kept:])}|{len(local)}")
+        return ".".join(filter(None, [joined, *labels[-kept:]])) if head else joined + ".".join(labels[-kept:])
+
+    def _name(self, word: str) -> str:
         group = _GIVEN.get(word)
         if group:
             names = NAMES[group]
             return names[self.permute([0, names.index(word)], [1, len(names)], f"given|{group}")[1]]
-        new = self.classes(word, f"family|{gender}")
-        while new in _GIVEN:  # a name of a list stands for names of lists only
-            new = self.classes(new, f"family|{gender}")
-        return new
+        # a name of a list stands for names of lists only
+        return self._among(word, _GIVEN.__contains__, lambda w: self.classes(w, "family"))
 
     def _card(self, text: str) -> str:
         digits = [c for c in text if c.isdigit()]
@@ -172,6 +191,24 @@ class Surrogates:
         return "".join(next(it) if c.isdigit() else c for c in text)
 
 
+def kept_octets(ip: str) -> int:
+    """How many octets name the network that a surrogate keeps."""
+    o = ip.split(".")
+    return 2 if o[:2] == ["192", "168"] else 1 if o[0] in ("10", "127") else 0
+
+
+def kept_labels(email: str) -> int:
+    """How many labels of the domain a surrogate keeps."""
+    return 2 if ".".join(email.rpartition("@")[2].split(".")[-2:]).lower() in RESERVED else 1
+
+
+def secret_form(text: str) -> tuple[str | None, int]:
+    """The hex digits that a text is made of, if it is, and how many characters tell its issuer."""
+    body = text.replace(":", "")
+    hexa = HEX_LOW if all(c in HEX_LOW for c in body) else HEX_HIGH if all(c in HEX_HIGH for c in body) else None
+    return hexa, 4 if re.match(r"AKIA|gh[pousr]_", text) else 0
+
+
 def check_digit(payload: list[str]) -> int:
     """The digit that makes the number pass the modulus-10 test."""
     total = 0
@@ -181,20 +218,20 @@ def check_digit(payload: list[str]) -> int:
     return -total % 10
 
 
-def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """``(start, end, kind, gender)`` in order, without overlaps; earlier detectors win."""
-    found: list[tuple[int, int, str, str]] = []
+def find_entities(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, kind)`` in order, without overlaps; earlier detectors win."""
+    found: list[tuple[int, int, str]] = []
     if _ANY.search(text):
         for kind, pattern in _COMPILED:
             if kind in ("email",) and "@" not in text or kind == "ip6" and ":" not in text:
                 continue
             for m in pattern.finditer(text):
-                found.append((*m.span("v"), kind, ""))
+                found.append((*m.span("v"), kind))
     for m in _TITLED.finditer(text):
-        found.append((*m.span("v"), "name", TITLES[m["t"]]))
+        found.append((*m.span("v"), "name"))
     for m in _NAMED.finditer(text):
-        found.append((*m.span("v"), "name", _GIVEN[m["v"].split(" ")[0]][1]))
-    taken: list[tuple[int, int, str, str]] = []
+        found.append((*m.span("v"), "name"))
+    taken: list[tuple[int, int, str]] = []
     if len(found) > 1:
         ends: dict[int, bool] = {}
         for e in found:  # precedence is the order of detection
@@ -208,8 +245,8 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
 def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with surrogates, and ``(kind, start, end, surrogate)`` by places in the old text."""
     out, entities, at = [], [], 0
-    for start, end, kind, gender in find_entities(text):
-        new = surrogates.of(kind, text[start:end], gender)
+    for start, end, kind in find_entities(text):
+        new = surrogates.of(kind, text[start:end])
         out += [text[at:start], new]
         entities.append((kind, start, end, new))
         at = end

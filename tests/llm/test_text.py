@@ -171,6 +171,43 @@ def test_surrogates_are_distinct_keyed_and_coreferent():
     assert {s.classes(d, "t") for d in small} == set(small) and all(s.classes(d, "t") != d for d in small)
 
 
+def test_family_names_have_one_surrogate_for_all_titles_and_none_is_shared():
+    s = Surrogates()
+    names = [a + b for a in "BCDFGHJKLMNPQRSTVWXZ" for b in "aeiouy"]
+    new = {n: {replace(f"{title} {n} came", s)[1][0][3] for title in ("Mr", "Mrs", "Dr")} | {replace(f"Paul {n} came", s)[0].split()[1]} for n in names}
+    assert all(len(x) == 1 for x in new.values())
+    assert len(set.union(*new.values())) == len(names) and not any(n in x for n, x in new.items())
+
+
+def test_surrogates_stay_among_their_form():
+    from ruleloom.llm.pii import NAMES, _GIVEN, kept_labels, kept_octets
+
+    s = Surrogates()
+    letters = "0123456789abcdefghijABCDEFGHIJ"
+    short = [a + b for a in letters for b in letters]
+    for kind in ("secret", "ip6"):
+        assert len({s.of(kind, x) for x in short}) == len(short)
+    rng = random.Random(5)
+    ips = {".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(4000)} | {f"10.0.{i}.{j}" for i in range(20) for j in range(20)}
+    assert all(kept_octets(s.of("ip", x)) == kept_octets(x) for x in ips) and len({s.of("ip", x) for x in ips}) == len(ips)
+    mails = [f"a@exampl{c}.com" for c in "aeiouy"]
+    assert len({s.of("email", m) for m in mails}) == 6 and all(kept_labels(s.of("email", m)) == kept_labels(m) for m in mails)
+    assert sum(map(len, NAMES.values())) == len(_GIVEN)
+
+
+@pytest.mark.parametrize("n", [512, 513, 5000, 300_000])
+def test_secrets_are_replaced_to_their_end(n):
+    rng = random.Random(n)
+    for token in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789XYZ") for _ in range(n)), "".join(rng.choice("0123456789abcdef") for _ in range(n))):
+        for text in (f"password = {token} end", *([f"see {token} end"] if set(token) <= set("0123456789abcdef") else [])):
+            new, found = replace(text, Surrogates())
+            at = text.index(token)
+            assert [(k, a, b) for k, a, b, _ in found] == [("secret", at, at + n)] and len(new) == len(text)
+            assert all(token[i : i + 12] not in new for i in range(0, n - 12, 97)) and token[-12:] not in new
+            other = replace(text.replace(token, token[:-1] + ("a" if token[-1] != "a" else "b")), Surrogates())[0]
+            assert other != new
+
+
 def test_clean_text_is_untouched():
     for t in ("Version 2.0, January 2004", "The year 1999 had 365 days; 12,345 of 67.890.", "a = b: c", "Nothing private here. He said 10.5% on 2024-01-02."):
         assert find_entities(t) == [] and replace(t, Surrogates())[0] == t
