@@ -307,8 +307,9 @@ def n4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(al.lift_score(a, target(bars)).withColumn("z", F.round("z", 5)))
 
 
-@query("n5_lift_search", f"WITH {EVENTS_SQL}, {HIT}, {_LIFT}, x AS (SELECT ticker, event_id, pe / pb AS l FROM lf JOIN ba USING (ticker)), r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY l DESC, event_id) AS r FROM x) SELECT ticker, r::INTEGER AS r, event_id, round(l, 6) AS lift FROM r WHERE r <= 3")
+@query("n5_top_events_by_lift", f"WITH {EVENTS_SQL}, {HIT}, {_LIFT}, x AS (SELECT ticker, event_id, pe / pb AS l FROM lf JOIN ba USING (ticker)), r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY l DESC, event_id) AS r FROM x) SELECT ticker, r::INTEGER AS r, event_id, round(l, 6) AS lift FROM r WHERE r <= 3")
 def n5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed events of largest lift: the ranking of N5 alone, without its generation, pruning, AND and gate."""
     from pyspark.sql.window import Window
 
     bars, a = fixed_activations(spark, sf_dir)
