@@ -52,12 +52,13 @@ class SessionResult:
         return registry.conversion_funnel({"events": self.gated, "passed": self.gated.where("passed"), "contracts": self.contracts, "verdicts": self.verdicts, "edges": self.edges()})
 
 
-def run_session(bars: DataFrame, config: SessionConfig | None = None, *, params: list[backtest.Params] | None = None, manual: list[events.Event] | None = None, most_features: int = 40, kinds: tuple[str, ...] = ("identity", "pctrank"), compose_pairs: bool = False, strict: bool = False) -> SessionResult:
+def run_session(bars: DataFrame, config: SessionConfig | None = None, *, params: list[backtest.Params] | None = None, manual: list[events.Event] | None = None, most_features: int | None = None, kinds: tuple[str, ...] | None = None, compose_pairs: bool = True, strict: bool = False) -> SessionResult:
     """Mine events of indicator bars, gate them, measure their advantage, test it against rotations, and backtest.
 
     ``bars`` has ticker, rn, open_dt, prices and indicator columns, for one ticker or
     several that share thresholds.  ``manual`` events skip mining and are kept even if
-    they fail the gate.
+    they fail the gate.  All planned features, transforms and pairs are mined;
+    ``most_features``, ``kinds`` and ``compose_pairs`` narrow that, and the ledger says so.
     """
     n = bars.groupBy("ticker").count().agg(F.max("count")).first()[0]
     hours = bar_hours(bars).agg(F.percentile("bar_hours", F.lit(0.5))).first()[0]
@@ -72,9 +73,14 @@ def run_session(bars: DataFrame, config: SessionConfig | None = None, *, params:
     ledger = Ledger(horizons=len(c.horizons))
     if manual is None:
         classified = features.classify(inner)
-        plan = features.freeze(inner, features.plan_features(classified, bars.columns))[:most_features]
-        found = events.generate(inner, plan, {f.name: features.catalogue(f, kinds) for f in plan})
+        whole = features.freeze(inner, features.plan_features(classified, bars.columns))
+        plan = whole if most_features is None else whole[:most_features]
+        transforms = {f.name: features.catalogue(f, kinds) for f in plan}
+        found = events.generate(inner, plan, transforms)
         ledger.features = len(plan)
+        ledger.features_left_out = len(whole) - len(plan)
+        ledger.transforms_left_out = sum(len(features.catalogue(f)) - len(transforms[f.name]) for f in plan)
+        ledger.pairs_left_out = not compose_pairs
     else:
         found = manual
     ledger.events = len(found)
@@ -90,6 +96,7 @@ def run_session(bars: DataFrame, config: SessionConfig | None = None, *, params:
         more = [compose.composed(found, r.a, r.b, len(found) + i) for i, r in enumerate(both.where("passed").select("a", "b").distinct().orderBy("a", "b").collect())]
         if more:
             found = found + more
+            ledger.composed, ledger.events = len(more), len(found)
             every = every.unionByName(events.activations(bars, more))
             active = every.where(F.col("rn") < budget.event_split)
             kept = kept.union(gate.gate(active.where(F.col("event_id").isin([e.event_id for e in more])), inner, c.gate).where("passed").select("ticker", "event_id"))

@@ -87,7 +87,7 @@ class TimeBudget:
 
 @dataclass
 class Ledger:
-    """How many hypotheses each stage tested."""
+    """How many hypotheses each stage tested, and what the caller left out."""
 
     features: int = 0
     events: int = 0
@@ -95,6 +95,10 @@ class Ledger:
     contracts: int = 0
     horizons: int = 1
     cells: int = 1
+    composed: int = 0  # of the events, those made of pairs, which are counted there
+    features_left_out: int = 0
+    transforms_left_out: int = 0
+    pairs_left_out: bool = False
 
     @property
     def alpha_surface(self) -> int:
@@ -102,10 +106,14 @@ class Ledger:
 
     @property
     def total(self) -> int:
-        return self.events + self.pairs + self.alpha_surface + self.contracts * self.cells
+        return self.events - self.composed + self.pairs + self.alpha_surface + self.contracts * self.cells
 
     def describe(self) -> str:
-        return f"{self.events} events, {self.pairs} pairs, {self.alpha_surface} event-horizons, {self.contracts * self.cells} cells: {self.total} hypotheses"
+        return f"{self.events} events, {self.pairs} pairs, {self.alpha_surface} event-horizons, {self.contracts * self.cells} cells: {self.total} hypotheses" + (f"; left out: {', '.join(self.left_out())}" if self.left_out() else "")
+
+    def left_out(self) -> list[str]:
+        counts = {"features": self.features_left_out, "transforms of the others": self.transforms_left_out}
+        return [f"{n} {k}" for k, n in counts.items() if n] + ["pairs"] * self.pairs_left_out
 
 
 @dataclass(frozen=True)

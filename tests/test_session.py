@@ -39,6 +39,28 @@ def test_mining_session_runs(spark, walk):
     assert r.summary().count() == r.contracts.count()
 
 
+def test_session_mines_the_whole_plan_and_reports_what_is_left_out(spark, walk, monkeypatch):
+    from ruleloom.plans import session
+
+    wide = walk.where("rn < 300").select("*", *(((F.col("feat") + i / 100) % 1).alias(f"x{i}") for i in range(45)))
+    asked, real = [], session.events.generate
+
+    def generate(bars, plan, transforms):
+        asked.append((plan, transforms))
+        return real(bars, plan[:2], {f.name: [features.Transform()] for f in plan[:2]})
+
+    monkeypatch.setattr(session.events, "generate", generate)
+    r = run_session(wide, CONFIG)
+    plan, transforms = asked[0]
+    assert len(plan) == r.hypotheses.features > 40 and {f"x{i}" for i in range(45)} <= {s for f in plan for s in f.sources}
+    assert {t.kind for x in transforms.values() for t in x} == {"identity", "pctrank", "zscore", "delta"}
+    assert r.hypotheses.left_out() == [] and "left out" not in r.hypotheses.describe()
+    assert r.hypotheses.pairs > 0
+    few = run_session(wide, CONFIG, most_features=3, kinds=("identity",), compose_pairs=False).hypotheses
+    assert few.features == 3 and few.features_left_out == len(plan) - 3 and few.transforms_left_out > 0 and few.pairs_left_out
+    assert f"left out: {len(plan) - 3} features" in few.describe()
+
+
 def test_stepwise_and_holdout(spark, walk):
     f = features.Feature("feat", "identity", ("feat",))
     v = features.Feature("volume", "identity", ("volume",))
