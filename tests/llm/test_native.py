@@ -139,47 +139,100 @@ def documents(n=400, seed=5):
     return rows + [(n, None, "a"), (n + 1, "x\x1cy\x0bz", "b"), (n + 2, "q " * 20_000, "c"), (7, rows[7][1], rows[7][2])]
 
 
-def test_mix_meets_targets_and_repeats_at_most_twice(spark, monkeypatch):
+def n_words(t):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+
+
+def mixed(rows, block, golden=mixing.GOLDEN, weights=(5.0, 2.0, 1.0)):
+    """The words taken of each document, slot by slot: ``{doc_id: taken}`` and the positions of its blocks."""
+    streams = collections.defaultdict(list)
+    for i, text, source in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], n_words(r[1]))):
+        streams[source] += [i] * n_words(text)
+    sizes = {s: len(streams.get(s, [])) for s in {r[2] for r in rows}}
+    want = filled(sizes)
+    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [None] * (None in sizes)
+    ends, total = [], 0
+    for n in names:
+        total += math.floor(want[n])
+        ends.append(total)
+    used, taken, places = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for slot in range(-(-total // block)):
+        point = (slot + 1.0) * golden % 1.0 * total
+        source = names[next(k for k, e in enumerate(ends) if point < e)]
+        twice = streams[source] * 2
+        for i in twice[used[source] * block : (used[source] + 1) * block]:
+            taken[i] += 1
+            places[i].append(slot)
+        used[source] += 1
+    return taken, places, want
+
+
+def test_mix_equals_a_walk_through_the_slots(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(mixing, "CELL_SLOTS", 8)
+    monkeypatch.setattr(mixing, "SLOT_CHUNK", 16)
+    monkeypatch.setattr(mixing, "RANGE_SOURCES", 2)
     rows = documents()
-    df = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, source string, target double, taken int")
+    df = spark.createDataFrame([(*r, 1.0, 2, "x") for r in rows], "doc_id long, text string, source string, target double, taken int, place string")
     out = mix(df, block_tokens=64).collect()
-    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    assert sorted((r.doc_id, r.size) for r in out) == sorted((i, size(t)) for i, t, _ in rows)
-    source = {i: s for i, _, s in rows}
-    sizes, taken = collections.Counter(), collections.Counter()
+    assert sorted((r.doc_id, r.size) for r in out) == sorted((i, n_words(t)) for i, t, _ in rows)
+    taken, places, want = mixed(rows, 64)
+    per_source, sizes = collections.Counter(), collections.Counter()
     for r in out:
-        sizes[source[r.doc_id]] += r.size
-        taken[source[r.doc_id]] += r.taken
         assert 0 <= r.taken <= 2 * r.size and sum(r.taken_by_pass) == r.taken
-    want = filled(sizes)
+        per_source[r.source] += r.taken
+        sizes[r.source] += r.size
+        if r.doc_id != 7:  # a repeated row
+            assert (r.taken, r.first_position, r.last_position) == (taken[r.doc_id], min(places[r.doc_id], default=None), max(places[r.doc_id], default=None))
+    assert sum(r.taken for r in out if r.doc_id == 7) == taken[7]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 1
+        assert abs(per_source[s] - want[s]) <= 4 * 64
     again = mix(df.repartition(3), block_tokens=64).collect()
     assert sorted(map(repr, out)) == sorted(map(repr, again))
     assert mix(df.where("doc_id < 0")).collect() == []
 
 
+def test_the_schedule_decides_what_is_taken(spark, monkeypatch):
+    df = spark.createDataFrame(documents(), "doc_id long, text string, source string")
+    taken = lambda: {(r.doc_id, r.source): (r.taken, r.first_position) for r in mix(df, block_tokens=64).collect()}
+    golden = taken()
+    monkeypatch.setattr(mixing, "GOLDEN", math.sqrt(2.0) - 1.0)
+    other = taken()
+    assert golden != other and {k: v[0] for k, v in golden.items()} != {k: v[0] for k, v in other.items()}
+
+
 def test_schedule_is_whole_and_even(spark):
-    t = spark.createDataFrame([("a", 64_000.0), ("b", 32_000.0), (None, 100.0), ("z", 0.0)], "source string, target double")
+    t = spark.createDataFrame([("a", 0, 64_000.0), ("b", 1, 32_000.0), ("z", 2, 0.0), (None, 3, 100.0)], "source string, place long, target double")
     rows = sorted(schedule(t, block_tokens=100).collect(), key=lambda r: r.position)
-    per = collections.Counter(r.source for r in rows)
-    assert per == {"a": 640, "b": 320, None: 1}
+    assert [r.position for r in rows] == list(range(961))
+    owners = [next(k for k, e in ((0, 64_000), (1, 96_000), (3, 96_100)) if (i + 1.0) * mixing.GOLDEN % 1.0 * 96_100 < e) for i in range(961)]
+    assert [r.place for r in rows] == owners
+    per = collections.Counter(owners)
     for s in per:
-        assert sorted(r.block for r in rows if r.source == s) == list(range(per[s]))
-    first = collections.Counter(r.source for r in rows[:300])
-    assert abs(first["a"] - 200) < 5  # low discrepancy: every stretch has the mix
+        assert [r.block for r in rows if r.place == s] == list(range(per[s]))
+    first = collections.Counter(owners[:300])
+    assert abs(first[0] - 200) < 5  # low discrepancy: every stretch has the mix
+
+
+def test_blocks_grow_with_the_words():
+    assert mixing.block_size(0) == mixing.block_size(10**7) == 64
+    assert mixing.block_size(10**13) == 10**13 // mixing.MOST_SLOTS
 
 
 def test_take_follows_the_mix(spark):
-    rows = documents(120)
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rows = [(*r, i, "x") for i, r in enumerate(documents(120))]
+    rows += [(5000, "same words here", "a", i, "y") for i in range(40)] + [(5000, "same words there", "b", i, "y") for i in range(40)] + [(None, "k " * 50, None, i, "z") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, times int, `row` string")
     out = take(df)
     assert out.columns == df.columns
-    n = collections.Counter(r.doc_id for r in out.collect())
-    m = {r.doc_id: r for r in mix(df).collect() if r.doc_id != 7}
-    for i, r in m.items():
-        assert n[i] == (1 if r.size == 0 else sum(2 * x >= r.size for x in r.taken_by_pass))
+    got = out.collect()
+    n = collections.Counter((r.doc_id, r.source) for r in got)
+    m = collections.defaultdict(int)
+    for r in mix(df).collect():
+        m[r.doc_id, r.source] += 1 if r.size == 0 else sum(2 * x >= r.size for x in r.taken_by_pass)
+    assert {k: v for k, v in m.items() if v} == n
+    assert sorted(map(repr, got)) == sorted(map(repr, take(df.repartition(5)).collect()))
+    assert take(df.where("doc_id < 0")).collect() == []
 
 
 # --- sharding ----------------------------------------------------------------------------------------
