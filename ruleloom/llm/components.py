@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         large = around.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = scratch.cut(small.where("a <> b").distinct(), "edges")
+        last, edges = edges, scratch.cut(small.where("a <> b").distinct(), "edges")
+        scratch.drop(last)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break

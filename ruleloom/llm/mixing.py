@@ -44,9 +44,10 @@ def n_words(text: Column) -> Column:
 
 def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """``rows`` with the sums of some columns over all rows that come before each in a total order."""
-    rows = scratch.cut(rows, "unordered")
-    parts = max(1, -(-rows.count() // RANGE_SOURCES))
-    rows = scratch.cut(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ordered")
+    unordered = scratch.cut(rows, "unordered")
+    parts = max(1, -(-unordered.count() // RANGE_SOURCES))
+    rows = scratch.cut(unordered.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ordered")
+    scratch.drop(unordered)
     each = rows.groupBy("__part").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     each = each.select("__part", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"__{k}") for k in sums))

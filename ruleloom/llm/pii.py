@@ -12,14 +12,20 @@ one), it is applied again until it is back among them.  Card numbers keep
 their leading digit and whether their check digit is right; addresses of a
 network keep their class; mail addresses keep their reserved or top-level domain.
 
-:func:`collisions` checks distinctness over a whole corpus: one shuffle of the
-entities alone.
+Names are found after a title or with a listed given name before them; the words of a
+name that is found are then replaced wherever the text has them.
+
+The result is checked over the whole corpus by one shuffle of the entities alone: no
+two originals of a kind share a surrogate (distinctness), and none has two
+(coreference).  Originals that clash, which only a faulty permutation could
+make, are sent further along their permutation until none do.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleloom.llm import scratch
 from ruleloom.llm.batches import bound, small
 
 DEFAULT_KEY = b"ruleloom surrogate key"
@@ -42,41 +49,77 @@ NAMES = {
 }
 #: Titles that announce a name.
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Herrn Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Господин Госпожа".split()
+#: Small words that may stand before a family name, and stay.
+PARTICLES = "van von der den de del della di da du la le dos das ten ter zu zur al el bin ben".split()
 #: Letter classes that a surrogate keeps.
 CLASSES = ("0123456789", "aeiouy", "AEIOUY", "bcdfghjklmnpqrstvwxz", "BCDFGHJKLMNPQRSTVWXZ", "àâäáãåæèéêëìíîïòóôöõøùúûüýÿ", "ÀÂÄÁÃÅÆÈÉÊËÌÍÎÏÒÓÔÖÕØÙÚÛÜÝŸ", "çñßšž", "ÇÑŠŽ", "аеёиоуыэюя", "АЕЁИОУЫЭЮЯ", "бвгджзйклмнпрстфхцчшщъь", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ")
 CLASS_OF = {c: s for s in CLASSES for c in s}
+#: Clashing originals that the driver sends to executors at most; more means that the permutation is broken.
+MOST_CLASHES = 1 << 16
+CHECK_ROUNDS = 8
 HEX_LOW, HEX_HIGH = "0123456789abcdef", "0123456789ABCDEF"
 RESERVED = {"example.com", "example.org", "example.net"}
 
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
+@lru_cache(maxsize=None)
+def class_of(c: str) -> str | None:
+    """The letters or digits that may stand for ``c``, of any script; null for other signs.
+
+    Characters outside the listed classes stand for each other within 128 code points
+    of one category, so that script and case stay.
+    """
+    if c in CLASS_OF or not c.isalnum():
+        return CLASS_OF.get(c)
+    start, kind = ord(c) & ~127, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(start, start + 128)) if x not in CLASS_OF and x.isalnum() and unicodedata.category(x) == kind)
+
+
+def _letters(test: Callable[[str], bool]) -> str:
+    """The Latin, Greek and Cyrillic letters of one case, as ranges of a pattern."""
+    own = [c for c in [*range(0x41, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)] if test(chr(c)) and chr(c).isalpha()]
+    first = [c for c in own if c - 1 not in own or c == own[0]]
+    last = [c for c in own if c + 1 not in own]
+    return "".join(f"{chr(a)}-{chr(b)}" if a != b else chr(a) for a, b in zip(first, last))
+
+
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Detectors in order of precedence; the group "v" is what is replaced.
 DETECTORS: list[tuple[str, str]] = [
-    ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passwd|password|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[A-Za-z0-9_\-./+]{8,})"),
+    ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passwd|password|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>(?=[_\-./+]*[A-Za-z0-9])[A-Za-z0-9_\-./+]{8,})"),
     ("secret", r"(?<![A-Za-z0-9])(?P<v>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"),
-    ("email", r"(?<![\w.+%-])(?P<v>[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9-])"),
-    ("iban", r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
-    ("ssn", r"(?<![\d-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d-])"),
-    ("card", r"(?<![\d.-])(?P<v>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\d])"),
-    ("phone", r"(?<![\w+])(?P<v>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
-    ("ip", rf"(?<![\d.])(?P<v>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d.]*\d)"),
+    ("email", r"(?<![\w.+%-])(?P<v>[\w.+%-]+@(?:[A-Za-z0-9][A-Za-z0-9-]*+(?<!-)\.)+[A-Za-z]{2,})(?![A-Za-z0-9-])"),
+    ("iban", r"\b(?P<v>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
+    ("ssn", r"(?<![0-9-])(?P<v>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
+    ("card", r"(?<![0-9.-])(?P<v>[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])"),
+    ("phone", r"(?<![\w+])(?P<v>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"),
+    ("ip", rf"(?<![0-9.])(?P<v>{_OCTET}(?:\.{_OCTET}){{3}})(?![0-9.]*[0-9])"),
     ("ip6", r"(?<![\w:])(?P<v>(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4})(?![\w:])"),
 ]
 _COMPILED = [(kind, re.compile(p)) for kind, p in DETECTORS]
 _ANY = re.compile(r"[0-9@:=]")
-_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
-_LOWER = "a-zß-öø-ÿа-яё"
-_NAME = rf"[{_UPPER}][{_LOWER}]{{1,30}}(?:-[{_UPPER}][{_LOWER}]{{1,30}})?"
+_UPPER, _LOWER = _letters(str.isupper), _letters(str.islower)
+_PLAIN = rf"[{_UPPER}](?:['’][{_UPPER}])?[{_LOWER}]+(?:[{_UPPER}][{_LOWER}]+)*"
+_NAME = rf"{_PLAIN}(?:-{_PLAIN})*"
+_LOUD = rf"(?!(?:{'|'.join(TITLES)})\b)(?:{_NAME}|[{_UPPER}](?:['’]?[{_UPPER}])+)(?![{_LOWER}])"
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
 _GIVEN = {n: k for k, names in NAMES.items() for n in names}
-_TITLED = re.compile(rf"\b(?P<t>{'|'.join(TITLES)})\.? (?P<v>{_NAME}(?: {_NAME}){{0,2}})")
-_NAMED = re.compile(rf"\b(?P<v>(?:{'|'.join(_GIVEN)}) {_NAME})\b")
+_TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? (?P<v>{_SMALL}{_LOUD}(?: {_SMALL}{_LOUD})*)")
+_NAMED = re.compile(rf"\b(?P<v>(?:{'|'.join(_GIVEN)}) {_SMALL}{_NAME})\b")
 
 
 class Surrogates:
-    """Keyed permutations of formats."""
+    """Keyed permutations of formats; ``further`` says which originals go how many steps further along theirs."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY):
-        self.key = key
-        self.of = lru_cache(maxsize=50_000)(self._of)
+    def __init__(self, key: bytes = DEFAULT_KEY, further: dict[tuple[str, str], int] | None = None):
+        self.key, self.further = key, further or {}
+        self.of = lru_cache(maxsize=50_000)(self._steps)
+
+    def _steps(self, kind: str, text: str) -> str:
+        new = self._of(kind, text)
+        for _ in range(self.further.get((kind, text), 0)):
+            new = self._of(kind, new)
+        return new
 
     def _draw(self, tweak: str, i: int, value: int, bits: int) -> int:
         h = hashlib.blake2b(f"{i}:{value}:{tweak}".encode("utf-8", "surrogatepass"), key=self.key[:64], digest_size=min(64, bits // 8 + 9))
@@ -116,7 +159,7 @@ class Surrogates:
             out.append(d)
         return out[::-1]
 
-    def classes(self, text: str, kind: str, fixed: int = 0, alphabet: Callable[[str], str | None] = CLASS_OF.get) -> str:
+    def classes(self, text: str, kind: str, fixed: int = 0, alphabet: Callable[[str], str | None] = class_of) -> str:
         """Letter by letter within its class; the first ``fixed`` characters and all others stay."""
         at = [i for i, c in enumerate(text) if i >= fixed and alphabet(c)]
         sets = [alphabet(text[i]) for i in at]
@@ -126,7 +169,7 @@ class Surrogates:
         if len(at) > BLOCK:  # each block by a permutation that the ones before it choose
             before = hashlib.blake2b(tweak.encode("utf-8", "surrogatepass"), key=self.key[:64])
             for i in range(BLOCK, len(at), BLOCK):
-                before.update(bytes(digits[i - BLOCK : i]))
+                before.update(repr(digits[i - BLOCK : i]).encode())
                 new += self.permute(digits[i : i + BLOCK], radix[i : i + BLOCK], before.hexdigest())
         out = list(text)
         for i, s, d in zip(at, sets, new):
@@ -144,7 +187,7 @@ class Surrogates:
         if kind == "card":
             return self._card(text)
         if kind == "phone":
-            return self.classes(text, kind, fixed=re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", text).end())
+            return self.classes(text, kind, fixed=re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+[0-9]|", text).end())
         if kind == "ip":
             keep = kept_octets(text)
 
@@ -174,6 +217,8 @@ class Surrogates:
         return ".".join(filter(None, [joined, *labels[-kept:]])) if head else joined + ".".join(labels[-kept:])
 
     def _name(self, word: str) -> str:
+        if word in PARTICLES:
+            return word
         group = _GIVEN.get(word)
         if group:
             names = NAMES[group]
@@ -227,26 +272,37 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
                 continue
             for m in pattern.finditer(text):
                 found.append((*m.span("v"), kind))
-    for m in _TITLED.finditer(text):
-        found.append((*m.span("v"), "name"))
-    for m in _NAMED.finditer(text):
-        found.append((*m.span("v"), "name"))
+    names = [m.span("v") for pattern in (_TITLED, _NAMED) for m in pattern.finditer(text)]
+    found += [(*at, "name") for at in names]
+    if names:
+        found += [(*m.span(), "name") for m in _repeats(text, {w for a, b in names for w in text[a:b].split(" ")})]
     taken: list[tuple[int, int, str]] = []
     if len(found) > 1:
-        ends: dict[int, bool] = {}
+        used = bytearray(len(text))
         for e in found:  # precedence is the order of detection
-            if not any(i in ends for i in range(e[0], e[1])):
-                ends.update(dict.fromkeys(range(e[0], e[1]), True))
+            if not any(used[e[0] : e[1]]):
+                used[e[0] : e[1]] = b"\1" * (e[1] - e[0])
                 taken.append(e)
         return sorted(taken)
     return found
 
 
+def _repeats(text: str, words: set[str]) -> Iterator[re.Match]:
+    """Where the words of found names stand, but for those that the text also has in small letters."""
+    own = sorted((w for w in words if w not in PARTICLES and not re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text)), key=len, reverse=True)
+    return re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, own))})(?!\w)", text) if own else iter(())
+
+
 def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int, int, str]]]:
-    """The text with surrogates, and ``(kind, start, end, surrogate)`` by places in the old text."""
+    """The text with surrogates, and ``(kind, start, end, surrogate)`` by places in the old text.
+
+    What has no other string of its form (say ``token: ____``) is no entity.
+    """
     out, entities, at = [], [], 0
     for start, end, kind in find_entities(text):
         new = surrogates.of(kind, text[start:end])
+        if new == text[start:end]:
+            continue
         out += [text[at:start], new]
         entities.append((kind, start, end, new))
         at = end
@@ -254,51 +310,77 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int
 
 
 ENTITY = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("original", pa.string()), ("surrogate", pa.string())])
+ENTITIES = "array<struct<kind string, start int, end int, original string, surrogate string>>"
 
 
-def pseudonymise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
-    """Per input row: doc_id, text with surrogates, entities (kind, start, end, original, surrogate).
-
-    Places are code points of the old text.  Defined cases: a null text stays
-    null and has no entities, as an empty one; overlapping finds give way to the
-    earlier detector; repeated rows and null ids are kept; an empty table gives an
-    empty result; other columns are not read.
-    """
+def _replaced(docs: DataFrame, text_col: str, name: str, key: bytes, make: Callable[..., Surrogates]) -> DataFrame:
+    """``docs`` with surrogates in ``text_col`` and the entities in a new column ``name``, checked and resolved."""
+    bound(docs.sparkSession)
+    texts = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    schema = texts.withColumn(name, F.lit(None).cast(ENTITIES)).schema
+    further: dict[tuple[str, str], int] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surrogates = Surrogates(key)
+        surrogates = make(key, further)
         for batch in small(batches):
-            texts, found = [], []
-            for text in batch.column(1).to_pylist():
-                new, entities = replace(text, surrogates) if text else (text, [])
-                texts.append(new)
+            at = batch.schema.get_field_index(text_col)
+            new, found = [], []
+            for text in batch.column(at).to_pylist():
+                changed, entities = replace(text, surrogates) if text else (text, [])
+                new.append(changed)
                 found.append([{"kind": k, "start": s, "end": e, "original": text[s:e], "surrogate": x} for k, s, e, x in entities])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(found, pa.list_(ENTITY))], ["doc_id", "text", "entities"])
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(ENTITY))], [*batch.schema.names, name])
+
+    for _ in range(CHECK_ROUNDS):
+        out = scratch.cut(texts.mapInArrow(run, schema), "surrogates")
+        clashes = collisions(out, name)
+        if clashes.isEmpty():
+            return out
+        # the least original keeps the surrogate, the others go on
+        keep = clashes.groupBy("kind", "surrogate").agg(F.min("original").alias("least"))
+        moved = clashes.join(keep, ["kind", "surrogate"]).where("original <> least").select("kind", "original").distinct().limit(MOST_CLASHES + 1).collect()
+        if len(moved) > MOST_CLASHES:
+            break
+        for r in moved:
+            further[r.kind, r.original] = further.get((r.kind, r.original), 0) + 1
+        scratch.drop(out)
+    raise RuntimeError("surrogates clash: the permutation is no permutation")
+
+
+def collisions(pseudonymised: DataFrame, entities_col: str = "entities") -> DataFrame:
+    """``(kind, surrogate, original)`` where several originals of a kind share a surrogate; none is expected.
+
+    Equal originals have equal surrogates in every text, as a surrogate depends on the
+    original, its kind and the key alone.
+    """
+    e = pseudonymised.select(F.explode(F.col(f"`{entities_col}`")).alias("e")).select("e.kind", "e.surrogate", "e.original").distinct()
+    shared = e.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return e.join(shared, ["kind", "surrogate"]).select("kind", "surrogate", "original")
 
-    bound(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, entities array<struct<kind string, start int, end int, original string, surrogate string>>")
 
+def pseudonymise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEFAULT_KEY, make: Callable[..., Surrogates] = Surrogates) -> DataFrame:
+    """Per input row: doc_id, text with surrogates, entities (kind, start, end, original, surrogate).
 
-def collisions(pseudonymised: DataFrame) -> DataFrame:
-    """``(kind, surrogate, originals)`` of surrogates that stand for several originals of a kind; none is expected."""
-    e = pseudonymised.select(F.explode("entities").alias("e")).select("e.kind", "e.surrogate", "e.original").distinct()
-    return e.groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).where("originals > 1")
+    Places are code points of the old text.  Defined cases: a null text stays
+    null and has no entities, as an empty one; texts of any length are read whole;
+    overlapping finds give way to the earlier detector; repeated rows and null ids
+    are kept; an empty table gives an empty result; other columns are not read.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _replaced(rows, "text", "entities", key, make)
 
 
 def replace_in_place(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text_col`` (and its new length in ``length_col``); all other columns as they are."""
-
-    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surrogates = Surrogates(key)
-        for batch in small(batches):
-            at = batch.schema.get_field_index(text_col)
-            new = [replace(t, surrogates)[0] if t else t for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, pa.field(text_col, pa.string()), pa.array(new, pa.string()))
+    """``docs`` with surrogates in ``text_col`` (and its new length in ``length_col``); all other columns as they are.
 
-    bound(docs.sparkSession)
-    texts = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    out = texts.mapInArrow(swap, texts.schema)
+    Defined cases are those of :func:`pseudonymise`; other columns may have any names.
+    """
+    name = "entities"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    out = _replaced(docs, text_col, name, key, Surrogates).drop(name)
     if length_col:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+        out = out.withColumn(length_col, F.length(f"`{text_col}`").cast(docs.schema[length_col].dataType))
     return out

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from ruleloom.llm.fingerprint import Fingerprints, fingerprint_documents, with_n
 from ruleloom.llm.pii import Surrogates, check_digit, collisions, find_entities, pseudonymise, replace, replace_in_place
 from ruleloom.llm.queries_text import vocabulary
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, ids string, fingerprint string, entities string"
 
 
@@ -208,6 +211,76 @@ def test_secrets_are_replaced_to_their_end(n):
             assert other != new
 
 
+def test_names_of_one_person_stay_one_person():
+    s = Surrogates()
+    text = "John Smith came. Mr Smith left; Dr Smith and Ms Smith's dog. Smith and John. Blacksmith, Smithers, a john."
+    new, found = replace(text, s)
+    words = {text[a:b]: x for _, a, b, x in found}
+    assert [text[a:b] for _, a, b, _ in found] == ["John Smith", "Smith", "Smith", "Smith", "Smith"]
+    assert words["John Smith"].split(" ")[1] == words["Smith"] and "Blacksmith, Smithers, a john." in new
+    assert replace("John Smith came. Smith and John.", s)[0].count(words["John Smith"].split(" ")[0]) == 2
+    assert replace("Dr. The patient said the word. The end", s)[0].endswith("said the word. The end")
+
+
+@pytest.mark.parametrize("name", ["O'Brien", "Łucja Wójcik", "McDonald", "SMITH", "von der Leyen", "Juan Carlos García López", "Δημήτρης Παπάς", "Müller-Lüdenscheidt", "A" + "b" * 20_000])
+def test_whole_names_go(name):
+    text = f"Then Mr {name} and Mrs {name} left."
+    new, found = replace(text, Surrogates())
+    assert [text[a:b] for _, a, b, _ in found] == [name, name] and found[0][3] == found[1][3]
+    kept = set(name.split(" ")) & set(found[0][3].split(" "))
+    assert kept <= {"von", "der"} and len(new) <= len(text) + 20
+
+
+def test_no_entity_is_its_own_surrogate():
+    s = Surrogates()
+    for text in ("write 李雷@example.com now", "mail žőę@example.org", "mail a@b.cc", "token: __________", "password = ________x", "ip 10.0.0.1"):
+        new, found = replace(text, s)
+        assert all(text[a:b] != x for _, a, b, x in found)
+        assert (new == text) == text.endswith("__________")
+    assert unicodedata.name(replace("李@example.com", s)[0][0]).startswith("CJK")
+
+
+def test_hard_texts_take_linear_time():
+    for text in ("a@" + "b." * 50_000 + "1", "x@" * 50_000, "a" * 300_000, "Mr " * 50_000, "1-" * 100_000, "+1 " * 50_000):
+        start = time.perf_counter()
+        replace(text, Surrogates())
+        assert time.perf_counter() - start < 5
+
+
+class Forgetful(Surrogates):
+    """Takes two steps to tell names apart."""
+
+    def _of(self, kind, text):
+        return {"Anna": "Zoe", "Mary": "Zoe", "Zoe": "Yvonne"}.get(text, super()._of(kind, text)) if kind == "name" else super()._of(kind, text)
+
+
+def test_clashes_are_found_and_resolved(spark):
+    docs = frame(spark, [(1, "Ms Anna"), (2, "Ms Mary"), (3, "Mrs Anna"), (4, "x")])
+    out = pseudonymise(docs, make=Forgetful)
+    new = {r.doc_id: r.text for r in out.collect()}
+    assert new == {1: "Ms Zoe", 2: "Ms Yvonne", 3: "Mrs Zoe", 4: "x"} and collisions(out).count() == 0
+    broken = type("Broken", (Surrogates,), {"_of": lambda self, kind, text: "Zoe"})
+    with pytest.raises(RuntimeError):
+        pseudonymise(docs, make=broken)
+
+
+def test_a_whole_corpus_has_one_surrogate_for_each_original(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = pseudonymise(docs).collect()
+    texts, pairs = {r.doc_id: r.text for r in docs.collect()}, set()
+    for r in out:
+        text, at = texts[r.doc_id], 0
+        rebuilt = []
+        for e in r.entities:
+            assert text[e.start : e.end] == e.original != e.surrogate and e.start >= at
+            rebuilt += [text[at : e.start], e.surrogate]
+            at = e.end
+            pairs.add((e.kind, e.original, e.surrogate))
+        assert "".join(rebuilt) + (text or "")[at:] == (r.text or "")
+    assert len(pairs) >= 10
+    assert len({p[:2] for p in pairs}) == len({(k, x) for k, _, x in pairs}) == len(pairs)
+
+
 def test_clean_text_is_untouched():
     for t in ("Version 2.0, January 2004", "The year 1999 had 365 days; 12,345 of 67.890.", "a = b: c", "Nothing private here. He said 10.5% on 2024-01-02."):
         assert find_entities(t) == [] and replace(t, Surrogates())[0] == t
