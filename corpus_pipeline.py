@@ -61,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        before = scratch.mark()
+        docs = scratch.drop_since(before, scratch.cut(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
