@@ -158,6 +158,45 @@ def test_factor_one_is_exact(spark):
         assert [found[i].vec_id for i in range(1, 6)] == brute_nearest(v, q, 5)
 
 
+@pytest.mark.parametrize("shard_rows", [60, 10_000])
+def test_ties_of_any_number_are_whole(spark, shard_rows):
+    """More than 100 ties at the cut: powers of two of one vector, and copies of others."""
+    import duckdb
+
+    from ruleloom.llm.queries_near import OP2_SQL
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8)).round(3)
+    rows = [(1000 + i, [float(x) for x in base[0] * 2.0 ** (i % 60 - 30)]) for i in rng.permutation(300).tolist()]
+    rows += [(2000 + i, [float(x) for x in base[i % 5]]) for i in range(150)] + [(3000 + i, [float(x) for x in base[i % 40]]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    embeddings = df.toArrow()  # noqa: F841
+    want = duckdb.sql(OP2_SQL).fetchall()
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in nearest(df, df.where("vec_id % 50 = 0"), shard_rows=shard_rows).collect()]
+    assert sorted(g[:3] for g in got) == sorted(w[:3] for w in want)
+    assert np.allclose([g[3] for g in sorted(got)], [w[3] for w in sorted(want)], rtol=0, atol=1e-15)
+
+
+def test_directions_tie_whatever_the_lengths(spark):
+    rng = np.random.default_rng(8)
+    d = rng.integers(-9, 10, 8)
+    rows = [(101 + 8 * int(i), [float(x) for x in d * n]) for i, n in enumerate(rng.permutation(400) + 1)] + [(50, [float(x) for x in d + np.arange(8)])]
+    rows += [(5000 + i, [float(x) for x in -d + rng.normal(size=8)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in nearest(df, df.where("vec_id = 50"), shard_rows=50).orderBy("rank").collect()] == [101, 109, 117, 125, 133]
+
+
+def test_repeated_ids_have_one_vector_as_query_and_the_best_as_candidate(spark):
+    df = spark.createDataFrame([(50, [2.0, 1.0]), (50, [1.0, 2.0]), (7, [0.0, 1.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (8, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, round(r.score, 6)) for r in nearest(df, df.where("vec_id = 50")).orderBy("rank").collect()]
+    assert got == [(1, 7, 0.8), (2, 8, round(2 / 5**0.5, 6))] or got == [(1, 7, 1.0), (2, 8, round(1 / 5**0.5, 6))]
+    rng = np.random.default_rng(1)
+    near = [(9, [1.0, 2.0 + x]) for x in rng.random(300).tolist()] + [(50, [1.0, 2.0 + x]) for x in rng.random(300).tolist()]
+    many = spark.createDataFrame(near + [(i, [1.0, -float(i)]) for i in range(10, 16)], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in nearest(many, many.where("vec_id = 50")).orderBy("rank").collect()]
+    assert got == [9, 10, 11, 12, 13]
+
+
 def test_few_candidates_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in nearest(df, df.where("vec_id % 50 = 0")).collect()] == [(0, 1, 1)]
