@@ -6,10 +6,11 @@ matter, and a paragraph is inserted or deleted by adding or subtracting its
 vector.  The vector has two parts:
 
 * ``EXACT`` words modulo 2**64, drawn from the paragraph's 128-bit hash, for equality;
-* one count and ``LIKE`` words modulo 2**16, sums of +1/-1 vectors hashed from the
+* one count and ``LIKE`` words modulo 2**32, sums of +1/-1 vectors hashed from the
   pieces of the paragraph (cut where a hash of four bytes says so, so that an
   edit moves only the pieces it touches).  The squared length of the difference of two
-  such sums estimates how many pieces the two texts do not share.
+  such sums estimates how many pieces the two texts do not share.  No text that
+  Spark can hold has the 2**31 pieces at which a sum would turn over.
 """
 
 from __future__ import annotations
@@ -30,7 +31,11 @@ EXACT = 4
 LIKE = 256
 PIECE_MASK = np.uint64(15)
 BATCH_BYTES = 1_000_000
-MOST_RANGES = 10_000
+RANGE_ROWS = 2048
+#: A range has more rows than ``RANGE_ROWS`` where there would be over this many; the driver holds a bound for each.
+MOST_RANGES = 1 << 20
+#: Ranges that one quantile sketch tells apart; more are found by a sketch within each of these.
+COARSE = 2048
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3 | 1)
 
@@ -71,11 +76,12 @@ def _piece_sums(paragraphs: list[bytes], owner: np.ndarray, docs: int) -> tuple[
             hashes[a : a + step] = (sums[e - lo] - sums[s - lo]) * _DOWN[s - lo]
         else:
             for i, (x, y) in enumerate(zip(s, e)):
-                h = np.uint64(0)
+                h = np.zeros(1, np.uint64)
                 for c in range(x, y, block):  # a huge piece, in turns
                     part = data[c : min(y, c + block)]
-                    h = mix(np.array([h * STEP + np.uint64(c - x) + (part * _UP[: len(part)]).sum(dtype=np.uint64)], np.uint64))[0] if y - x > block else (part * _UP[: len(part)]).sum(dtype=np.uint64)
-                hashes[a + i] = h
+                    own = (part * _UP[: len(part)]).sum(dtype=np.uint64)
+                    h = mix(h * STEP + np.uint64(c - x) + own) if y - x > block else h + own
+                hashes[a + i] = h[0]
     which = owner[np.searchsorted(ends, last, side="right")]
     size = (last + 1 - start).astype(np.uint64)
     hashes = mix(hashes ^ (size << np.uint64(48)))
@@ -95,7 +101,7 @@ class Fingerprints:
     """Vectors of several texts; ``+`` and ``-`` insert and delete paragraphs."""
 
     def __init__(self, exact: np.ndarray, count: np.ndarray, like: np.ndarray):
-        self.exact, self.count, self.like = exact, count.astype(np.uint32), like.astype(np.uint16)
+        self.exact, self.count, self.like = exact, count.astype(np.uint32), like.astype(np.uint32)
 
     @classmethod
     def of(cls, texts: list[str | None]) -> Fingerprints:
@@ -121,7 +127,7 @@ class Fingerprints:
         return Fingerprints(self.exact - other.exact, self.count - other.count, self.like - other.like)
 
     def strings(self) -> list[str]:
-        rows = np.concatenate([self.exact.astype(">u8").view(np.uint8), self.count[:, None].astype(">u4").view(np.uint8), self.like.astype(">u2").view(np.uint8)], axis=1)
+        rows = np.concatenate([self.exact.astype(">u8").view(np.uint8), self.count[:, None].astype(">u4").view(np.uint8), self.like.astype(">u4").view(np.uint8)], axis=1)
         return [r.tobytes().hex() for r in rows]
 
     @classmethod
@@ -129,57 +135,89 @@ class Fingerprints:
         rows = np.frombuffer(bytes.fromhex("".join(strings)), np.uint8).reshape(len(strings), -1)
         a, b = 8 * EXACT, 8 * EXACT + 4
         view = lambda x, kind: np.ascontiguousarray(x).view(kind)
-        return cls(view(rows[:, :a], ">u8").astype(np.uint64), view(rows[:, a:b], ">u4")[:, 0].astype(np.uint32), view(rows[:, b:], ">u2").astype(np.uint16))
+        return cls(view(rows[:, :a], ">u8").astype(np.uint64), view(rows[:, a:b], ">u4")[:, 0].astype(np.uint32), view(rows[:, b:], ">u4").astype(np.uint32))
 
     def likeness(self, other: Fingerprints) -> np.ndarray:
         """Estimated share of pieces in common, 0 to 1, row by row; equal fingerprints: 1."""
-        square = lambda x: (x.view(np.int16).astype(np.float64) ** 2).mean(axis=1)
+        square = lambda x: (x.view(np.int32).astype(np.float64) ** 2).mean(axis=1)
         both = square(self.like) + square(other.like)
         same = (self.exact == other.exact).all(axis=1) & (self.count == other.count) & (self.like == other.like).all(axis=1)
         return np.where(same, 1.0, np.where(both > 0, np.clip(1.0 - square(self.like - other.like) / np.maximum(both, 1e-9), 0.0, 1.0), 0.0))
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2048) -> DataFrame:
+def _bounds(rows: DataFrame, ranges: int) -> np.ndarray:
+    """``ranges - 1`` rising approximate quantiles of ``key``; an id that fills several ranges is there as often."""
+    if ranges < 2:
+        return np.empty(0, np.int64)
+    coarse = min(ranges, COARSE)
+    sketch = lambda n: F.percentile_approx("key", [i / n for i in range(1, n)], 10 * COARSE)
+    first = np.array(rows.select(sketch(coarse)).first()[0], np.int64)
+    if coarse == ranges:
+        return first
+    cuts = np.unique(first)
+
+    @F.pandas_udf("long")
+    def part_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, key.to_numpy(np.int64), "left"))
+
+    fine = -(-ranges // coarse)
+    within = rows.groupBy(part_of("key").alias("part")).agg(F.count("*").alias("n"), F.percentile_approx("key", [i / fine for i in range(1, fine)], 10 * fine).alias("q")).collect()
+    usual = rows.count() / len(first)
+    inside = []
+    for r in within:  # a part that is larger, as one id fills it, has that id as often
+        inside += r["q"] * max(1, round(r["n"] / usual))
+    return np.sort(np.concatenate([first, np.array(inside, np.int64)]))
+
+
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int | None = None) -> DataFrame:
     """``(range, tail, doc_id, text)``, sorted in each partition, so that a row's next document follows it.
 
-    Ids are cut into at most ``MOST_RANGES`` ranges at approximate quantiles; each
-    range also receives, as ``tail``, the first document of the next range (the
-    last range: of the first).  One shuffle moves the texts, tasks stream through
-    their ranges, and the driver holds one id per range.
+    Ids are cut into ranges at approximate quantiles, and an id that fills several
+    ranges is cut by a hash of its texts; each range also receives, as ``tail``, the
+    first document of the next range (the last range: of the first).  One shuffle moves
+    the texts, tasks stream through their ranges, and the driver holds one id per range.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = rows.count()
-    ranges = min(MOST_RANGES, max(1, -(-n // rows_per_range)))
-    bounds = np.empty(0, np.int64)
-    if ranges > 1:
-        steps = [i / ranges for i in range(1, ranges)]
-        bounds = np.unique(np.array(rows.select(F.percentile_approx("key", steps, 20_000)).first()[0], np.int64))
+    ranges = max(1, -(-n // (rows_per_range or max(RANGE_ROWS, n // MOST_RANGES))))
+    bounds = _bounds(rows.select("key"), ranges)
+    hot = np.unique(bounds[1:][bounds[1:] == bounds[:-1]])
 
     @F.pandas_udf("long")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), "left"))
-
-    first = {r["range"]: r.k for r in rows.select("key", range_of("key").alias("range")).groupBy("range").agg(F.min("key").alias("k")).collect()}
+    def range_of(key: pd.Series, by_text: pd.Series) -> pd.Series:
+        """Ids that are several bounds fill the ranges from the first of them on, evenly by hash."""
+        k = key.to_numpy(np.int64)
+        low, high = np.searchsorted(bounds, k, "left"), np.searchsorted(bounds, k, "right")
+        share = by_text.to_numpy(np.int64).astype(np.float64) / 2.0**64 + 0.5
+        return pd.Series(low + np.minimum(np.floor(share * (high - low)), np.maximum(high - low - 1, 0)).astype(np.int64))
+
+    # the order of documents: by id, and of one id that fills several ranges by hash of the text
+    by_text = F.when(F.col("key").isin(hot.tolist()), F.xxhash64("text")).otherwise(F.lit(0)) if len(hot) else F.lit(0)
+    rows = rows.withColumn("by_text", by_text.cast("long"))
+    ranged = rows.withColumn("range", range_of("key", "by_text")) if len(bounds) else rows.withColumn("range", F.lit(0).cast("long"))
+    first = {r["range"]: (r.k["key"], r.k["by_text"]) for r in ranged.select("range", "key", "by_text").groupBy("range").agg(F.min(F.struct("key", "by_text")).alias("k")).collect()}
     order = sorted(first)
-    heads = np.array([first[r] for r in order], np.int64)  # rising, as ranges are
+    heads = np.array([first[r] for r in order], np.int64).reshape(-1, 2)  # rising, as ranges are
     before = np.array(order[-1:] + order[:-1], np.int64)
 
     @F.pandas_udf("long")
-    def range_before(key: pd.Series) -> pd.Series:
-        """The range before the one that begins with this id, or -1."""
-        k = key.to_numpy(np.int64)
-        at = np.minimum(np.searchsorted(heads, k), len(heads) - 1)
-        return pd.Series(np.where(heads[at] == k, before[at], -1))
-
-    rows = rows.withColumn("range", range_of("key"))
-    if order:
-        rows = rows.withColumn("before", range_before("key"))
-    else:
-        rows = rows.withColumn("before", F.lit(-1).cast("long"))
+    def range_before(key: pd.Series, by_text: pd.Series) -> pd.Series:
+        """The range before the one that begins with this id and hash, or -1."""
+        k, h = key.to_numpy(np.int64), by_text.to_numpy(np.int64)
+        found = np.full(len(k), -1, np.int64)
+        left, right = np.searchsorted(heads[:, 0], k, "left"), np.searchsorted(heads[:, 0], k, "right")
+        for i in np.flatnonzero(right > left):
+            at = left[i] + np.searchsorted(heads[left[i] : right[i], 1], h[i])
+            if at < right[i] and heads[at, 1] == h[i]:
+                found[i] = before[at]
+        return pd.Series(found)
+
+    rows = ranged.withColumn("before", range_before("key", "by_text") if order else F.lit(-1).cast("long"))
     own = F.struct(F.col("range"), F.lit(False).alias("tail"))
     sent = F.when(F.col("before") >= 0, F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("tail")))).otherwise(F.array(own))
-    sent = rows.select("doc_id", "text", F.explode(sent).alias("t")).select("t.range", "t.tail", "doc_id", "text")
-    return sent.repartition(max(1, -(-len(order) // 4)), "range").sortWithinPartitions("range", "tail", F.asc_nulls_first("doc_id"), "text")
+    sent = rows.select("key", "by_text", "doc_id", "text", F.explode(sent).alias("t")).select("t.range", "t.tail", "key", "by_text", "doc_id", "text")
+    dealt = sent.repartition(max(1, -(-len(order) // 4)), "range").sortWithinPartitions("range", "tail", "key", "by_text", "text")
+    return dealt.select("range", "tail", "doc_id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,11 +225,13 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     ``edited`` is the SHA-256 of the edited text: the last ``n_chars // 4`` code
     points replaced by the first as many (or all) of the next document.  Documents
-    follow by ascending id, equal ids by text; after the last comes the first.
+    follow by ascending id, equal ids by text (those of an id that fills several ranges
+    by a hash of it first); after the last comes the first.
 
     Defined cases: a null text is an empty text; a null id comes before all
     others; a single document is its own next; repeated rows are each other's
-    next; an empty table gives an empty result; other columns are not read.
+    next; texts of any length are hashed whole; an empty table gives an empty
+    result; other columns are not read.
     """
     import hashlib
 

@@ -95,6 +95,64 @@ def test_likeness():
     assert Fingerprints.of([""]).likeness(Fingerprints.of([None]))[0] == 1.0
 
 
+@pytest.mark.parametrize("n", [30_000, 32_767, 32_768, 65_536, 200_000])
+def test_likeness_of_many_equal_lines(n):
+    a, b = Fingerprints.of(["the same line\n" * n]), Fingerprints.of(["the same line\n" * (n + 1)])
+    assert 0.999 < a.likeness(b)[0] < 1.0
+
+
+def test_likeness_follows_the_shared_pieces():
+    """Against the share of pieces in common, counted piece by piece."""
+    from collections import Counter
+
+    from ruleloom.llm import fingerprint
+
+    def pieces(text):
+        found = Counter()
+        for line in text.encode().split(b"\n"):
+            data, start = np.frombuffer(line, np.uint8).astype(np.uint64) + np.uint64(1), 0
+            for i in range(len(line)):
+                four = np.array([sum(int(data[i - j]) << (16 * j) for j in range(min(i, 3) + 1)) % (1 << 64)], np.uint64)
+                if i + 1 == len(line) or fingerprint.mix(four)[0] & fingerprint.PIECE_MASK == 0:
+                    found[line[start : i + 1]] += 1
+                    start = i + 1
+        return found
+
+    rng = random.Random(2)
+    line = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(8))
+    base = [line() for _ in range(120)]
+    for kept in (0, 30, 60, 110):
+        other = base[:kept] + [line() for _ in range(120 - kept)]
+        p, q = pieces("\n".join(base)), pieces("\n".join(other))
+        f, g = Fingerprints.of(["\n".join(base)]), Fingerprints.of(["\n".join(other)])
+        assert f.count[0] == sum(p.values())
+        apart = sum(n * n for n in (p - q).values()) + sum(n * n for n in (q - p).values())
+        want = 1 - apart / (sum(n * n for n in p.values()) + sum(n * n for n in q.values()))
+        assert abs(f.likeness(g)[0] - max(0.0, want)) < 0.2
+
+
+def test_ranges_of_hot_ids_and_many_ranges(spark, monkeypatch):
+    from ruleloom.llm import fingerprint
+
+    monkeypatch.setattr(fingerprint, "COARSE", 4)
+    rng = random.Random(9)
+    docs = [(None, f"null {i}") for i in range(150)] + [(77, f"hot {i % 60}") for i in range(150)] + [(rng.randrange(1000), f"t{i}") for i in range(200)]
+    rows = with_next(frame(spark, docs), rows_per_range=10).rdd.glom().collect()
+    flat, per_range = [], {}
+    for r in (r for part in rows for r in part):
+        per_range.setdefault(r["range"], []).append(r)
+    ranges = sorted(per_range)
+    assert len(ranges) > 30 and max(sum(not r.tail for r in per_range[k]) for k in ranges) < 60
+    for k, after in zip(ranges, ranges[1:] + ranges[:1]):
+        assert [r.tail for r in per_range[k]] == sorted(r.tail for r in per_range[k]) and per_range[k][-1].tail
+        head, tail = per_range[after][0], next(r for r in per_range[k] if r.tail)
+        assert (head.doc_id, head.text) == (tail.doc_id, tail.text)
+        flat += [r for r in per_range[k] if not r.tail]
+    assert sorted((str(i), t) for i, t in docs) == sorted((str(r.doc_id), r.text) for r in flat)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in flat]
+    assert ids == sorted(ids)
+
+
 @pytest.mark.parametrize("per_range", [3, 10_000])
 def test_edits_and_next_documents(spark, monkeypatch, per_range):
     from ruleloom.llm import fingerprint
