@@ -28,7 +28,7 @@ from ruleloom.llm.batches import bound, small
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 MEMO = 100_000
 MEMO_WORD = 64
-ID_BITS, PLACE_BITS = 20, 40
+PLACE_BITS = 40
 PLACE = (1 << PLACE_BITS) - 1
 BATCH_CHARS = 2_000_000
 
@@ -55,10 +55,11 @@ class Encoder(dict):
         to_byte = {c: b for b, c in names.items()}
         vocab = file["model"]["vocab"]
         self.single = [vocab[names[b]] for b in range(256)]
+        self.id_bits = max(vocab.values()).bit_length()
         self.ranks, self.made = {}, []  # by the pair of ids in one number; and the id that a rank makes
         for rank, pair in enumerate(file["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a] << ID_BITS | vocab[b]] = rank
+            self.ranks[vocab[a] << self.id_bits | vocab[b]] = rank
             self.made.append(vocab[a + b])
         self.older: dict[str, tuple[int, ...]] = {}
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", ())}
@@ -86,14 +87,14 @@ class Encoder(dict):
         n = len(symbol)
         if n == 1:
             return tuple(symbol)
-        rank_of, made, push = self.ranks.get, self.made, heapq.heappush
+        rank_of, made, push, id_bits = self.ranks.get, self.made, heapq.heappush, self.id_bits
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         after[-1] = -1
         heap = []
         left = symbol[0]
         for i in range(1, n):
             right = symbol[i]
-            rank = rank_of(left << ID_BITS | right)
+            rank = rank_of(left << id_bits | right)
             if rank is not None:
                 heap.append(rank << PLACE_BITS | (i - 1))
             left = right
@@ -103,19 +104,19 @@ class Encoder(dict):
             i = entry & PLACE
             j = after[i]
             left = symbol[i]
-            if left < 0 or j < 0 or rank_of(left << ID_BITS | symbol[j]) != entry >> PLACE_BITS:
+            if left < 0 or j < 0 or rank_of(left << id_bits | symbol[j]) != entry >> PLACE_BITS:
                 continue  # stale
             new = symbol[i] = made[entry >> PLACE_BITS]
             symbol[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                rank = rank_of(new << ID_BITS | symbol[k])
+                rank = rank_of(new << id_bits | symbol[k])
                 if rank is not None:
                     push(heap, rank << PLACE_BITS | i)
             h = before[i]
             if h >= 0:
-                rank = rank_of(symbol[h] << ID_BITS | new)
+                rank = rank_of(symbol[h] << id_bits | new)
                 if rank is not None:
                     push(heap, rank << PLACE_BITS | h)
         return tuple([s for s in symbol if s >= 0])
@@ -158,8 +159,8 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     A worker remembers the ids of up to twice ``memo`` words (about 200 bytes each).
 
     Defined cases: a null text is encoded as an empty one, which has no ids and
-    decodes to an empty text; a special token's string in a text is that token;
-    repeated rows and null ids are kept; an empty table gives an empty result;
+    decodes to an empty text; texts and words of any length are encoded whole; a
+    special token's string in a text is that token; repeated rows and null ids are kept; an empty table gives an empty result;
     other columns are not read.
     """
 

@@ -379,7 +379,9 @@ def ngram_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     needed = tasks.join(nodes.select("root", "part", "cid", "copies"), ["root", "part"]).select("task", "root", "first", "second", "part", "cid", "copies")
     sets = _with_bit(own, nodes.select("doc_id"), "doc_id").select("text").mapInArrow(_sets(width), "cid long, shingles array<long>")
     found = needed.join(sets, "cid").groupBy("task").applyInArrow(_verify(percent), "a long, b long, linked long")
-    return docs_out, scratch.cut(found, "links")
+    found = scratch.cut(found, "links")
+    scratch.drop(entries, hot, pairs, nodes)
+    return docs_out, found
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -392,7 +394,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Defined cases: a null, empty or blank text has no shingles, links with
     nothing and keeps its own doc_id as component (null for a null doc_id);
     fewer than ``width`` words are one shingle; repeated rows are linked copies;
-    a null doc_id takes part but is never a smallest id; an empty table gives an
+    texts of any length are read whole; a null doc_id takes part but is never a smallest id; an empty table gives an
     empty result; other columns of ``docs`` are not read.  Shingles and sets
     are told apart by 64-bit hashes.
     """
@@ -408,12 +410,24 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; others go.
+    """Of each component of linked rows the one of the smallest id, and of rows with that id the one of the least number; others go.
 
-    Rows without words stay, and rows with a null id, which no id can stand for.
-    Of rows that repeat a kept id and text one stays.
+    Defined cases: rows without words (null, empty, blank) all stay, as they link with
+    nothing; rows that repeat an id with different texts are rows of their own, told
+    apart by a number hashed from both; of repeated rows one stays; a row with a null
+    id stays only where no row of its component has an id; texts of any length are read
+    whole; an empty table gives an empty result; other columns may have any names.
     """
-    found = ngram_components(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col, text_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    text, own_id = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    number = F.xxhash64(F.coalesce(own_id.cast("string"), F.lit("null")), F.lit("|"), text)
+    worded = docs.where(F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    numbered = worded.select(number.alias("number"), own_id.alias("id"), text.alias("text"))
+    rows, links = ngram_links(numbered, id_col="number", width=width, percent=percent)
+    labels = connected_components(links.where("b is not null").select("a", "b"))
+    named = rows.join(numbered.select(F.col("number").alias("doc_id"), "id").distinct(), "doc_id").join(labels, "cid", "left")
+    least = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "doc_id"))  # rows with an id first
+    kept = scratch.cut(named.groupBy(F.coalesce("root", "cid")).agg(least.alias("k")).select(F.col("k.doc_id").alias("number")), "kept")
+    packed = worded.select(number.alias("number"), own_id.alias("id"), F.xxhash64(text).alias("check"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    packed = packed.join(kept, "number", "left_semi").dropDuplicates(["number", "id", "check"])
+    blank = docs.where(~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return packed.select("row.*").union(blank)

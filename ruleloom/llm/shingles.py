@@ -1,8 +1,9 @@
 """Word shingles as 64-bit hashes, computed for many texts at once in numpy.
 
 A word is a run of ``[^\\x20\\x09-\\x0D]``; only A-Z are lower-cased.  A word's
-hash is a polynomial of its bytes modulo 2**64, a shingle's hash mixes those of
-its words, so two different shingles share a hash with probability about 2**-64.
+hash is the sum of mixed numbers drawn for each byte at its place (tabulation), a
+shingle's hash mixes those of its words, so that two different shingles share a hash
+with probability about 2**-64, unless they are made for it.
 """
 
 from __future__ import annotations
@@ -27,20 +28,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(first: int, base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % (1 << 64), np.uint64)
-    out[0] = first
-    return np.cumprod(out, dtype=np.uint64)
+def _drawn(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The number of a byte at a place of its word."""
+    return mix((place.astype(np.uint64) << np.uint64(8) | byte) * STEP + np.uint64(BASE))
 
 
-_LOW = _powers(1, BASE, 1 << 16)
-_HIGH = _powers(1, pow(BASE, 1 << 16, 1 << 64), 1 << 12)
+NEAR_PLACES = 64
+#: The numbers of the first places, which nearly all bytes have.
+_TABLE = _drawn(np.repeat(np.arange(NEAR_PLACES), 256), np.tile(np.arange(256, dtype=np.uint8), NEAR_PLACES))
 
 
-def _power(k: np.ndarray) -> np.ndarray:
-    if len(k) and k.max() >= 1 << 16:
-        return _LOW[k & 0xFFFF] * _HIGH[(k >> 16) & 0xFFF]
-    return _LOW[k]
+def _numbers(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    out = _TABLE[(np.minimum(place, NEAR_PLACES - 1) << 8) | byte]
+    far = np.flatnonzero(place >= NEAR_PLACES)
+    if len(far):
+        out[far] = _drawn(place[far], byte[far])
+    return out
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +57,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), offsets
     spread = np.diff(starts, append=len(data))
     k = np.arange(starts[0], len(data)) - np.repeat(starts, spread)
-    value = (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * _power(k)
+    value = _numbers(k, data[starts[0] :])
     value[space[starts[0] :]] = 0
     return mix(np.add.reduceat(value, starts - starts[0])), offsets
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,11 @@ TRAIN_ROWS = 20_000
 FOLDS = 3
 STARTS = (3, 4, 5, 6, 7, 8)
 LEXICON_MOST = 4_000
-TERM_LETTERS = 24
+#: A term of a longer word is its beginning and its hash.
+TERM_LETTERS = 64
+#: A word's letters, capitals and signs are packed in this many bits each; what is beyond is added apart.
+COUNT_BITS = 12
+MOST = (1 << COUNT_BITS) - 1
 MEMO = 120_000
 BANDS = (2.0, 3.0, 4.0)
 NEAR = 6
@@ -54,8 +59,9 @@ def plain(word: str) -> str:
 
 def terms(word: str) -> list[str]:
     """The word itself, marked, and its beginnings."""
-    w = plain(word)[:TERM_LETTERS]
-    return [w + "$", *(w[:k] for k in STARTS if k <= len(w))] if len(w) >= 3 else []
+    w = plain(word)
+    whole = w if len(w) <= TERM_LETTERS else w[:8] + xxhash.xxh3_128_hexdigest(w.encode("utf-8", "surrogatepass"))
+    return [whole + "$", *(w[:k] for k in STARTS if k <= len(w))] if len(w) >= 3 else []
 
 
 class WordCodes(dict):
@@ -71,7 +77,7 @@ class WordCodes(dict):
 
     def code(self, word: str) -> int:
         if word.isalpha() and word.islower():  # most words
-            return min(len(word), 4095) | (word in SECOND_PERSON) << 36 | (REPEATED.search(word) is not None) << 37 | min(int(self.weigh(word) * 100), 2000) << 40
+            return min(len(word), MOST) | (word in SECOND_PERSON) << 36 | (REPEATED.search(word) is not None) << 37 | min(int(self.weigh(word) * 100), 2000) << 40
         signs = sum(not c.isalnum() for c in word)
         upper = sum(c.isupper() for c in word)
         w = plain(word)
@@ -79,7 +85,7 @@ class WordCodes(dict):
         weight = self.weigh(word)
         if odd and weight == 0.0:
             weight = self.weigh(w.translate(DISGUISE))
-        return min(len(word), 4095) | min(upper, 4095) << 12 | min(signs, 4095) << 24 | (w in SECOND_PERSON) << 36 | odd << 37 | (upper > 1 and upper == sum(c.isalpha() for c in word)) << 38 | ("!" in word) << 39 | min(int(weight * 100), 2000) << 40
+        return min(len(word), MOST) | min(upper, MOST) << 12 | min(signs, MOST) << 24 | (w in SECOND_PERSON) << 36 | odd << 37 | (upper > 1 and upper == sum(c.isalpha() for c in word)) << 38 | ("!" in word) << 39 | min(int(weight * 100), 2000) << 40
 
     def __missing__(self, word: str) -> int:
         code = self.older.get(word)
@@ -99,7 +105,11 @@ def features(text: str | None, codes: WordCodes) -> np.ndarray:
     if not words:
         return out
     c = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-    n, letters = len(words), float((c & 4095).sum())
+    n, letters, upper, signs = len(words), float((c & MOST).sum()), float(((c >> 12) & MOST).sum()), float(((c >> 24) & MOST).sum())
+    for w in (words[i] for i in np.flatnonzero((c & MOST) == MOST)):  # what did not fit
+        letters += len(w) - MOST
+        upper += max(0, sum(x.isupper() for x in w) - MOST)
+        signs += max(0, sum(not x.isalnum() for x in w) - MOST)
     weight, you = (c >> 40) / 100.0, (c >> 36) & 1
     for i, band in enumerate(BANDS):
         out[i] = k = float((weight >= band).sum())
@@ -113,8 +123,8 @@ def features(text: str | None, codes: WordCodes) -> np.ndarray:
         right = persons[np.minimum(at, len(persons) - 1)] - hits
         gap = np.minimum(np.where(at > 0, left, 1 << 30), np.where(at < len(persons), right, 1 << 30))
         out[9], out[10] = float((gap <= NEAR).sum()), 1.0 / (1.0 + float(gap.min()))
-    out[11] = float(((c >> 12) & 4095).sum()) / letters
-    out[12] = float(((c >> 24) & 4095).sum()) / letters
+    out[11] = upper / letters
+    out[12] = signs / letters
     out[13] = 100.0 * float(((c >> 37) & 1).sum()) / n
     out[14] = 100.0 * float((((c >> 38) & 1) | ((c >> 39) & 1)).sum()) / n
     out[15] = np.log1p(n)
@@ -217,10 +227,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, held_out, score, predicted.
 
-    Defined cases: a null or empty text is scored as one without words; a null
-    id is hashed as an empty text; without labels every text gets the same low
-    score; repeated rows get equal scores; an empty table gives an empty result;
-    other columns are not read.
+    Defined cases: a null or empty text is scored as one without words; texts and
+    words of any length are read whole; a null id is hashed as an empty text;
+    without labels every text gets the same low score; repeated rows get equal
+    scores; an empty table gives an empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +248,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that the model does not predict toxic, with all their columns."""
+    """Rows of ``docs`` that the model does not predict toxic, with all their columns.
+
+    Defined cases: null and empty texts are scored as texts without words; repeated
+    rows share their fate; texts of any length are read whole; an empty table gives an
+    empty result; other columns may have any names.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(model.lexicon)
         for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            if not texts:
+                continue
             toxic = model.score(np.stack([features(t if t is None else str(t), codes) for t in texts])) >= 0.5
             yield batch.filter(pa.array(~toxic))
 

@@ -61,6 +61,17 @@ def test_no_labels_and_no_rows(spark):
     assert score_toxicity(df.where("doc_id > 5"), fit_toxicity(df.where("doc_id > 5"), none)).collect() == []
 
 
+def test_words_of_any_length_count_whole():
+    codes = toxicity.WordCodes({})
+    for text in ("A" * 9000 + " b", "!" * 5000 + "A" * 5000 + " ok", "x" * 4095 + " " + "Y" * 4096, "plain words"):
+        words = text.split()
+        letters = sum(map(len, words))
+        x = toxicity.features(text, codes)
+        assert x[11] == sum(c.isupper() for c in text) / letters and x[12] == sum(not c.isalnum() for w in words for c in w) / letters
+    a, b = "verylongword" * 10 + "a", "verylongword" * 10 + "b"
+    assert toxicity.terms(a)[0] != toxicity.terms(b)[0] and toxicity.terms(a)[1:] == toxicity.terms(b)[1:] and "abcdefghijklmnopqrstuvwxyz$" in toxicity.terms("abcdefghijklmnopqrstuvwxyz")
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 3))

@@ -10,7 +10,7 @@ from ruleloom.llm import ngram_join
 from ruleloom.llm.ann import VantageTree, nearest
 from ruleloom.llm.components import connected_components
 from ruleloom.llm.ngram_join import choose_boundary, keep_one, ngram_components, parity
-from ruleloom.llm.shingles import shingle_sets
+from ruleloom.llm.shingles import shingle_sets, word_hashes
 
 SCHEMA = "doc_id long, text string, n int, cid string, keys string"
 
@@ -86,7 +86,30 @@ def test_repeated_null_and_no_rows(spark):
     out = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_components(rows).collect()), key=repr)
     assert out == sorted([(5, 3, 2, 3), (5, 3, 2, 3), (2, 3, 2, 3), (None, 3, 2, 3), (None, 0, None, 0)], key=repr)
     assert ngram_components(rows.where("doc_id > 99")).collect() == []
-    assert keep_one(rows).count() == 3  # 2, and both rows without an id
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in keep_one(rows).collect()))) == sorted(map(repr, [(2, "one two three four five six"), (None, None)]))
+
+
+def test_keep_one_of_rows_that_share_ids(spark):
+    t, u, v = "one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g h"
+    pairs = lambda rows: sorted(map(repr, ((r.doc_id, r.text) for r in keep_one(frame(spark, rows)).collect())))
+    assert pairs([(0, t), (1, t), (1, u)]) == sorted(map(repr, [(0, t), (1, u)]))
+    assert pairs([(None, v), (None, v), (3, v), (None, u), (4, ""), (4, ""), (5, None)]) == sorted(map(repr, [(3, v), (None, u), (4, ""), (4, ""), (5, None)]))
+    df = spark.createDataFrame([(1, t, 7, "p"), (2, t, 8, "q")], "doc_id long, text string, number long, `row` string")
+    assert [tuple(r) for r in keep_one(df).collect()] == [(1, t, 7, "p")] and keep_one(df).columns == df.columns
+    assert keep_one(df.where("doc_id > 5")).collect() == []
+
+
+def test_words_that_break_polynomial_hashes():
+    """Thue-Morse words, which collide under every polynomial modulo a power of two."""
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    hashes, _ = word_hashes([one.encode(), other.encode(), (one + "a").encode(), b"a", b"\x00", b"aa"])
+    assert len(set(hashes.tolist())) == 6
+    long = "".join(chr(97 + i % 26) for i in range(5000))
+    swapped = long[:4000] + long[4001] + long[4000] + long[4002:]
+    assert len(set(word_hashes([long.encode(), swapped.encode()])[0].tolist())) == 2
 
 
 def test_very_long_text(spark):
