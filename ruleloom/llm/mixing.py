@@ -33,7 +33,7 @@ MOST_SLOTS = 1 << 22
 GOLDEN = (math.sqrt(5.0) - 1.0) / 2.0
 SLOT_CHUNK = 4096
 CELL_SLOTS = 1024
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 512
 RANGE_SOURCES = 1 << 16
 
 
