@@ -13,7 +13,10 @@ from pyspark.sql.window import Window
 from ruleloom.functions.stats import average_rank, cohens_d, welch, with_p_greater
 from ruleloom.functions.windows import full, lead, leading, ratio
 
+#: The weights of the score's terms.
 WEIGHTS = {"ic": 0.20, "lift": 0.25, "d": 0.15, "z": 0.25, "breadth": 0.15}
+#: Events that share one copy of their ticker's series.
+EVENT_BLOCK = 512
 
 
 def forward(bars: DataFrame, horizons: tuple[int, ...], *, split: int | None = None, purge: int = 0, source: str = "close") -> DataFrame:
@@ -60,51 +63,96 @@ def excess(active: DataFrame, fwd: DataFrame) -> DataFrame:
     return out.join(base, ["ticker", "h"]).withColumn("delta", F.col("mu") - F.col("base")).select("ticker", "event_id", "h", "n", "mu", "base", "delta")
 
 
-def rotations(mask: np.ndarray, values: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of ``values`` under every circular shift of ``mask``, and how many valid ones it has; null with none."""
-    f = np.conj(np.fft.rfft(mask.astype(float)))
-    n = len(mask)
-    total = np.fft.irfft(f * np.fft.rfft(np.where(valid, values, 0.0)), n)
-    count = np.rint(np.fft.irfft(f * np.fft.rfft(valid.astype(float)), n))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(count > 0.5, total / np.maximum(count, 1.0), np.nan), count
+class Series:
+    """Returns at one horizon with their transforms, made once for all events of the ticker."""
+
+    def __init__(self, h: int, values: np.ndarray):
+        self.h, self.valid = h, np.isfinite(values)
+        self.n, self.mean = len(values), values[self.valid].mean() if self.valid.any() else np.nan
+        self.sums, self.counts = np.fft.rfft(np.where(self.valid, values, 0.0)), np.fft.rfft(self.valid.astype(float))
+
+    def under(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean of the values under every circular shift of a mask, given as the conjugate of its transform, and how many valid ones it has; null with none."""
+        total, count = np.fft.irfft(mask * self.sums, self.n), np.rint(np.fft.irfft(mask * self.counts, self.n))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(count > 0.5, total / np.maximum(count, 1.0), np.nan), count
+
+
+def _past_series(active: DataFrame, fwd: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over groups of a ticker and a block of its events: the series of all horizons first, then the events.
+
+    A series is sent once for each ``EVENT_BLOCK`` events, and events stream past it in
+    Arrow batches, so a task holds one ticker's series and one batch.
+    """
+    series = fwd.groupBy("ticker", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "logfwd"))), lambda x: x["logfwd"]).alias("r"))
+    hits = active.groupBy("ticker", "event_id").agg(F.collect_list(F.col("rn").cast("int")).alias("hits"))
+    blocks = max(1, -(-active.select("event_id").distinct().count() // EVENT_BLOCK))
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    held = series.select("ticker", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("h").cast("int").alias("h"), null("string", "event_id"), null("array<int>", "hits"), "r")
+    sent = hits.select("ticker", F.pmod(F.xxhash64("event_id"), F.lit(blocks)).cast("int").alias("block"), null("int", "h"), "event_id", "hits", null("array<double>", "r"))
+    rows = held.union(sent).repartition("ticker", "block").sortWithinPartitions("ticker", "block", F.asc_nulls_last("h"), "event_id")
+
+    def groups(batches):
+        """``(ticker, series, event_id, conjugate transform of its mask)``, and ``(ticker, series, None, None)`` after the last event of a group."""
+        at, found = None, []
+        for batch in batches:
+            ticker, block, h, event, hits, r = (batch.column(i) for i in range(6))
+            for i, key in enumerate(zip(ticker.to_pylist(), block.to_pylist())):
+                if key != at:
+                    if at is not None:
+                        yield at[0], found, None, None
+                    at, found = key, []
+                if event[i].is_valid:
+                    if found and found[0].n >= 4:
+                        mask = np.zeros(found[0].n)
+                        mask[hits[i].values.to_numpy()] = 1.0
+                        yield key[0], found, event[i].as_py(), np.conj(np.fft.rfft(mask))
+                else:
+                    found.append(Series(h[i].as_py(), r[i].values.to_numpy(zero_copy_only=False).astype(float)))
+        if at is not None:
+            yield at[0], found, None, None
+
+    return rows.mapInArrow(lambda batches: run(groups(batches)), schema)
 
 
 def rotation_null(active: DataFrame, fwd: DataFrame) -> DataFrame:
     """``(ticker, event_id, h, n, delta, z, p)`` against all circular shifts of the event.
 
     ``z`` is the excess over the standard deviation of the shifts' excesses, ``p`` the
-    share of shifts that are at least as far from zero.  An event and its ticker's
-    returns meet in one task, where all shifts come from one Fourier transform; the
-    returns are sent once per event.
+    share of shifts that are at least as far from zero.  All shifts of an event come
+    from one Fourier transform per horizon.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    series = fwd.groupBy("ticker", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "logfwd"))), lambda x: x["logfwd"]).alias("r"))
-    hits = active.groupBy("ticker", "event_id").agg(F.collect_list("rn").alias("hits"))
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for t, e, h, hits, r in zip(pdf["ticker"], pdf["event_id"], pdf["h"], pdf["hits"], pdf["r"]):
-                r = np.array([np.nan if x is None else x for x in r], float)
-                valid, mask = np.isfinite(r), np.zeros(len(r), bool)
-                mask[np.asarray(hits, int)] = True
-                if len(r) < 4 or not valid.any():
+    names = ["ticker", "event_id", "h", "n", "delta", "z", "p"]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+
+    def run(groups):
+        rows = []
+
+        def out():
+            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            rows.clear()
+            return done
+
+        for ticker, series, event, mask in groups:
+            for s in series if event is not None else ():
+                if not s.valid.any():
                     continue
-                mu, count = rotations(mask, r, valid)
-                d = mu - r[valid].mean()
+                mu, count = s.under(mask)
+                d = mu - s.mean
                 null = d[1:][np.isfinite(d[1:])]
                 sd = null.std() if len(null) else 0.0
                 ok = np.isfinite(d[0])
                 z = d[0] / sd if ok and sd > 0 else None
                 p = (1.0 + (np.abs(null) >= abs(d[0]) - 1e-15).sum()) / (1.0 + len(null)) if ok and len(null) else None
-                rows.append((t, e, int(h), int(count[0]), d[0] if ok else None, z, p))
-            yield pd.DataFrame(rows, columns=["ticker", "event_id", "h", "n", "delta", "z", "p"]).astype({"delta": float, "z": float, "p": float})
+                rows.append((ticker, event, s.h, int(count[0]), d[0] if ok else None, z, p))
+            if len(rows) >= 4096:
+                yield out()
+        if rows:
+            yield out()
 
-    out = hits.join(series, "ticker").mapInPandas(run, "ticker string, event_id string, h int, n long, delta double, z double, p double")
-    clean = lambda c: F.nanvl(c, F.lit(None).cast("double")).alias(c)
-    return out.select("ticker", "event_id", "h", "n", clean("delta"), clean("z"), clean("p"))
+    return _past_series(active, fwd, run, "ticker string, event_id string, h int, n long, delta double, z double, p double")
 
 
 def choose_horizon(measured: DataFrame, q: float = 0.10) -> DataFrame:
@@ -197,6 +245,7 @@ def composite(ic: Column, lift: Column, d: Column, z: Column, breadth: Column, *
 
 
 def grade(score: Column) -> Column:
+    """The lowest scores of the grades."""
     return F.when(score >= 0.75, "A").when(score >= 0.50, "B").when(score >= 0.25, "C").otherwise("D")
 
 
@@ -238,27 +287,26 @@ def search_null(active: DataFrame, fwd: DataFrame, alpha: float = 0.05) -> DataF
     For each circular shift the largest ``|z|`` over all events and horizons (with at
     least two valid active bars) is taken; the search's own is shift 0.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    series = fwd.groupBy("ticker", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "logfwd"))), lambda x: x["logfwd"]).alias("r"))
-    hits = active.groupBy("ticker", "event_id").agg(F.collect_list("rn").alias("hits"))
-
-    def run(batches):
-        for pdf in batches:
-            for t, hits, r in zip(pdf["ticker"], pdf["hits"], pdf["r"]):
-                r = np.array([np.nan if x is None else x for x in r], float)
-                valid, mask = np.isfinite(r), np.zeros(len(r), bool)
-                mask[np.asarray(hits, int)] = True
-                if len(r) < 4 or not valid.any():
+    def run(groups):
+        best = None
+        for ticker, series, event, mask in groups:
+            for s in series if event is not None else ():
+                if not s.valid.any():
                     continue
-                mu, count = rotations(mask, r, valid)
-                d = mu - r[valid].mean()
+                mu, count = s.under(mask)
+                d = mu - s.mean
                 sd = np.nanstd(d[1:]) if np.isfinite(d[1:]).sum() > 1 else np.nan
-                z = np.abs(np.where(count >= 1.5, d / sd, np.nan)) if sd > 0 else np.full(len(d), np.nan)
-                k = np.flatnonzero(np.isfinite(z))
-                yield pd.DataFrame({"ticker": t, "offset": k, "z": z[k]})
-
-    best = hits.join(series, "ticker").mapInPandas(run, "ticker string, offset long, z double").groupBy("ticker", "offset").agg(F.max("z").alias("z"))
+                if sd > 0:
+                    z = np.abs(np.where(count >= 1.5, d / sd, np.nan))
+                    best = z if best is None else np.fmax(best, z)
+            if event is None and best is not None:  # the end of a block: one row per shift
+                k = np.flatnonzero(np.isfinite(best))
+                yield pa.RecordBatch.from_arrays([pa.array([ticker] * len(k), pa.string()), pa.array(k), pa.array(best[k])], ["ticker", "offset", "z"])
+                best = None
+
+    best = _past_series(active, fwd, run, "ticker string, offset long, z double").groupBy("ticker", "offset").agg(F.max("z").alias("z"))
     real = best.where("offset = 0").select("ticker", F.col("z").alias("real"))
     null = best.where("offset > 0").join(real, "ticker")
     out = null.groupBy("ticker").agg(F.count("*").alias("offsets"), F.first("real").alias("real"), F.sum((F.col("z") >= F.col("real")).cast("long")).alias("above"), F.percentile("z", F.lit(1 - alpha)).alias("bar"))

@@ -47,11 +47,15 @@ def build_grid(base: Params, *, drop: list[float] | None = None, sell: list[floa
     return [replace(base, drop=d, sell=s, horizon=h, delay=w) for d, s, h, w in product(drop, sell, horizon, delay)]
 
 
-def run(bars: DataFrame, signals: DataFrame, grid: DataFrame, *, windows: DataFrame | None = None, keys: tuple[str, ...] = ("ticker", "event_id")) -> tuple[DataFrame, DataFrame]:
+def run(
+    bars: DataFrame, signals: DataFrame, grid: DataFrame, *, windows: DataFrame | None = None,
+    only: DataFrame | None = None, keys: tuple[str, ...] = ("ticker", "event_id"),
+) -> tuple[DataFrame, DataFrame]:
     """Trade ledger and signal counts, keyed by ``keys``, cell and (with ``windows``) window.
 
     ``signals`` has the keys and ``rn`` of active bars, ``windows`` ``(window, from_dt, to_dt)``: the bar
     after the signal must lie in ``[from_dt, to_dt)``.  A trade without all bars up to its horizon is left out.
+    With ``only``, rows of the keys, cell and window, no other combination is run.
     """
     price = bars.select("ticker", "rn", "open_dt", "open", "high", "low", "close")
     last = bars.groupBy("ticker").agg(F.max("rn").alias("last"))
@@ -66,6 +70,8 @@ def run(bars: DataFrame, signals: DataFrame, grid: DataFrame, *, windows: DataFr
     if windows is not None:
         s = s.join(F.broadcast(windows), (F.col("next_dt") >= F.col("from_dt")) & (F.col("next_dt") < F.col("to_dt")))
         keys = keys + ("window",)
+    if only is not None:
+        s = s.join(only.select(*keys).distinct(), list(keys), "left_semi")
     short = F.col("direction") == "short"
     anchor = F.when(F.col("anchor") == "open", F.col("s_open")).when(F.col("anchor") == "high", F.col("s_high")).when(F.col("anchor") == "low", F.col("s_low")).otherwise(F.col("s_close"))
     market = F.col("buy_type") == "market"
@@ -80,7 +86,7 @@ def run(bars: DataFrame, signals: DataFrame, grid: DataFrame, *, windows: DataFr
     met = F.when(market, F.lit(True)).when(short, F.col("high") >= F.col("buy_price")).otherwise(F.col("low") <= F.col("buy_price"))
     carried = ("episode_id", "buy_price", "direction", "sell", "horizon", "fee", "early_stop", "target_col", "hit_col")
     filled = probe.where(met).groupBy(*id_).agg(F.min("rn").alias("fill_rn"), *(F.first(c).alias(c) for c in carried))
-    filled = filled.withColumn("target_rn", F.col("fill_rn") + F.col("horizon")).join(F.broadcast(last), "ticker").where("target_rn <= last").drop("last")
+    filled = filled.withColumn("target_rn", F.col("fill_rn") + F.col("horizon")).join(last, "ticker").where("target_rn <= last").drop("last")
     short = F.col("direction") == "short"
     filled = filled.withColumn("sell_price", F.col("buy_price") * F.when(short, 1.0 - F.col("sell")).otherwise(1.0 + F.col("sell")))
 
@@ -117,7 +123,7 @@ def summarise(ledger: DataFrame, counts: DataFrame, months: DataFrame, *, keys:
     t = ledger.withColumn("month", month(F.col("fill_dt")))
     by_month = t.groupBy(*keys, "month").agg(F.count("*").alias("m"))
     months_key = [k for k in ("ticker", "window") if k in months.columns and k in keys]
-    by_month = by_month.join(F.broadcast(months), months_key).where("month between first_month and last_month").groupBy(*keys).agg(F.count("*").alias("active_months"), F.sum("m").alias("in_months"), F.sum(F.col("m") * F.col("m")).alias("squares"))
+    by_month = by_month.join(months, months_key).where("month between first_month and last_month").groupBy(*keys).agg(F.count("*").alias("active_months"), F.sum("m").alias("in_months"), F.sum(F.col("m") * F.col("m")).alias("squares"))
     agg = t.groupBy(*keys).agg(
         F.count("*").alias("total_trades"),
         F.sum((F.col("net_pct_gain") > 0).cast("long")).alias("winning_trades"),
@@ -131,7 +137,7 @@ def summarise(ledger: DataFrame, counts: DataFrame, months: DataFrame, *, keys:
         (F.avg(F.col("target_hit").cast("double")) * 100).alias("target_hit_rate_pct"),
         F.count_distinct("episode_id").alias("n_episodes"),
     )
-    out = counts.join(agg, list(keys), "left").join(by_month, list(keys), "left").join(F.broadcast(months), months_key)
+    out = counts.join(agg, list(keys), "left").join(by_month, list(keys), "left").join(months, months_key)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = out.withColumn("n_months", F.greatest(F.lit(1), F.col("last_month") - F.col("first_month") + 1))
     for c in ("total_trades", "winning_trades", "losing_trades", "n_episodes", "active_months", "in_months", "squares", "profit_factor", "total_net_gain", "std_net_gain"):
@@ -157,10 +163,10 @@ def overlap(ledger: DataFrame, *keys: str) -> DataFrame:
 
 
 def select_best(summary: DataFrame, *keys: str, least_pf: float = 2.0, least_wr: float = 0.55, least_tpm: float = 2.0, least_score: float = 0.30, least_fill: float = 0.40) -> DataFrame:
-    """The cell of largest ``pf_score_tpm``: of those that qualify, or of all if none does; ties to the first cell."""
+    """The cell of largest ``pf_score_tpm``, to nine digits: of those that qualify, or of all if none does; ties to the first cell."""
     ok = (F.col("profit_factor") >= least_pf) & (F.col("win_rate") >= least_wr) & (F.col("tpm_mu") >= least_tpm) & (F.col("pf_score_tpm") >= least_score) & (F.col("fill_rate") >= least_fill)
     s = summary.withColumn("qualified", F.coalesce(ok, F.lit(False)))
-    w = Window.partitionBy(*keys).orderBy(F.desc("qualified"), F.desc("pf_score_tpm"), "cell")
+    w = Window.partitionBy(*keys).orderBy(F.desc("qualified"), F.desc(F.round("pf_score_tpm", 9)), "cell")
     return s.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
@@ -219,8 +225,8 @@ def walk_forward(bars: DataFrame, signals: DataFrame, params: list[Params], *, n
     ledger, counts = run(bars, signals, grid, windows=train, keys=keys)
     spans = train.select("window", at(F.col("from_dt")).alias("first_month"), at(F.expr("to_dt - interval 1 microsecond")).alias("last_month"))
     best = select_best(summarise(ledger, counts, spans, keys=(*keys, "cell", "window")), *keys, "window")
-    tests, _ = run(bars, signals, grid, windows=windows.where("part = 'test'").drop("part"), keys=keys)
-    return best, tests.join(best.select(*keys, "window", "cell"), [*keys, "window", "cell"], "left_semi")
+    tests, _ = run(bars, signals, grid, windows=windows.where("part = 'test'").drop("part"), only=best, keys=keys)
+    return best, tests
 
 
 def stability(ledger: DataFrame, *keys: str) -> DataFrame:

@@ -157,23 +157,28 @@ def overlaps(active: DataFrame, least: float = 0.0) -> DataFrame:
     return out.where(F.col("jaccard") >= least).select("ticker", "a", "b", "shared", "na", "nb", "jaccard")
 
 
-def diversity(active: DataFrame, threshold: float = 0.85) -> list[str]:
-    """Greedy by falling activations: an event stays if it overlaps no kept one by ``threshold`` or more.
+def diversity(active: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``(ticker, i, event_id)``: greedy by falling activations, an event stays if it overlaps no kept one by ``threshold`` or more.
 
-    Spark finds the overlapping pairs; the order-dependent choice runs on the driver over those alone.
+    Only pairs that overlap that much are gathered, those of a ticker in one task; ``i`` is the order of choice.
     """
-    sizes = active.groupBy("event_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_id").collect()
-    near: dict[str, set[str]] = {}
-    for r in overlaps(active, threshold).select("a", "b").collect():
-        near.setdefault(r.a, set()).add(r.b)
-        near.setdefault(r.b, set()).add(r.a)
-    kept: list[str] = []
-    chosen: set[str] = set()
-    for r in sizes:
-        if not near.get(r.event_id, set()) & chosen:
-            kept.append(r.event_id)
-            chosen.add(r.event_id)
-    return kept
+    sizes = active.groupBy("ticker", "event_id").agg(F.count("*").alias("n"))
+    near = overlaps(active, threshold).select("ticker", "a", "b")
+    both = near.union(near.select("ticker", "b", "a")).groupBy("ticker", F.col("a").alias("event_id")).agg(F.collect_set("b").alias("near"))
+    rows = sizes.join(both, ["ticker", "event_id"], "left")
+
+    def choose(table):
+        import pyarrow as pa
+
+        kept: list[str] = []
+        chosen: set[str] = set()
+        for _, event, near in sorted(zip([-n for n in table["n"].to_pylist()], table["event_id"].to_pylist(), table["near"].to_pylist()), key=lambda x: x[:2]):
+            if chosen.isdisjoint(near or ()):
+                kept.append(event)
+                chosen.add(event)
+        return pa.table({"ticker": [table["ticker"][0].as_py()] * len(kept), "i": pa.array(range(len(kept)), pa.int32()), "event_id": kept})
+
+    return rows.groupBy("ticker").applyInArrow(choose, "ticker string, i int, event_id string")
 
 
 def fold_validation(active: DataFrame, bars: DataFrame, first_rn: int, *, folds: int = 3, pass_rate: float = 0.6, expected: float = 3.0, p: GateParams = GateParams()) -> DataFrame:

@@ -12,14 +12,13 @@ from ruleloom.operators.events import Component, Event
 
 
 def jaccard_by_date(rules: DataFrame, least: int = 0) -> DataFrame:
-    """``(rule_a, rule_b, jaccard)`` of all pairs ``a < b``, from ``(rule_id, dt)``; rules are few, dates are joined."""
+    """``(rule_a, rule_b, jaccard)`` of the pairs ``a < b`` that share a date, from ``(rule_id, dt)``; all others have 0."""
     d = rules.select("rule_id", "dt").distinct()
     n = d.groupBy("rule_id").agg(F.count("*").alias("n"))
     x, y = d.alias("x"), d.alias("y")
     met = x.join(y, (F.col("x.dt") == F.col("y.dt")) & (F.col("x.rule_id") < F.col("y.rule_id"))).groupBy(F.col("x.rule_id").alias("rule_a"), F.col("y.rule_id").alias("rule_b")).agg(F.count("*").alias("shared"))
     p, q = n.alias("p"), n.alias("q")
-    pairs = p.join(F.broadcast(q), F.col("p.rule_id") < F.col("q.rule_id")).select(F.col("p.rule_id").alias("rule_a"), F.col("q.rule_id").alias("rule_b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
-    out = pairs.join(met, ["rule_a", "rule_b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    out = met.join(p, F.col("rule_a") == F.col("p.rule_id")).join(q, F.col("rule_b") == F.col("q.rule_id")).select("rule_a", "rule_b", "shared", F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
     out = out.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
     return out.where(F.col("na") + F.col("nb") >= least).select("rule_a", "rule_b", "jaccard")
 
@@ -33,7 +32,7 @@ def gain_correlation(gains: DataFrame, least: int = 10) -> DataFrame:
     g = gains.groupBy("rule_id", "dt").agg(F.sum("gain").alias("g"))
     ids = g.select("rule_id").distinct()
     p, q = ids.alias("p"), ids.alias("q")
-    pairs = p.join(F.broadcast(q), F.col("p.rule_id") < F.col("q.rule_id")).select(F.col("p.rule_id").alias("rule_a"), F.col("q.rule_id").alias("rule_b"))
+    pairs = p.join(q, F.col("p.rule_id") < F.col("q.rule_id")).select(F.col("p.rule_id").alias("rule_a"), F.col("q.rule_id").alias("rule_b"))  # the result has every pair
     left = pairs.join(g.select(F.col("rule_id").alias("rule_a"), "dt", F.col("g").alias("ga")), "rule_a")
     right = pairs.join(g.select(F.col("rule_id").alias("rule_b"), "dt", F.col("g").alias("gb")), "rule_b")
     both = left.join(right, ["rule_a", "rule_b", "dt"], "full_outer").fillna(0.0, ["ga", "gb"]).where("ga <> 0 or gb <> 0")

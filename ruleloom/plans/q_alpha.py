@@ -134,13 +134,15 @@ def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(al.excess(a, al.forward(bars, H)))
 
 
-_ROT_SPLIT = 300
-#: All circular shifts as an equi-join of active bars and offsets, over the first bars of each ticker.
-_ROT = f"""{EVENTS_SQL}, {FWD}, g AS (SELECT ticker, rn, h, logfwd FROM f WHERE rn < {_ROT_SPLIT} AND h IN (1, 5)), c AS (SELECT ticker, event_id, rn FROM a WHERE rn < {_ROT_SPLIT}),
+#: All circular shifts as a join of a ticker's active bars with all its bars: the distance of the two is the shift.
+_ROT = f"""{EVENTS_SQL}, {FWD}, g AS (SELECT ticker, rn, h, logfwd FROM f WHERE h IN (1, 5)), nb AS (SELECT ticker, count(*) AS bars FROM bars GROUP BY 1),
 ba AS (SELECT ticker, h, avg(logfwd) AS base FROM g WHERE logfwd IS NOT NULL GROUP BY 1, 2),
-sh AS (SELECT c.ticker, c.event_id, g.h, k AS o, sum(logfwd) / nullif(count(logfwd), 0) AS mu, count(logfwd) AS n FROM c, range({_ROT_SPLIT}) t(k) JOIN g ON g.ticker = c.ticker AND g.rn = (c.rn + k) % {_ROT_SPLIT} GROUP BY 1, 2, 3, 4),
+sh AS (SELECT a.ticker, a.event_id, g.h, (g.rn - a.rn + nb.bars) % nb.bars AS o, sum(logfwd) / nullif(count(logfwd), 0) AS mu, count(logfwd) AS n FROM a JOIN nb USING (ticker) JOIN g ON g.ticker = a.ticker GROUP BY 1, 2, 3, 4),
 de AS (SELECT sh.*, mu - base AS d FROM sh JOIN ba USING (ticker, h)), re AS (SELECT ticker, event_id, h, n, d AS delta FROM de WHERE o = 0),
-nu AS (SELECT de.ticker, de.event_id, de.h, stddev_pop(d) AS sd, count(d) AS k, sum((abs(d) >= abs(delta) - 1e-15)::INT) AS ge FROM de JOIN re USING (ticker, event_id, h) WHERE o > 0 AND d IS NOT NULL GROUP BY 1, 2, 3)"""
+nu AS (SELECT de.ticker, de.event_id, de.h, stddev_pop(d) AS sd, count(d) AS k, sum((abs(d) >= abs(delta) - 1e-15)::INT) AS ge FROM de JOIN re USING (ticker, event_id, h) WHERE o > 0 AND d IS NOT NULL GROUP BY 1, 2, 3),
+ms AS (SELECT ticker, event_id, h, re.n, delta, delta / nullif(sd, 0) AS z, (1 + ge) / (1 + k) AS p FROM re JOIN nu USING (ticker, event_id, h))"""
+_BH = """r AS (SELECT *, row_number() OVER (PARTITION BY ticker, event_id ORDER BY p) AS i, count(*) OVER (PARTITION BY ticker, event_id) AS m FROM ms WHERE z IS NOT NULL),
+l AS (SELECT *, coalesce(i <= max(CASE WHEN p <= i / m * 0.1 THEN i END) OVER (PARTITION BY ticker, event_id), false) AS significant FROM r)"""
 
 
 def rotation_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -149,24 +151,18 @@ def rotation_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return a, al.forward(bars, (1, 5))
 
 
-def rotation_prefix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first bars alone, for the queries whose SQL tries every shift by a join; the ``_whole`` ones have no SQL."""
-    return tuple(x.where(F.col("rn") < _ROT_SPLIT) for x in rotation_inputs(spark, sf_dir))
+@query("m7_rotation_null", f"WITH {_ROT} SELECT ticker, event_id, h::INTEGER AS h, n::BIGINT AS n, round(delta, 6) + 0.0::DOUBLE AS delta, round(z, 5) + 0.0::DOUBLE AS z, round(p, 6) AS p FROM ms")
+def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(al.rotation_null(*rotation_inputs(spark, sf_dir)).withColumn("z", F.round("z", 5))))
 
 
-@query("m7_rotation_null", f"WITH {_ROT} SELECT ticker, event_id, h::INTEGER AS h, re.n::BIGINT AS n, round(delta, 6) + 0.0::DOUBLE AS delta, round(delta / sd, 5) + 0.0::DOUBLE AS z, round((1 + ge) / (1 + k), 6) AS p FROM re JOIN nu USING (ticker, event_id, h)")
-def m7(spark: SparkSession, sf_dir: str, inputs=rotation_prefix) -> DataFrame:
-    return rounded(rounded(al.rotation_null(*inputs(spark, sf_dir)).withColumn("z", F.round("z", 5))))
-
-
-@query("m7_rotation_null_whole")
-def m7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m7(spark, sf_dir, rotation_inputs)
-
-
-@query("m8_horizon_choice")
+@query(
+    "m8_horizon_choice",
+    f"""WITH {_ROT}, {_BH}, c AS (SELECT *, NOT max(significant::INT) OVER (PARTITION BY ticker, event_id)::BOOLEAN AS weak FROM l), o AS (SELECT *, row_number() OVER (PARTITION BY ticker, event_id ORDER BY abs(z) DESC, h) AS place FROM c WHERE significant OR weak)
+SELECT ticker, event_id, h::INTEGER AS h, n::BIGINT AS n, round(delta, 6) + 0.0::DOUBLE AS delta, round(z, 5) + 0.0::DOUBLE AS z, round(p, 6) AS p, weak FROM o WHERE place = 1""",
+)
 def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(al.choose_horizon(al.rotation_null(*rotation_inputs(spark, sf_dir))))
+    return rounded(al.choose_horizon(al.rotation_null(*rotation_inputs(spark, sf_dir))).withColumn("z", F.round("z", 5)))
 
 
 @query("m9_auc", f"WITH {_EXC} SELECT ticker, event_id, round(sum(CASE h WHEN 1 THEN 1.0 WHEN 3 THEN 2.0 WHEN 5 THEN 3.5 ELSE 2.5 END::DOUBLE * delta / h), 6) + 0.0::DOUBLE AS auc FROM d GROUP BY 1, 2")
@@ -232,21 +228,21 @@ def m19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(al.event_stats(a, target(bars)).select("ticker", "event_id", "t", "df"), 4)
 
 
-@query("m21_benjamini_hochberg", f"WITH {_ROT}, p AS (SELECT ticker, event_id, h, round((1 + ge) / (1 + k), 6) AS p FROM nu), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, event_id ORDER BY p) AS i, count(*) OVER (PARTITION BY ticker, event_id) AS m FROM p), l AS (SELECT *, max(CASE WHEN p <= i / m * 0.1 THEN i END) OVER (PARTITION BY ticker, event_id) AS l FROM r) SELECT ticker, event_id, h::INTEGER AS h, p, coalesce(i <= l, false) AS significant FROM l")
-def m21(spark: SparkSession, sf_dir: str, inputs=rotation_prefix) -> DataFrame:
-    r = rounded(al.rotation_null(*inputs(spark, sf_dir)).where("z is not null").select("ticker", "event_id", "h", "p"))
-    return st.benjamini_hochberg(r, "p", 0.1, "ticker", "event_id")
+@query("m21_benjamini_hochberg", f"WITH {_ROT}, {_BH} SELECT ticker, event_id, h::INTEGER AS h, round(p, 6) AS p, significant FROM l")
+def m21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = al.rotation_null(*rotation_inputs(spark, sf_dir)).where("z is not null").select("ticker", "event_id", "h", "p")
+    return rounded(st.benjamini_hochberg(r, "p", 0.1, "ticker", "event_id"))
 
 
-@query("m21_benjamini_hochberg_whole")
-def m21_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m21(spark, sf_dir, rotation_inputs)
+#: The upper tail of Student's t by Simpson's rule over 400 steps from 0.
+_TAIL = """0.5 - sign(t) * (SELECT sum(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * i / 400, 2) / df, -(df + 1) / 2)) FROM range(401) x(i))
+  * abs(t) / 1200 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())"""
 
 
-@query("m22_m23_p_values")
+@query("m22_m23_p_values", f"WITH {_ST}, q AS (SELECT ticker, event_id, (m1 - m0) / sqrt(((n - 1) * v1 + (n0 - 1) * v0) / (n + n0 - 2) * (1.0::DOUBLE / n + 1.0::DOUBLE / n0)) AS t, (n + n0 - 2)::DOUBLE AS df FROM g) SELECT ticker, event_id, round(t, 5) + 0.0::DOUBLE AS t, df, round({_TAIL}, 6) + 0.0::DOUBLE AS p_greater FROM q")
 def m22(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, a = fixed_activations(spark, sf_dir)
-    return rounded(al.with_p(al.event_stats(a, target(bars))).select("ticker", "event_id", "t", "df", "p_greater"))
+    return rounded(al.with_p(al.event_stats(a, target(bars))).select("ticker", "event_id", F.round("t", 5).alias("t"), "df", "p_greater"))
 
 
 @query(
@@ -283,16 +279,11 @@ def m26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("n1_search_null", f"WITH {_ROT}, sd AS (SELECT ticker, event_id, h, stddev_pop(d) AS sd FROM de WHERE o > 0 AND d IS NOT NULL GROUP BY 1, 2, 3), z AS (SELECT de.ticker, o, max(abs(d / sd)) AS z FROM de JOIN sd USING (ticker, event_id, h) WHERE n >= 2 AND d IS NOT NULL AND sd > 0 GROUP BY 1, 2), r AS (SELECT ticker, z AS re FROM z WHERE o = 0) SELECT z.ticker, count(*)::BIGINT AS offsets, round(any_value(re), 5) AS real, round((1 + sum((z >= re)::INT)) / (1 + count(*)), 6) AS p, round(quantile_cont(z, 0.95), 5) AS bar FROM z JOIN r USING (ticker) WHERE o > 0 GROUP BY 1")
-def n1(spark: SparkSession, sf_dir: str, inputs=rotation_prefix) -> DataFrame:
-    out = al.search_null(*inputs(spark, sf_dir))
+def n1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = al.search_null(*rotation_inputs(spark, sf_dir))
     return rounded(out.withColumn("real", F.round("real", 5)).withColumn("bar", F.round("bar", 5)))
 
 
-@query("n1_search_null_whole")
-def n1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return n1(spark, sf_dir, rotation_inputs)
-
-
 @query("n2_sampled_rotations", f"WITH {ORDER_BARS_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY ticker) AS n FROM bars), d AS (SELECT * FROM (VALUES (0, 17), (1, 101), (2, 333)) t(draw, k)) SELECT n.ticker, draw::INTEGER AS draw, n.rn::BIGINT AS rn, b.close FROM n, d JOIN bars b ON b.ticker = n.ticker AND b.rn = (n.rn + k) % n.n")
 def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.rotated(order_bars(spark, sf_dir), [17, 101, 333]).select("ticker", "draw", F.col("rn").cast("long").alias("rn"), "close")

@@ -108,20 +108,60 @@ def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bt.select_best(s, *KEYS).select(*KEYS, "cell", F.round("pf_score_tpm", 5).alias("score")))
 
 
-@query("b12_walk_forward_splits")
+def windows_sql(grid: list[bt.Params], n_splits: int = 4, min_train: int = 24) -> str:
+    """The train and test windows as ``wf`` (window, part, from_dt, to_dt), from ``bars``."""
+    purge = max(p.horizon for p in grid) + max(p.delay for p in grid) + 1
+    at = lambda m: f"make_timestamp((f + {m}) // 12, (f + {m}) % 12 + 1, 1, 0, 0, 0)"
+    return f"""sn AS (SELECT min(year(open_dt) * 12 + month(open_dt) - 1) AS f, max(year(open_dt) * 12 + month(open_dt)) - min(year(open_dt) * 12 + month(open_dt) - 1) AS total FROM bars),
+sd AS (SELECT median(epoch_us(open_dt) - epoch_us(p)) AS us FROM (SELECT open_dt, lag(open_dt) OVER (PARTITION BY ticker ORDER BY rn) AS p FROM bars)),
+ws AS (SELECT i, f, {min_train} + i * greatest((total - {min_train}) // {n_splits}, 1) AS a, CASE WHEN i = {n_splits - 1} THEN total ELSE least({min_train} + (i + 1) * greatest((total - {min_train}) // {n_splits}, 1), total) END AS b, total FROM sn, range({n_splits}) t(i)),
+wf AS (SELECT i::INTEGER AS wn, 'train' AS part, {at(0)} AS from_dt, greatest({at(0)}, {at('a')} - to_microseconds({purge} * us::BIGINT)) AS to_dt FROM ws, sd WHERE a < total AND b > a
+  UNION ALL SELECT i::INTEGER, 'test', {at('a')}, {at('b')} FROM ws WHERE a < total AND b > a)"""
+
+
+@query("b12_walk_forward_splits", f"WITH {EVENTS_SQL}, {windows_sql(GRID)} SELECT wn AS \"window\", part, from_dt, to_dt FROM wf")
 def b12(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, _ = fixed_activations(spark, sf_dir)
     return bt.walk_windows(bars, GRID, n_splits=4, min_train=24)
 
 
-@query("b14_walk_forward")
+#: Ledgers of all cells over train (even ``win``) and test windows (odd), the best cell of each train window, and its test trades.
+_WALK = f"""{EVENTS_SQL}, {windows_sql(GRID)}, {ledger_sql(GRID, "wi AS (SELECT wn * 2 + (part = 'test')::INT AS win, from_dt AS f, to_dt AS t FROM wf)")},
+ct AS (SELECT ticker, event_id, cell, win, count(*) AS ts FROM sg WHERE win % 2 = 0 GROUP BY 1, 2, 3, 4),
+sp AS (SELECT wn * 2 AS win, year(from_dt) * 12 + month(from_dt) AS m0, year(to_dt - INTERVAL 1 MICROSECOND) * 12 + month(to_dt - INTERVAL 1 MICROSECOND) AS m1 FROM wf WHERE part = 'train'),
+ag AS (SELECT ticker, event_id, cell, win, count(*) AS n, sum((net > 0)::INT) AS w, {_PF} AS pf FROM l GROUP BY 1, 2, 3, 4),
+mc AS (SELECT ticker, event_id, cell, l.win, year(fdt) * 12 + month(fdt) AS m, count(*) AS k FROM l JOIN sp ON sp.win = l.win AND year(fdt) * 12 + month(fdt) BETWEEN m0 AND m1 GROUP BY 1, 2, 3, 4, 5),
+mm AS (SELECT ticker, event_id, cell, win, sum(k) AS sk, sum(k * k) AS sq FROM mc GROUP BY 1, 2, 3, 4),
+su AS (SELECT ct.*, coalesce(n, 0) AS n, coalesce(w, 0) AS w, coalesce(pf, 0) AS pf, coalesce(sk, 0) / greatest(1, m1 - m0 + 1) AS mu, coalesce(sq, 0) / greatest(1, m1 - m0 + 1) - pow(coalesce(sk, 0) / greatest(1, m1 - m0 + 1), 2) AS va
+  FROM ct JOIN sp USING (win) LEFT JOIN ag USING (ticker, event_id, cell, win) LEFT JOIN mm USING (ticker, event_id, cell, win)),
+sc AS (SELECT *, CASE WHEN mu > 0 THEN least(1, 1 / greatest(greatest(va, 0) / mu, 1)) ELSE 0 END AS cn FROM su),
+o AS (SELECT *, row_number() OVER (PARTITION BY ticker, event_id, win ORDER BY (coalesce(pf >= 2 AND w / nullif(n, 0) >= 0.55 AND mu >= 2 AND pf * cn >= 0.3 AND n / ts >= 0.4, false)) DESC, round(pf * cn, 9) DESC, cell) AS place FROM sc),
+be AS (SELECT ticker, event_id, win // 2 AS wn, cell FROM o WHERE place = 1),
+te AS (SELECT l.* FROM l JOIN be ON be.ticker = l.ticker AND be.event_id = l.event_id AND be.cell = l.cell AND l.win = be.wn * 2 + 1)"""
+
+
+@query("b14_walk_forward", f"WITH {_WALK}, b AS (SELECT ticker, event_id, count(*) AS windows FROM be GROUP BY 1, 2), t AS (SELECT ticker, event_id, count(*) AS oos_trades, round({_PF}, 5) AS oos_pf FROM te GROUP BY 1, 2) SELECT ticker, event_id, windows::BIGINT AS windows, oos_trades::BIGINT AS oos_trades, oos_pf FROM b LEFT JOIN t USING (ticker, event_id)")
 def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, a = fixed_activations(spark, sf_dir)
     best, oos = bt.walk_forward(bars, a, GRID, min_train=24)
-    pooled = oos.groupBy(*KEYS).agg(F.count("*").alias("oos_trades"), bt.profit_factor().alias("oos_pf"))
+    pooled = oos.groupBy(*KEYS).agg(F.count("*").alias("oos_trades"), F.round(bt.profit_factor(), 5).alias("oos_pf"))
     return rounded(best.groupBy(*KEYS).agg(F.count("*").alias("windows")).join(pooled, list(KEYS), "left"))
 
 
+@query("b13_train_choices", f"WITH {_WALK} SELECT ticker, event_id, wn::INTEGER AS \"window\", cell::BIGINT AS cell FROM be")
+def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, a = fixed_activations(spark, sf_dir)
+    return bt.walk_forward(bars, a, GRID, min_train=24)[0].select(*KEYS, "window", "cell")
+
+
+@query("b28_consensus_parameters", f"WITH {_WALK}, v AS (SELECT ticker, event_id, cell, count(*) AS votes, max(wn) AS latest FROM be GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, event_id ORDER BY votes DESC, latest DESC) AS place FROM v), lc AS (SELECT ticker, event_id, arg_max(cell, wn) AS last_cell FROM be GROUP BY 1, 2) SELECT ticker, event_id, cell::BIGINT AS consensus_cell, last_cell::BIGINT AS last_cell FROM r JOIN lc USING (ticker, event_id) WHERE place = 1")
+def b28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, a = fixed_activations(spark, sf_dir)
+    best = bt.walk_forward(bars, a, GRID, min_train=24)[0]
+    both = bt.pick_cell(best, *KEYS, policy="consensus").withColumnRenamed("cell", "consensus_cell").join(bt.pick_cell(best, *KEYS).withColumnRenamed("cell", "last_cell"), list(KEYS))
+    return both.select(*KEYS, "consensus_cell", "last_cell")
+
+
 @query("b16_execution_envelope", f"WITH {EVENTS_SQL}, {ledger_sql([LONG, bt.replace(LONG, hit_col='high')])} SELECT ticker, event_id, hit_col, count(*)::BIGINT AS n, sum(hit::INT)::BIGINT AS hits, round(avg(net), 6) + 0.0::DOUBLE AS expectancy FROM l GROUP BY 1, 2, 3")
 def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ledger, _ = backtest(spark, sf_dir, [LONG, bt.replace(LONG, hit_col="high")])

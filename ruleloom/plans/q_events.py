@@ -328,14 +328,18 @@ def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gt.overlaps(fixed_activations(spark, sf_dir)[1]))
 
 
-@query("g13_diversity_gate")
+#: The greedy choice as a recursion over the events of a ticker by falling activations; a string lists those that are kept.
+_DIVERSE = """n AS (SELECT ticker, event_id, count(*) AS n FROM a GROUP BY 1, 2), o AS (SELECT ticker, event_id, row_number() OVER (PARTITION BY ticker ORDER BY n DESC, event_id) AS r FROM n),
+p AS (SELECT x.ticker, x.event_id AS a, y.event_id AS b, count(*) AS s FROM a x JOIN a y ON x.ticker = y.ticker AND x.rn = y.rn AND x.event_id <> y.event_id GROUP BY 1, 2, 3),
+near AS (SELECT p.ticker, a, list(b) AS bs FROM p JOIN n x ON x.ticker = p.ticker AND x.event_id = a JOIN n y ON y.ticker = p.ticker AND y.event_id = b WHERE s / (x.n + y.n - s) >= 0.3 GROUP BY 1, 2),
+g AS (SELECT ticker, r, [event_id] AS kept FROM o WHERE r = 1 UNION ALL SELECT g.ticker, o.r, CASE WHEN list_has_any(kept, coalesce(bs, [])) THEN kept ELSE list_append(kept, o.event_id) END
+  FROM g JOIN o ON o.ticker = g.ticker AND o.r = g.r + 1 LEFT JOIN near ON near.ticker = o.ticker AND near.a = o.event_id)"""
+
+
+@query("g13_diversity_gate", f"WITH RECURSIVE {EVENTS_SQL}, {_DIVERSE}, w AS (SELECT ticker, arg_max(kept, r) AS kept FROM g GROUP BY 1) SELECT ticker, (i - 1)::INTEGER AS i, kept[i] AS event_id FROM (SELECT ticker, kept, unnest(range(1, len(kept) + 1)) AS i FROM w)")
 def g13b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events that each ticker keeps, in the order of their choice."""
-    a = fixed_activations(spark, sf_dir)[1].select("ticker", F.concat_ws("|", "ticker", "event_id").alias("event_id"), "rn")
-    kept: dict[str, list[str]] = {}
-    for ticker, event_id in (x.split("|") for x in gt.diversity(a, 0.3)):  # events of two tickers never overlap
-        kept.setdefault(ticker, []).append(event_id)
-    return spark.createDataFrame([(t, i, e) for t, events in sorted(kept.items()) for i, e in enumerate(events)], "ticker string, i int, event_id string")
+    return gt.diversity(fixed_activations(spark, sf_dir)[1], 0.3)
 
 
 @query(

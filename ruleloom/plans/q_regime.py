@@ -94,19 +94,11 @@ def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "r7_regime_lookup",
-    f"""WITH {BARS}, {RUNS}, t AS (SELECT open_dt, regime, run_len >= 3 AND regime IS NOT NULL AS regime_stable FROM k WHERE ticker = '5-LOW')
-SELECT o.o_orderkey, t.regime, t.regime_stable FROM orders o LEFT JOIN t ON t.open_dt = o.o_orderdate WHERE o.o_orderpriority = '5-LOW'""",
+    f"""WITH {BARS}, {RUNS}, t AS (SELECT ticker, open_dt, regime, run_len >= 3 AND regime IS NOT NULL AS regime_stable FROM k)
+SELECT o.o_orderkey, t.regime, t.regime_stable FROM orders o LEFT JOIN t ON t.ticker = o.o_orderpriority AND t.open_dt = o.o_orderdate""",
 )
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with the regime of their day, by an equi-join on the lookup table."""
-    lookup = reg.regime_table(with_regime(spark, sf_dir)).where("ticker = '5-LOW'").drop("ticker")
-    orders = src.table(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'").select("o_orderkey", F.col("o_orderdate").alias("open_dt"))
-    return orders.join(lookup, "open_dt", "left").select("o_orderkey", "regime", "regime_stable")
-
-
-@query("r7_regime_lookup_whole")
-def r7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of every priority with the regime of their ticker's day."""
+    """Orders with the regime of their ticker's day, by an equi-join on the lookup table."""
     lookup = reg.regime_table(with_regime(spark, sf_dir))
     orders = src.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").alias("open_dt"))
     return orders.join(lookup, ["ticker", "open_dt"], "left").select("o_orderkey", "regime", "regime_stable")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,17 +89,10 @@ def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- registry ----------------------------------------------------------------------------------------
 
-_RULES = f"{EVENTS_SQL}, {ledger_sql([LONG])}, ru AS (SELECT event_id AS rule_id, l.fdt AS dt, net AS gain FROM l WHERE ticker = '5-LOW')"
+_RULES = f"{EVENTS_SQL}, {ledger_sql([LONG])}, ru AS (SELECT ticker || '/' || event_id AS rule_id, l.fdt AS dt, net AS gain FROM l)"
 
 
 def rule_gains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The trades and gains of one ticker's rules, for the queries whose SQL compares those; the ``_whole`` ones have no SQL."""
-    _, ledger, _ = backtest(spark, sf_dir, [LONG])
-    ledger = ledger.where("ticker = '5-LOW'").withColumn("rule_id", F.col("event_id"))
-    return ledger, gains_of(ledger)
-
-
-def all_rule_gains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The trades and gains of the rules of all tickers; a rule is an event on a ticker."""
     _, ledger, _ = backtest(spark, sf_dir, [LONG])
     ledger = ledger.withColumn("rule_id", F.concat_ws("/", "ticker", "event_id"))
@@ -112,12 +103,12 @@ def gains_of(ledger: DataFrame) -> DataFrame:
     return ledger.select("rule_id", F.col("fill_dt").alias("dt"), F.col("net_pct_gain").alias("gain"))
 
 
-_J1 = "dd AS (SELECT DISTINCT rule_id, dt FROM ru), nn AS (SELECT rule_id, count(*) AS n FROM dd GROUP BY 1), jj AS (SELECT p.rule_id AS rule_a, q.rule_id AS rule_b, (SELECT count(*) FROM dd x JOIN dd y ON x.dt = y.dt WHERE x.rule_id = p.rule_id AND y.rule_id = q.rule_id) AS s, p.n AS na, q.n AS nb FROM nn p JOIN nn q ON p.rule_id < q.rule_id), jc AS (SELECT rule_a, rule_b, s / (na + nb - s) AS jaccard FROM jj)"
+_J1 = "dd AS (SELECT DISTINCT rule_id, dt FROM ru), nn AS (SELECT rule_id, count(*) AS n FROM dd GROUP BY 1), mm AS (SELECT x.rule_id AS a, y.rule_id AS b, count(*) AS s FROM dd x JOIN dd y ON x.dt = y.dt AND x.rule_id < y.rule_id GROUP BY 1, 2), jc AS (SELECT a AS rule_a, b AS rule_b, s / (p.n + q.n - s) AS jaccard FROM mm JOIN nn p ON mm.a = p.rule_id JOIN nn q ON mm.b = q.rule_id)"
 
 
 @query("j1_jaccard_by_date", f"WITH {_RULES}, {_J1} SELECT rule_a, rule_b, round(jaccard, 6) AS jaccard FROM jc")
-def j1(spark: SparkSession, sf_dir: str, rules=rule_gains) -> DataFrame:
-    return rounded(rg.jaccard_by_date(rules(spark, sf_dir)[1]))
+def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rg.jaccard_by_date(rule_gains(spark, sf_dir)[1]))
 
 
 @query(
@@ -127,23 +118,23 @@ al AS (SELECT ra, rb, dt, sum(CASE WHEN rule_id = ra THEN g ELSE 0 END) AS ga, s
 rk AS (SELECT ra, rb, rank() OVER (PARTITION BY ra, rb ORDER BY ga) + (count(*) OVER (PARTITION BY ra, rb, ga) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY ra, rb ORDER BY gb) + (count(*) OVER (PARTITION BY ra, rb, gb) - 1) / 2.0::DOUBLE AS y FROM nz)
 SELECT ra AS rule_a, rb AS rule_b, count(*)::BIGINT AS n, round(CASE WHEN count(*) < 10 THEN 0 ELSE coalesce(corr(x, y), 0) END, 5) + 0.0::DOUBLE AS spearman FROM rk GROUP BY 1, 2""",
 )
-def j2(spark: SparkSession, sf_dir: str, rules=rule_gains) -> DataFrame:
-    g = rules(spark, sf_dir)[1].withColumn("gain", F.round("gain", 9))
+def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = rule_gains(spark, sf_dir)[1].withColumn("gain", F.round("gain", 9))
     return rounded(rg.gain_correlation(g), 5)
 
 
 @query("j3_correlation_maxima", f"WITH {_RULES}, {_J1} SELECT rule_id, round(max(jaccard), 6) AS jaccard FROM (SELECT rule_a AS rule_id, jaccard FROM jc UNION ALL SELECT rule_b, jaccard FROM jc) GROUP BY 1")
-def j3(spark: SparkSession, sf_dir: str, rules=rule_gains) -> DataFrame:
-    return rounded(rg.maxima(rg.jaccard_by_date(rules(spark, sf_dir)[1]), "jaccard"))
+def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rg.maxima(rg.jaccard_by_date(rule_gains(spark, sf_dir)[1]), "jaccard"))
 
 
 @query(
     "j4_duplicates",
-    f"""WITH {_RULES}, {_J1}, pf AS (SELECT event_id AS rule_id, round({_PF}, 9) AS pf FROM l WHERE ticker = '5-LOW' GROUP BY 1), bo AS (SELECT rule_a AS rule_id, rule_b AS other FROM jc WHERE jaccard > 0.1 UNION ALL SELECT rule_b, rule_a FROM jc WHERE jaccard > 0.1),
+    f"""WITH {_RULES}, {_J1}, pf AS (SELECT ticker || '/' || event_id AS rule_id, round({_PF}, 9) AS pf FROM l GROUP BY 1), bo AS (SELECT rule_a AS rule_id, rule_b AS other FROM jc WHERE jaccard > 0.1 UNION ALL SELECT rule_b, rule_a FROM jc WHERE jaccard > 0.1),
 dm AS (SELECT bo.rule_id, other, q.pf AS o, row_number() OVER (PARTITION BY bo.rule_id ORDER BY q.pf, other) AS r FROM bo JOIN pf p ON p.rule_id = bo.rule_id JOIN pf q ON q.rule_id = other WHERE q.pf > p.pf) SELECT pf.rule_id, other AS duplicate_of FROM pf LEFT JOIN dm ON dm.rule_id = pf.rule_id AND r = 1""",
 )
-def j4(spark: SparkSession, sf_dir: str, rules=rule_gains) -> DataFrame:
-    ledger, gains = rules(spark, sf_dir)
+def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger, gains = rule_gains(spark, sf_dir)
     factors = ledger.groupBy("rule_id").agg(F.round(bt.profit_factor(), 9).alias("pf"))
     return rg.mark_duplicates(factors, rg.jaccard_by_date(gains), 0.1)
 
@@ -234,15 +225,11 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p8_duplicate_clusters",
-    f"""WITH {_RULES}, {_J1}, pf AS (SELECT event_id AS rule_id, round({_PF}, 9) AS pf FROM l WHERE ticker = '5-LOW' GROUP BY 1), bo AS (SELECT rule_a AS rule_id, rule_b AS other FROM jc WHERE jaccard > 0.1 UNION ALL SELECT rule_b, rule_a FROM jc WHERE jaccard > 0.1),
+    f"""WITH {_RULES}, {_J1}, pf AS (SELECT ticker || '/' || event_id AS rule_id, round({_PF}, 9) AS pf FROM l GROUP BY 1), bo AS (SELECT rule_a AS rule_id, rule_b AS other FROM jc WHERE jaccard > 0.1 UNION ALL SELECT rule_b, rule_a FROM jc WHERE jaccard > 0.1),
 dm AS (SELECT bo.rule_id, other, row_number() OVER (PARTITION BY bo.rule_id ORDER BY q.pf, other) AS r FROM bo JOIN pf p ON p.rule_id = bo.rule_id JOIN pf q ON q.rule_id = other WHERE q.pf > p.pf) SELECT other AS dominant, list_sort(list(rule_id)) AS members FROM dm WHERE r = 1 GROUP BY 1""",
 )
-def p8(spark: SparkSession, sf_dir: str, rules=rule_gains) -> DataFrame:
-    return rg.duplicate_clusters(j4(spark, sf_dir, rules))
-
-
-for _name, _f in {"j1_jaccard_by_date": j1, "j2_gain_correlation": j2, "j3_correlation_maxima": j3, "j4_duplicates": j4, "p8_duplicate_clusters": p8}.items():
-    query(f"{_name}_whole")(partial(_f, rules=all_rule_gains))
+def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rg.duplicate_clusters(j4(spark, sf_dir))
 
 
 @query(

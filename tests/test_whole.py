@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from ruleloom.plans import catalog, q_alpha
+from ruleloom.plans import catalog
 from ruleloom.plans.q_events import fixed_activations
 
 SF = "/root/testdata/sf0.01"
@@ -38,10 +38,9 @@ def shifted(bars, a):
 def test_rotations_try_every_shift_of_whole_series(spark, tables):
     bars, a = tables
     bars_of = bars.groupby("ticker").size().to_dict()
-    assert min(bars_of.values()) > q_alpha._ROT_SPLIT
     loop = shifted(bars, a)
     q = catalog.queries()
-    rows = {(r.ticker, r.event_id, r.h): r for r in q["m7_rotation_null_whole"](spark, SF).collect()}
+    rows = {(r.ticker, r.event_id, r.h): r for r in q["m7_rotation_null"](spark, SF).collect()}
     assert set(rows) == set(loop)
     zs, ps = {}, {}
     for k, (d, n) in loop.items():
@@ -52,8 +51,8 @@ def test_rotations_try_every_shift_of_whole_series(spark, tables):
     assert len(chosen) == len({k[:2] for k in loop})
     for (t, e), r in chosen.items():
         assert abs(r.z - zs[t, e, r.h]) < 2e-5 and abs(r.p - ps[t, e, r.h]) < 2e-6
-    assert {(r.ticker, r.event_id, r.h): r.p for r in q["m21_benjamini_hochberg_whole"](spark, SF).collect()} == {k: r.p for k, r in rows.items()}
-    assert {r.ticker: r.offsets for r in q["n1_search_null_whole"](spark, SF).collect()} == {t: n - 1 for t, n in bars_of.items()}
+    assert {(r.ticker, r.event_id, r.h): r.p for r in q["m21_benjamini_hochberg"](spark, SF).collect()} == {k: r.p for k, r in rows.items()}
+    assert {r.ticker: r.offsets for r in q["n1_search_null"](spark, SF).collect()} == {t: n - 1 for t, n in bars_of.items()}
 
 
 def test_reports_cover_every_ticker_event_and_cell(spark, tables):
@@ -67,17 +66,14 @@ def test_reports_cover_every_ticker_event_and_cell(spark, tables):
         days.setdefault(f"{r.ticker}/{r.event_id}", set()).add(r.fill_dt)
     assert len({k.split("/")[0] for k in days}) == 5
     want = {(x, y): round(len(days[x] & days[y]) / len(days[x] | days[y]), 6) for x in days for y in days if x < y}
-    got = {(r.rule_a, r.rule_b): r.jaccard for r in q["j1_jaccard_by_date_whole"](spark, SF).collect()}
-    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
-    assert {(r.rule_a, r.rule_b) for r in q["j2_gain_correlation_whole"](spark, SF).collect()} == set(want)
-    assert {r.rule_id for r in q["j3_correlation_maxima_whole"](spark, SF).collect()} == set(days)
-    duplicates = {r.rule_id: r.duplicate_of for r in q["j4_duplicates_whole"](spark, SF).collect()}
+    got = {(r.rule_a, r.rule_b): r.jaccard for r in q["j1_jaccard_by_date"](spark, SF).collect()}
+    assert set(got) == {k for k, v in want.items() if v} and all(abs(got[k] - want[k]) < 2e-6 for k in got)
+    assert {(r.rule_a, r.rule_b) for r in q["j2_gain_correlation"](spark, SF).collect()} == set(want)
+    assert {r.rule_id for r in q["j3_correlation_maxima"](spark, SF).collect()} == {x for k in got for x in k}
+    duplicates = {r.rule_id: r.duplicate_of for r in q["j4_duplicates"](spark, SF).collect()}
     assert set(duplicates) == set(days)
-    assert {m: r.dominant for r in q["p8_duplicate_clusters_whole"](spark, SF).collect() for m in r.members} == {k: v for k, v in duplicates.items() if v}
-    orders = q["r7_regime_lookup_whole"](spark, SF)
-    assert orders.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
-    low = {r.o_orderkey: (r.regime, r.regime_stable) for r in q["r7_regime_lookup"](spark, SF).collect()}
-    assert low.items() <= {r.o_orderkey: (r.regime, r.regime_stable) for r in orders.collect()}.items()
+    assert {m: r.dominant for r in q["p8_duplicate_clusters"](spark, SF).collect() for m in r.members} == {k: v for k, v in duplicates.items() if v}
+    assert q["r7_regime_lookup"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
     bars, a = fixed_activations(spark, SF)
     active = tables[1]
     on = {k: set(x["rn"]) for k, x in active.groupby(["ticker", "event_id"])}
