@@ -81,6 +81,18 @@ def with_p_greater(df: DataFrame, t: str, dof: str, out: str = "p") -> DataFrame
     return _map(df, t, dof, out, t_one_sided)
 
 
+def with_t_quantile(df: DataFrame, p: float, dof: str, out: str) -> DataFrame:
+    """The ``p`` quantile of Student's t for each number of degrees of freedom, to two digits of it."""
+    import pandas as pd
+
+    def run(a: pd.Series) -> pd.Series:
+        known = {x: t_quantile(p, x) for x in set(a.dropna().clip(lower=1.0).round(2))}
+        return a.clip(lower=1.0).round(2).map(known).astype("float64")
+
+    run.__annotations__ = {"a": pd.Series, "return": pd.Series}
+    return df.withColumn(out, F.pandas_udf(run, "double")(F.col(dof).cast("double")))
+
+
 def welch(na: Column, ma: Column, va: Column, nb: Column, mb: Column, vb: Column, *, pooled: bool = False) -> tuple[Column, Column]:
     """Statistic and degrees of freedom of a two-sample t test from counts, means and variances."""
     if pooled:

@@ -115,17 +115,18 @@ def _past_series(active: DataFrame, fwd: DataFrame, run, schema: str) -> DataFra
     return rows.mapInArrow(lambda batches: run(groups(batches)), schema)
 
 
-def rotation_null(active: DataFrame, fwd: DataFrame) -> DataFrame:
-    """``(ticker, event_id, h, n, delta, z, p)`` against all circular shifts of the event.
+def rotation_study(active: DataFrame, fwd: DataFrame) -> DataFrame:
+    """``(ticker, event_id, h, n, delta, z, p, auc, p_auc)`` against all circular shifts of the event.
 
     ``z`` is the excess over the standard deviation of the shifts' excesses, ``p`` the
-    share of shifts that are at least as far from zero.  All shifts of an event come
-    from one Fourier transform per horizon.
+    share of shifts that are at least as far from zero; ``auc`` integrates the excess per
+    bar over the horizons that have one, and ``p_auc`` holds it against the same integral
+    of every shift.  All shifts of an event come from one Fourier transform per horizon.
     """
     import pyarrow as pa
 
-    names = ["ticker", "event_id", "h", "n", "delta", "z", "p"]
-    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    names = ["ticker", "event_id", "h", "n", "delta", "z", "p", "auc", "p_auc"]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.float64()] * 5]
 
     def run(groups):
         rows = []
@@ -136,6 +137,7 @@ def rotation_null(active: DataFrame, fwd: DataFrame) -> DataFrame:
             return done
 
         for ticker, series, event, mask in groups:
+            found, profile = [], {}
             for s in series if event is not None else ():
                 if not s.valid.any():
                     continue
@@ -146,13 +148,133 @@ def rotation_null(active: DataFrame, fwd: DataFrame) -> DataFrame:
                 ok = np.isfinite(d[0])
                 z = d[0] / sd if ok and sd > 0 else None
                 p = (1.0 + (np.abs(null) >= abs(d[0]) - 1e-15).sum()) / (1.0 + len(null)) if ok and len(null) else None
-                rows.append((ticker, event, s.h, int(count[0]), d[0] if ok else None, z, p))
+                found.append((ticker, event, s.h, int(count[0]), d[0] if ok else None, z, p))
+                if ok:
+                    profile[s.h] = d
+            auc = p_auc = None
+            if len(profile) >= 2:
+                h = sorted(profile)
+                whole = sum(w * profile[x] / x for w, x in zip(trapezoid(h), h))
+                null = whole[1:][np.isfinite(whole[1:])]
+                auc = whole[0]
+                p_auc = (1.0 + (np.abs(null) >= abs(auc) - 1e-15).sum()) / (1.0 + len(null)) if len(null) else None
+            rows += [(*r, auc, p_auc) for r in found]
             if len(rows) >= 4096:
                 yield out()
         if rows:
             yield out()
 
-    return _past_series(active, fwd, run, "ticker string, event_id string, h int, n long, delta double, z double, p double")
+    return _past_series(active, fwd, run, "ticker string, event_id string, h int, n long, delta double, z double, p double, auc double, p_auc double")
+
+
+def rotation_null(active: DataFrame, fwd: DataFrame) -> DataFrame:
+    """``(ticker, event_id, h, n, delta, z, p)`` of :func:`rotation_study`."""
+    return rotation_study(active, fwd).drop("auc", "p_auc")
+
+
+def nature(study: DataFrame, *, max_p: float = 0.10, cut: float = 0.5) -> DataFrame:
+    """``(ticker, event_id, rho, nature)``: whether the excess per bar, in the direction of its integral, grows or fades with the horizon."""
+    own = Window.partitionBy("ticker", "event_id")
+    m = study.where("delta is not null").withColumn("rate", F.when(F.col("auc") >= 0, 1.0).otherwise(-1.0) * F.col("delta") / F.col("h"))
+    m = m.withColumn("a", average_rank("h", "ticker", "event_id")).withColumn("b", average_rank("rate", "ticker", "event_id")).withColumn("k", F.count("*").over(own))
+    m = m.groupBy("ticker", "event_id").agg(F.nanvl(F.corr("a", "b"), F.lit(None).cast("double")).alias("rho"), F.first("p_auc").alias("p_auc"))
+    clear = F.coalesce(F.col("p_auc") < max_p, F.lit(False))
+    label = F.when(~clear, "not significant").when(F.col("rho") > cut, "momentum").when(F.col("rho") < -cut, "mean reversion").otherwise("idiosyncratic")
+    return m.select("ticker", "event_id", F.when(clear, F.col("rho")).alias("rho"), label.alias("nature"))
+
+
+def grid_boundary(study: DataFrame) -> DataFrame:
+    """``(ticker, event_id, last_h, boundary)``: how ``|z|`` ends at the last horizon that has one."""
+    own = Window.partitionBy("ticker", "event_id").orderBy("h")
+    m = study.where("z is not null").withColumn("s", F.abs("z")).withColumn("s1", F.lag("s", 1).over(own)).withColumn("s2", F.lag("s", 2).over(own))
+    last = m.groupBy("ticker", "event_id").agg(F.max("h").alias("last_h"), F.max_by(F.struct("s", "s1", "s2"), "h").alias("x"))
+    state = F.when(F.col("x.s2").isNull(), "short grid").when((F.col("x.s") > F.col("x.s1")) & (F.col("x.s1") > F.col("x.s2")), "rising").when(F.col("x.s") > F.col("x.s1"), "ambiguous").otherwise("plateau")
+    return last.select("ticker", "event_id", "last_h", state.alias("boundary"))
+
+
+def enriched_horizons(windows: dict[str, int], base: tuple[int, ...], split: int, *, multiples: tuple[float, ...] = (0.5, 1.0, 2.0), least_windows: int = 20) -> dict[str, list[int]]:
+    """Horizons of each event beyond the base grid: multiples of its longest window, as far as ``split`` holds ``least_windows`` of them."""
+    most = max(max(base), split // least_windows)
+    out = {}
+    for event, w in windows.items():
+        more = sorted({round(m * w) for m in multiples if 1 <= round(m * w) <= most} - set(base)) if w > 0 else []
+        if more:
+            out[event] = more
+    return out
+
+
+def enriched_forward(active: DataFrame, bars: DataFrame, extras: dict[str, list[int]], base: tuple[int, ...], **options) -> tuple[DataFrame, DataFrame]:
+    """Returns over all horizons, and ``(event_id, h)`` of those that each event is measured at."""
+    every = tuple(sorted({*base, *(h for hs in extras.values() for h in hs)}))
+    more = active.sparkSession.createDataFrame([(e, h) for e, hs in extras.items() for h in hs], "event_id string, h int")
+    shared = active.select("event_id").distinct().withColumn("h", F.explode(F.array(*map(F.lit, base))))
+    return forward(bars, every, **options), shared.union(more)
+
+
+def derive_target(
+    study: DataFrame, active: DataFrame, bars: DataFrame, *, q: float = 0.10, auc_p: float = 0.10, least_z: float = 0.0,
+    require_significant: bool = True, mfe_quantile: float = 0.5, mfe_floor: float = 0.005,
+) -> DataFrame:
+    """One row per event: ``h``, direction, route, take-profit and what led there.
+
+    The horizon is that of the largest ``|z|`` among those significant after
+    Benjamini-Hochberg, else among all (``weak``).  A direction takes a significant horizon
+    (route ``z_score``), a significant integral (``auc``, whose horizon is the elbow of the
+    excess), or both; else it is undetermined.
+    """
+    usable = study.where("n >= 2 and z is not null")
+    best = choose_horizon(usable, q)
+    keys = ["ticker", "event_id"]
+    turn = elbow(study.where("delta is not null")).withColumnRenamed("edge", "elbow_edge")
+    m = best.join(turn, keys, "left").join(grid_boundary(usable), keys, "left").join(nature(study, max_p=auc_p), keys, "left")
+    clear = F.coalesce(F.col("p_auc") < auc_p, F.lit(False))
+    none = F.col("delta").isNull() | (F.col("delta") == 0) | (F.abs("z") < least_z) | (F.lit(require_significant) & F.col("weak") & ~clear)
+    route = F.when(~F.col("weak"), F.when(clear, "both").otherwise("z_score")).when(clear, "auc")
+    m = m.withColumn("route", F.when(~none, route)).withColumn("z_h", F.col("h"))
+    at_elbow = study.select(*keys, F.col("h").alias("h_elbow"), F.col("delta").alias("elbow_delta"))
+    m = m.join(at_elbow, [*keys, "h_elbow"], "left")
+    by_auc = F.coalesce((F.col("route") == "auc") & (F.col("elbow_delta") != 0), F.lit(False))
+    m = m.withColumn("h", F.when(by_auc, F.col("h_elbow")).otherwise(F.col("h"))).withColumn("advantage", F.when(~none, F.when(by_auc, F.col("elbow_delta")).otherwise(F.col("delta"))))
+    edge = F.when(by_auc, F.col("elbow_edge") == "rising").otherwise(F.col("h") == F.col("last_h"))
+    direction = F.when(none, "undetermined").when(F.col("advantage") > 0, "long").otherwise("short")
+    m = m.withColumn("direction", direction).withColumn("at_boundary", F.when(~none, edge))
+
+    # favourable moves at each event's own horizon and in its direction: the bars ahead are joined, horizon times activations
+    own = active.select(*keys, "rn").join(m.where("direction <> 'undetermined'").select(*keys, "h", "direction"), keys)
+    ahead = own.withColumn("ahead", F.explode(F.sequence(F.lit(1), F.col("h").cast("int")))).withColumn("at", F.col("rn") + F.col("ahead"))
+    price = bars.select("ticker", F.col("rn").alias("at"), F.col("close").alias("later"))
+    entry = bars.select("ticker", "rn", "close")
+    moved = ahead.join(price, ["ticker", "at"]).join(entry, ["ticker", "rn"]).groupBy(*keys, "rn", "h", "direction").agg(F.count("later").alias("k"), F.max("later").alias("high"), F.min("later").alias("low"), F.first("close").alias("close"))
+    best_move = F.when(F.col("direction") == "short", 1 - F.col("low") / F.col("close")).otherwise(F.col("high") / F.col("close") - 1)
+    profit = moved.where(F.col("k") >= F.col("h")).withColumn("mfe", best_move).where("mfe > 0").groupBy(*keys).agg(F.greatest(F.percentile("mfe", F.lit(mfe_quantile)), F.lit(mfe_floor)).alias("take_profit"))
+    m = m.join(profit, keys, "left")
+    return m.select(*keys, "h", "n", "direction", "route", "advantage", F.col("delta").alias("z_delta"), "z_h", "z", "p", "weak", "auc", "p_auc", "rho", "nature", "boundary", "at_boundary", F.when(~none, F.coalesce("take_profit", F.lit(mfe_floor))).alias("take_profit"))
+
+
+def fixed_target(derived: DataFrame, study: DataFrame, h: int, take_profit: float, side: str, *, q: float = 0.10) -> DataFrame:
+    """The user's target for every event, with what the derivation would have chosen beside it, and whether the user's horizon is significant."""
+    from ruleloom.functions.stats import benjamini_hochberg
+
+    marked = benjamini_hochberg(study.where("z is not null"), "p", q, "ticker", "event_id").where(F.col("h") == h).select("ticker", "event_id", "significant")
+    own = derived.select("ticker", "event_id", F.col("h").alias("derived_h"), F.col("take_profit").alias("derived_take_profit"), F.col("direction").alias("derived_direction"), "nature", "p_auc")
+    out = own.join(marked, ["ticker", "event_id"], "left").withColumn("weak", ~F.coalesce("significant", F.lit(False))).drop("significant")
+    return out.select("ticker", "event_id", F.lit(h).alias("h"), F.lit(take_profit).alias("take_profit"), F.lit(side).alias("direction"), "weak", "derived_h", "derived_take_profit", "derived_direction", "nature", "p_auc")
+
+
+def summary(contracts: DataFrame) -> DataFrame:
+    """Contracts, the best score first."""
+    return contracts.orderBy(F.desc_nulls_last("composite"), "ticker", "event_id")
+
+
+def promoted(contracts: DataFrame, min_lift: float | None = None) -> DataFrame:
+    """Contracts with a direction, and a lift of at least ``min_lift``."""
+    kept = contracts.where("direction <> 'undetermined'")
+    return kept if min_lift is None else kept.where(F.col("lift") >= min_lift)
+
+
+def rolling_ic_window(bar_hours: float, days: int = 60) -> int:
+    """Bars in ``days`` days."""
+    return max(2, round(days * 24 / bar_hours))
 
 
 def choose_horizon(measured: DataFrame, q: float = 0.10) -> DataFrame:
@@ -180,13 +302,17 @@ def auc(measured: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
 
 
 def elbow(measured: DataFrame) -> DataFrame:
-    """``(ticker, event_id, h_elbow, edge)``: last horizon before the excess stops growing, and whether the grid's end still rises."""
-    w = Window.partitionBy("ticker", "event_id").orderBy("h")
-    all_ = Window.partitionBy("ticker", "event_id").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    m = measured.withColumn("sign", F.signum(F.last("delta").over(all_))).withColumn("v", F.col("sign") * F.col("delta")).withColumn("step", F.col("v") - F.lag("v").over(w)).withColumn("before", F.lag("h").over(w))
-    out = m.groupBy("ticker", "event_id").agg(F.min(F.when(F.col("step") <= 0, F.col("before"))).alias("stop"), F.max("h").alias("last"), F.max_by("step", "h").alias("last_step"))
-    edge = F.when(F.col("last_step") > 0, "rising").when(F.col("last_step").isNull(), "ambiguous").otherwise("plateau")
-    return out.select("ticker", "event_id", F.coalesce("stop", "last").alias("h_elbow"), edge.alias("edge"))
+    """``(ticker, event_id, h_elbow, edge)``: the last horizon before the excess stops growing in the direction of its integral.
+
+    ``edge`` is ``rising`` where it grows to the end of the grid, else ``plateau``.
+    """
+    own = Window.partitionBy("ticker", "event_id")
+    w = own.orderBy("h")
+    width = F.when(F.count("*").over(own) == 1, 1.0).otherwise((F.coalesce(F.lead("h").over(w), F.col("h")) - F.coalesce(F.lag("h").over(w), F.col("h"))) / 2)
+    m = measured.withColumn("width", width).withColumn("step", F.col("delta") - F.coalesce(F.lag("delta").over(w), F.lit(0.0))).withColumn("before", F.coalesce(F.lag("h").over(w), F.col("h"))).withColumn("k", F.count("*").over(own))
+    m = m.withColumn("sign", F.when(F.sum(F.col("width") * F.col("delta") / F.col("h")).over(own) >= 0, 1.0).otherwise(-1.0))
+    out = m.groupBy("ticker", "event_id").agg(F.min(F.when((F.col("k") > 1) & (F.col("sign") * F.col("step") <= 0), F.col("before"))).alias("stop"), F.max("h").alias("last"))
+    return out.select("ticker", "event_id", F.coalesce("stop", "last").alias("h_elbow"), F.when(F.col("stop").isNull(), "rising").otherwise("plateau").alias("edge"))
 
 
 def take_profit(active: DataFrame, bars: DataFrame, h: int, *, q: float = 0.5, floor: float = 0.005, short: bool = False) -> DataFrame:
@@ -272,6 +398,33 @@ def rolling_ic_stability(feature: DataFrame, fwd: DataFrame, h: int, window: int
     return per.join(whole, "ticker").groupBy("ticker").agg(F.count("*").alias("windows"), F.avg((F.signum("ic") == F.signum("whole")).cast("double")).alias("agreement")).withColumn("stable", F.col("agreement") >= 0.7)
 
 
+def optimise_target(active: DataFrame, target: DataFrame, bars: DataFrame, pairs: DataFrame, *, gate_params=None, least_atoms: float = 1.0, least_result: float = 1.05, least: int = 10) -> DataFrame:
+    """Atoms and their pairs that raise the rate of a target, gated, by falling lift: ``(ticker, event_id, members, n, p_event, p_base, lift, z, place)``.
+
+    Atoms below ``least_atoms`` go; ``pairs`` of those left are joined by AND down to the volume floor; of both, those of
+    ``least_result`` and more that pass the gate stay.
+    """
+    from ruleloom.operators import compose, gate
+
+    p = gate_params or gate.GateParams()
+    keys = ["ticker", "event_id"]
+    score = lift_score(active, target, least=least)
+    atoms = active.join(score.where(F.col("lift") >= least_atoms).select(*keys), keys, "left_semi")
+    both = compose.pair_activations(atoms, pairs)
+    months = bars.groupBy("ticker").agg(F.count_distinct(gate.month(F.col("open_dt"))).alias("months"))
+    enough = both.groupBy(*keys).agg(F.count("*").alias("k")).join(months, "ticker").where(F.col("k") >= F.greatest(F.lit(1), F.floor(p.min_tpm * F.col("months"))))
+    every = atoms.select(*keys, "rn", "open_dt").union(both.join(enough.select(*keys), keys, "left_semi").select(*keys, "rn", "open_dt"))
+    scored = lift_score(every, target, least=least).where(F.col("lift") >= least_result)
+    passed = gate.gate(every.join(scored.select(*keys), keys, "left_semi"), bars, p).where("passed").select(*keys)
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("lift"), "event_id"))
+    return scored.join(passed, keys).withColumn("members", F.split("event_id", "&")).withColumn("place", place)
+
+
+def hand_off(ranked: DataFrame, active: DataFrame, top: int) -> DataFrame:
+    """Activations of each ticker's ``top`` ranked events, for the event study."""
+    return active.join(ranked.where(F.col("place") <= top).select("ticker", "event_id"), ["ticker", "event_id"], "left_semi")
+
+
 def lift_score(active: DataFrame, target: DataFrame, *, hit: str = "hit", least: int = 10) -> DataFrame:
     """``(ticker, event_id, n, p_event, p_base, lift, z)``: the target's rate given the event over its rate at all."""
     t = target.where(F.col(hit).isNotNull())

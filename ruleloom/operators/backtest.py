@@ -10,12 +10,16 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, replace
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ruleloom.operators.gate import concurrency, month, with_episodes
 
+#: Why a rule that only the rotations of the whole search explain is no full edge.
+ROTATION_REASON = "search rotations"
+
 
 @dataclass(frozen=True)
 class Params:
@@ -66,7 +70,8 @@ def run(
     nxt = price.select("ticker", (F.col("rn") - 1).alias("rn"), F.col("open").alias("next_open"), F.col("open_dt").alias("next_dt"))
     s = s.join(nxt, ["ticker", "rn"])  # a signal on the last bar cannot act
     keys = keys + ("cell",)
-    s = s.crossJoin(F.broadcast(grid)) if grid is not None else s
+    own = [k for k in keys[:-1] if k in grid.columns]  # a grid may have cells of its own for each rule
+    s = s.join(grid, own) if own else s.crossJoin(F.broadcast(grid))
     if windows is not None:
         s = s.join(F.broadcast(windows), (F.col("next_dt") >= F.col("from_dt")) & (F.col("next_dt") < F.col("to_dt")))
         keys = keys + ("window",)
@@ -197,7 +202,15 @@ def month_splits(start: int, end: int, *, n_splits: int = 4, min_train: int = 6,
     return out
 
 
-def walk_windows(bars: DataFrame, grid: list[Params], *, n_splits: int = 4, min_train: int = 6, embargo: int = 0, train_span: int | None = None) -> DataFrame:
+def longest_trade(grid: list[Params] | DataFrame) -> int:
+    """Bars from a signal to the end of the longest trade of any cell."""
+    if isinstance(grid, DataFrame):
+        row = grid.agg(F.max("horizon").alias("h"), F.max(F.when(F.col("buy_type") == "market", 0).otherwise(F.col("delay"))).alias("d")).first()
+        return (row["h"] or 0) + (row["d"] or 0) + 1
+    return max(p.horizon for p in grid) + (0 if grid[0].buy_type == "market" else max(p.delay for p in grid)) + 1
+
+
+def walk_windows(bars: DataFrame, grid: list[Params] | DataFrame, *, n_splits: int = 4, min_train: int = 6, embargo: int = 0, train_span: int | None = None) -> DataFrame:
     """``(window, part, from_dt, to_dt)`` of train and test parts, trains purged by the longest trade, tests embargoed."""
     spark = bars.sparkSession
     us = F.unix_micros(F.col("open_dt").cast("timestamp"))
@@ -207,7 +220,7 @@ def walk_windows(bars: DataFrame, grid: list[Params], *, n_splits: int = 4, min_
 
     first, last = a.year * 12 + a.month - 1, b.year * 12 + b.month - 1 + 1
     at = lambda m: dt.datetime((first + m) // 12, (first + m) % 12 + 1, 1)
-    purge = max(p.horizon for p in grid) + (0 if grid[0].buy_type == "market" else max(p.delay for p in grid)) + 1
+    purge = longest_trade(grid)
     bar = dt.timedelta(microseconds=int(delta or 0))
     rows = []
     for i, (tf, tt, ef, et) in enumerate(month_splits(first, last, n_splits=n_splits, min_train=min_train, train_span=train_span)):
@@ -215,11 +228,14 @@ def walk_windows(bars: DataFrame, grid: list[Params], *, n_splits: int = 4, min_
     return spark.createDataFrame(rows, "window int, part string, from_dt timestamp_ntz, to_dt timestamp_ntz")
 
 
-def walk_forward(bars: DataFrame, signals: DataFrame, params: list[Params], *, n_splits: int = 4, min_train: int = 6, keys: tuple[str, ...] = ("ticker", "event_id")) -> tuple[DataFrame, DataFrame]:
+def walk_forward(
+    bars: DataFrame, signals: DataFrame, params: list[Params] | DataFrame, *, n_splits: int = 4, min_train: int = 6,
+    embargo: int = 0, keys: tuple[str, ...] = ("ticker", "event_id"), windows: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Best cell of each train window, and its pooled out-of-sample ledger: all windows and cells in one job."""
-    spark = bars.sparkSession
-    windows = walk_windows(bars, params, n_splits=n_splits, min_train=min_train)
-    grid = cells(spark, params)
+    if windows is None:
+        windows = walk_windows(bars, params, n_splits=n_splits, min_train=min_train, embargo=embargo)
+    grid = params if isinstance(params, DataFrame) else cells(bars.sparkSession, params)
     at = lambda c: F.year(c) * 12 + F.month(c)
     train = windows.where("part = 'train'").drop("part")
     ledger, counts = run(bars, signals, grid, windows=train, keys=keys)
@@ -255,24 +271,36 @@ def dependency(ledger: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, "months", F.when(F.col("months") <= 1, 1.0).otherwise(1 - F.col("h") / F.log(F.greatest(F.col("months"), F.lit(2)))).alias("dependency"))
 
 
-def early_elimination(summary: DataFrame, *, tpm: float = 2.0, least_fill: float = 0.40) -> DataFrame:
-    """Adds ``reasons``: why a summary needs no further work (empty: none)."""
-    floor = F.greatest(F.lit(10), F.floor(F.col("n_months") * tpm))
+def early_elimination(summary: DataFrame, *, tpm: float = 2.0, least_fill: float = 0.40, floor: int | None = None) -> DataFrame:
+    """Adds ``reasons``: why a summary needs no further work (empty: none); ``floor`` replaces the trades due at ``tpm``."""
+    floor = F.greatest(F.lit(10), F.floor(F.col("n_months") * tpm)) if floor is None else F.lit(floor)
     tests = [("trades", F.col("total_trades") < floor), ("profit factor", F.col("profit_factor") < 1.0), ("fill rate", F.col("fill_rate") < least_fill)]
     return summary.withColumn("reasons", F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in tests))))
 
 
-def decide(s: DataFrame, *, partial_pf: float = 1.5, pf: float = 2.0, wr: float = 0.55, tpm: float = 2.0, p_max: float = 0.05, active: float = 0.80, dependency_max: float = 0.30, dsr: float = 1.0) -> DataFrame:
-    """Adds ``verdict`` and ``reasons`` from a summary with ``p``, ``oos_pf``, ``dependency``, ``stability`` and ``dsr``."""
+def decide(s: DataFrame, *, partial_pf: float = 1.5, pf: float = 2.0, wr: float = 0.55, tpm: float = 2.0, p_max: float = 0.05, active: float = 0.80, dependency_max: float = 0.30, dsr: float = 1.0, least_oos: int = 10, rotation_p_max: float = 0.05) -> DataFrame:
+    """Adds ``verdict`` and ``reasons`` from a summary with ``p``, ``oos_pf``, ``dependency``, ``stability`` and ``dsr``.
+
+    Where they are there, ``consistency`` and ``rotation_p`` can make an edge partial, and too
+    few ``oos_trades``, or an ``oos_mde`` above the expectancy, leave it without a verdict.
+    """
     floor = F.greatest(F.lit(10), F.floor(F.col("n_months") * tpm))
     short_span = F.col("n_months") * tpm < floor
     few = F.col("total_trades") < floor
     hard = [("in-sample profit factor", F.col("profit_factor") < partial_pf), ("trades", few & ~short_span), ("expectancy not significant", F.coalesce(F.col("p") >= p_max, F.lit(True))), ("out-of-sample profit factor", F.coalesce(F.col("oos_pf") < 1.0, F.lit(False)))]
     soft = [("profit factor", F.col("profit_factor") < pf), ("win rate", F.col("win_rate") < wr), ("active months", F.col("active_months") / F.col("n_months") < active), ("deflated Sharpe", F.coalesce(F.col("dsr") < dsr, F.lit(True))), ("stability", F.col("stability") == "FAIL"), ("regime dependency", F.coalesce(F.col("dependency") > dependency_max, F.lit(False)))]
+    if "consistency" in s.columns:
+        soft.append(("out-of-sample consistency", F.col("consistency") < 0.5))
+    if "rotation_p" in s.columns:
+        soft.append((ROTATION_REASON, F.col("rotation_p") > rotation_p_max))
+    weak = F.lit(None).cast("string")
+    if "oos_trades" in s.columns:
+        weak = F.when(F.col("oos_trades") < least_oos, "few out-of-sample trades").when(F.col("oos_mde") > F.greatest(F.coalesce("expectancy", F.lit(0.0)), F.lit(0.0)), "out-of-sample power")
     why = lambda tests: F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in tests)))
     s = s.withColumn("__hard", why(hard)).withColumn("__soft", why(soft))
-    verdict = F.when(F.size("__hard") > 0, "NON-EDGE").when(few, "INSUFFICIENT-DATA").when(F.size("__soft") > 0, "PARTIAL-EDGE").otherwise("EDGE")
-    return s.withColumn("verdict", verdict).withColumn("reasons", F.when(F.size("__hard") > 0, F.col("__hard")).otherwise(F.col("__soft"))).drop("__hard", "__soft")
+    verdict = F.when(F.size("__hard") > 0, "NON-EDGE").when(few, "INSUFFICIENT-DATA").when(weak.isNotNull(), "INSUFFICIENT-DATA").when(F.size("__soft") > 0, "PARTIAL-EDGE").otherwise("EDGE")
+    reasons = F.when(F.size("__hard") > 0, F.col("__hard")).when(few, F.array(F.lit("trades"))).otherwise(F.array_compact(F.concat(F.array(weak), F.col("__soft"))))
+    return s.withColumn("verdict", verdict).withColumn("reasons", reasons).drop("__hard", "__soft")
 
 
 def pick_cell(best: DataFrame, *keys: str, policy: str = "last") -> DataFrame:
@@ -283,10 +311,126 @@ def pick_cell(best: DataFrame, *keys: str, policy: str = "last") -> DataFrame:
     return votes.groupBy(*keys).agg(F.max_by("cell", F.struct("votes", "latest")).alias("cell"))
 
 
-def adopt_limit(market: DataFrame, limit: DataFrame, *keys: str, least_fill: float = 0.80) -> DataFrame:
-    """``(*keys, adopted)``: a limit entry replaces the market entry if out of sample it fills often enough and has the better
-    Sharpe ratio and net gain. Both frames have ``fill_rate``, ``sharpe_raw`` and ``total_net_gain``."""
-    m = market.select(*keys, F.col("sharpe_raw").alias("m_sharpe"), F.col("total_net_gain").alias("m_gain"))
-    both = m.join(limit.select(*keys, "fill_rate", "sharpe_raw", "total_net_gain"), list(keys), "left")
-    better = (F.col("fill_rate") >= least_fill) & (F.col("sharpe_raw") > F.col("m_sharpe")) & (F.col("total_net_gain") > F.col("m_gain"))
-    return both.select(*keys, F.coalesce(better, F.lit(False)).alias("adopted"))
+def adopt_limit(market: DataFrame, limit: DataFrame, *keys: str, least_fill: float = 0.80, retention: float = 0.5) -> DataFrame:
+    """``(*keys, adopted, failed)``: a limit entry replaces the market entry if out of sample it fills often enough, has at
+    least its opportunity Sharpe ratio, and keeps ``retention`` of its gain (all of a loss).
+
+    Both frames have ``fill_rate``, ``sharpe`` and ``total_net_gain``; ``failed`` names the first condition that does not hold.
+    """
+    m = market.select(*keys, F.col("sharpe").alias("m_sharpe"), F.col("total_net_gain").alias("m_gain"))
+    both = m.join(limit.select(*keys, "fill_rate", "sharpe", "total_net_gain"), list(keys), "left")
+    floor = F.when(F.col("m_gain") > 0, F.col("m_gain") * retention).otherwise(F.col("m_gain"))
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    failed = F.when(~holds(F.col("fill_rate") >= least_fill), "fill").when(~holds(F.col("sharpe") >= F.col("m_sharpe")), "sharpe").when(~holds(F.col("total_net_gain") >= floor), "net_gain")
+    return both.select(*keys, failed.isNull().alias("adopted"), failed.alias("failed"))
+
+
+def opportunity(ledger: DataFrame, counts: DataFrame, years: float, *keys: str) -> DataFrame:
+    """``(*keys, fill_rate, sharpe, total_net_gain)``: the Sharpe ratio by the trades made per year; null without spread."""
+    g = ledger.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("net_pct_gain").alias("m"), F.stddev_samp("net_pct_gain").alias("sd"), F.sum("net_pct_gain").alias("total_net_gain"))
+    sd = F.when(F.col("sd") > 1e-9 * F.greatest(F.abs("m"), F.lit(1.0)), F.col("sd"))
+    g = g.withColumn("sharpe", F.when(F.col("n") >= 2, F.col("m") / sd * F.sqrt(F.col("n") / years)))
+    out = counts.join(g, list(keys), "left").withColumn("fill_rate", F.coalesce("n", F.lit(0)) / F.col("total_signals"))
+    return out.select(*keys, "fill_rate", "sharpe", "total_net_gain")
+
+
+def seeded(contracts: DataFrame, base: Params, *, floor: float = 0.005, drops: tuple[float, ...] = (0.5, 1.0, 1.5), sells: tuple[float, ...] = (0.75, 1.0, 1.25), horizons: tuple[float, ...] = (0.5, 1.0, 1.5)) -> DataFrame:
+    """A grid of its own for each contract: ``(ticker, event_id, cell, parameters)``.
+
+    ``contracts`` has ticker, event_id, direction, h and take_profit: direction, horizon
+    and take-profit (at least ``floor``, to four digits) replace those of ``base`` where
+    they are there, and the axes fan out around them.
+    """
+    if base.buy_type == "market":
+        drops = (1.0,)
+    axes = [(d, x, h) for d, x, h in product(drops, sells, horizons)]
+    cell = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("cell"), F.lit(d).alias("d"), F.lit(x).alias("x"), F.lit(h).alias("f")) for i, (d, x, h) in enumerate(axes)))).alias("c")
+    c = contracts.select("ticker", "event_id", "direction", "h", "take_profit", cell)
+    sell = F.coalesce(F.when(F.col("take_profit") > 0, F.round(F.greatest(F.lit(floor), F.col("take_profit")), 4)), F.lit(base.sell))
+    horizon = F.coalesce(F.when(F.col("h") >= 0, F.col("h")), F.lit(base.horizon))
+    given = {
+        "direction": F.when(F.col("direction").isin("long", "short"), F.col("direction")).otherwise(base.direction),
+        "drop": F.round(base.drop * F.col("c.d"), 6),
+        "sell": F.round(sell * F.col("c.x"), 6),
+        "horizon": F.greatest(F.lit(1), F.round(horizon * F.col("c.f")).cast("int")),
+    }
+    plain = asdict(base)
+    return c.select("ticker", "event_id", "c.cell", *((given[k] if k in given else F.lit(v)).alias(k) for k, v in plain.items()))
+
+
+def bars_per_year(bars: DataFrame) -> float:
+    """By the median distance of a ticker's bars."""
+    us = F.unix_micros(F.col("open_dt").cast("timestamp"))
+    step = bars.select((us - F.lag(us).over(Window.partitionBy("ticker").orderBy("rn"))).alias("s")).agg(F.percentile("s", F.lit(0.5))).first()[0]
+    return 365.25 * 86_400e6 / step if step else 365.25
+
+
+def validation(ledger: DataFrame, trials: DataFrame | int, per_year: float, *keys: str) -> DataFrame:
+    """``(*keys, trades, n_effective, t, p, sharpe, dsr, mde)`` of the expectancy of a ledger.
+
+    Overlapping trades count as one observation, so the sample is the number of trades over
+    the mean of open positions.  ``sharpe`` is annual, by the holding periods that fit in a
+    year; ``dsr`` deflates it by the number of cells tried, null where that leaves nothing;
+    ``mde`` is the least expectancy that the sample could confirm.
+    """
+    from ruleloom.functions import stats
+
+    g = ledger.groupBy(*keys).agg(F.count("*").alias("trades"), F.avg("net_pct_gain").alias("m"), F.stddev_samp("net_pct_gain").alias("sd"), F.avg(F.col("exit_rn") - F.col("fill_rn")).alias("hold"))
+    g = g.join(concurrency(ledger, *keys).select(*keys, F.greatest("effective_trades", F.lit(2.0)).alias("n_effective")), list(keys))
+    g = g.join(trials, list(keys), "left") if isinstance(trials, DataFrame) else g.withColumn("trials", F.lit(trials))
+    flat = F.coalesce(F.col("sd"), F.lit(0.0)) <= 1e-12
+    g = g.withColumn("t", F.when(~flat, F.col("m") / (F.col("sd") / F.sqrt("n_effective")))).withColumn("df", F.col("n_effective") - 1)
+    g = stats.with_p_greater(g, "t", "df", "p").withColumn("p", F.when(F.col("trades") < 2, F.lit(None)).when(flat, F.when(F.col("m") > 0, 0.0).otherwise(1.0)).otherwise(F.col("p")))
+    periods = F.greatest(F.lit(per_year) / F.greatest(F.col("hold"), F.lit(1.0)), F.lit(1.0))
+    g = g.withColumn("sharpe", F.when(~flat, F.col("m") / F.col("sd") * F.sqrt(periods)))
+    n = F.floor("n_effective")
+    left = 1 - stats.EULER * F.log("trials") / F.nullif(F.log(n), F.lit(0.0))
+    g = g.withColumn("dsr", F.when((F.col("trials") <= 1) | (n <= float(np.e)), F.col("sharpe")).when(left > 0, F.col("sharpe") * F.sqrt(left)))
+    g = stats.with_t_quantile(g, 0.95, "df", "tq").withColumn("mde", F.when(flat, 0.0).otherwise(F.col("tq") * F.col("sd") / F.sqrt("n_effective")))
+    return g.select(*keys, "trades", "n_effective", "t", "p", "sharpe", "dsr", "mde")
+
+
+def discover(
+    bars: DataFrame, signals: DataFrame, params: list[Params] | DataFrame, *, n_splits: int = 4, min_train: int = 6, embargo: int = 0,
+    policy: str = "last", upstream: int = 1, tpm: float = 2.0, keys: tuple[str, ...] = ("ticker", "event_id"),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verdicts, in-sample ledger and pooled out-of-sample ledger of rules whose parameters are chosen in train windows alone.
+
+    The published cell is the last train window's, or the consensus (``policy``).  The
+    summary, validation, stability and dependency behind the verdict come from the
+    selection span, which ends where the last train window does; no figure but those named
+    ``oos`` reads a test window.  A rule that the first train window rules out, or the
+    selection span, is no edge.  Bars too few for one window: an empty result.
+    """
+    from ruleloom.functions.lineage import written
+
+    windows = written(walk_windows(bars, params, n_splits=n_splits, min_train=min_train, embargo=embargo), "windows")
+    grid = written(params if isinstance(params, DataFrame) else cells(bars.sparkSession, params), "grid")
+    keyed = [k for k in keys if k in grid.columns]
+    tried = grid.groupBy(*keyed).agg((F.count("*") * upstream).alias("trials")) if keyed else grid.count() * upstream
+    best, oos = walk_forward(bars, signals, grid, windows=windows, keys=keys)
+    best, oos = written(best, "choices"), written(oos, "oos")
+    span = windows.where("part = 'train'").agg(F.lit(0).alias("window"), F.min("from_dt").alias("from_dt"), F.max("to_dt").alias("to_dt"))
+    chosen = pick_cell(best, *keys, policy=policy).withColumn("window", F.lit(0))
+    ledger, counts = run(bars, signals, grid, windows=span, only=chosen, keys=keys)
+    ledger = written(ledger.drop("window"), "trades")
+    at = lambda c: F.year(c) * 12 + F.month(c)
+    months = span.select("window", at(F.col("from_dt")).alias("first_month"), at(F.expr("to_dt - interval 1 microsecond")).alias("last_month"))
+    summary = summarise(ledger.withColumn("window", F.lit(0)), counts, months, keys=(*keys, "cell", "window"), tpm=tpm).drop("window")
+
+    tests = windows.where("part = 'test'").count()
+    per_window = oos.groupBy(*keys, "window").agg(F.sum("net_pct_gain").alias("gain")).groupBy(*keys).agg((F.sum((F.col("gain") > 0).cast("long")) / max(tests, 1)).alias("consistency"))
+    pooled = oos.groupBy(*keys).agg(F.count("*").alias("oos_trades"), profit_factor().alias("oos_pf"))
+    year = bars_per_year(bars)
+    confirmed = validation(oos, 1, year, *keys).select(*keys, F.col("mde").alias("oos_mde"))
+    first = early_elimination(best.where("window = 0"), tpm=tpm, floor=10).select(*keys, F.col("reasons").alias("first_reasons"))
+    whole = early_elimination(summary, tpm=tpm).select(*keys, F.col("reasons").alias("span_reasons"))
+    s = summary
+    for extra in (validation(ledger, tried, year, *keys).drop("trades"), stability(ledger, *keys).select(*keys, "stability"), dependency(ledger, *keys).select(*keys, "dependency"), per_window, pooled, confirmed, first, whole):
+        s = s.join(extra, list(keys), "left")
+    s = s.withColumn("oos_trades", F.coalesce("oos_trades", F.lit(0))).withColumn("oos_pf", F.coalesce("oos_pf", F.lit(0.0))).withColumn("consistency", F.coalesce("consistency", F.lit(0.0)))
+    s = decide(s, tpm=tpm)
+    none = F.array().cast("array<string>")
+    out = F.array_distinct(F.concat(F.coalesce("first_reasons", none), F.coalesce("span_reasons", none)))
+    s = s.withColumn("reasons", F.when(F.size(out) > 0, F.array_distinct(F.concat(out, "reasons"))).otherwise(F.col("reasons"))).withColumn("verdict", F.when(F.size(out) > 0, "NON-EDGE").otherwise(F.col("verdict")))
+    return s.drop("first_reasons", "span_reasons"), ledger, oos

@@ -74,7 +74,7 @@ def pair_activations(active: DataFrame, pairs: DataFrame) -> DataFrame:
     """Bars where both events of a pair are active: ``(ticker, event_id = a&b, a, b, rn, open_dt)``."""
     left = active.select("ticker", "rn", "open_dt", F.col("event_id").alias("a"))
     right = active.select("ticker", "rn", F.col("event_id").alias("b"))
-    met = left.join(right, ["ticker", "rn"]).where("a <> b").join(F.broadcast(pairs.select("a", "b")), ["a", "b"])
+    met = left.join(right, ["ticker", "rn"]).where("a <> b").join(pairs.select("a", "b"), ["a", "b"])
     return met.select("ticker", F.concat_ws("&", "a", "b").alias("event_id"), "a", "b", "rn", "open_dt")
 
 
@@ -86,7 +86,7 @@ def compose_pairs(active: DataFrame, bars: DataFrame, pairs: DataFrame, p: GateP
     """
     both = pair_activations(active, pairs)
     months = bars.groupBy("ticker").agg(F.count_distinct(F.year("open_dt") * 12 + F.month("open_dt")).alias("months"))
-    n = both.groupBy("ticker", "event_id", "a", "b").agg(F.count("*").alias("n")).join(F.broadcast(months), "ticker")
+    n = both.groupBy("ticker", "event_id", "a", "b").agg(F.count("*").alias("n")).join(months, "ticker")
     n = n.where(F.col("n") >= F.greatest(F.lit(1), F.floor(p.min_tpm * F.col("months"))))
     size = active.groupBy("ticker", "event_id").agg(F.count("*").alias("m"))
     n = n.join(size.select("ticker", F.col("event_id").alias("a"), F.col("m").alias("na")), ["ticker", "a"]).join(size.select("ticker", F.col("event_id").alias("b"), F.col("m").alias("nb")), ["ticker", "b"])
@@ -107,15 +107,31 @@ def composed(events: list[Event], a: str, b: str, i: int) -> Event:
     return Event(event_id(parts, i), parts, {"from": [a, b]})
 
 
-def triples(events: list[Event], active: DataFrame, bars: DataFrame, passed: DataFrame, p: GateParams = GateParams(), *, max_triples: int = MAX_TRIPLES) -> DataFrame:
-    """Third members joined to passing pairs on the bar; a triple appears once, by sorted members."""
-    pairs = passed.select("a", "b").distinct()
-    both = pair_activations(active, pairs)
-    third = active.select("ticker", "rn", F.col("event_id").alias("c"))
-    met = both.join(third, ["ticker", "rn"]).where("c <> a and c <> b").withColumn("members", F.array_sort(F.array("a", "b", "c")))
+def triples(events: list[Event], active: DataFrame, bars: DataFrame, pairs: DataFrame, p: GateParams = GateParams(), *, max_jaccard: float | None = None, max_triples: int = MAX_TRIPLES) -> DataFrame:
+    """Gated triples: a third event of another slot joined to each pair of the volume floor; a triple appears once, by sorted members.
+
+    ``pairs`` are those of the volume floor, whether they pass the gate or not.  Triples have the
+    same floor, and of those that pass at most ``max_triples`` of each ticker stay, in the fixed pseudo-random order.
+    """
+    spark = active.sparkSession
+    slots = event_table(spark, [e for e in events if len(e.components) == 1])
+    x, y = slots.alias("x"), slots.alias("y")
+    fits = x.join(y, (F.col("x.event_id") != F.col("y.event_id")) & valid_pair()).select(F.col("x.event_id").alias("member"), F.col("y.event_id").alias("c"))
+    wanted = pairs.select("a", "b").distinct()
+    thirds = wanted.join(fits.withColumnRenamed("member", "a"), "a").join(fits.withColumnRenamed("member", "b"), ["b", "c"]).select("a", "b", "c")
+    both = pair_activations(active, wanted).join(thirds, ["a", "b"])
+    met = both.join(active.select("ticker", "rn", F.col("event_id").alias("c")), ["ticker", "rn", "c"]).withColumn("members", F.array_sort(F.array("a", "b", "c")))
     met = met.select("ticker", "rn", "open_dt", "members").distinct().withColumn("event_id", F.array_join("members", "&"))
-    gated = gate(met, bars, p)
-    return gated.orderBy(F.xxhash64(F.lit(PAIR_SEED), "event_id")).limit(max_triples)
+    months = bars.groupBy("ticker").agg(F.count_distinct(F.year("open_dt") * 12 + F.month("open_dt")).alias("months"))
+    n = met.groupBy("ticker", "event_id", "members").agg(F.count("*").alias("n")).join(months, "ticker")
+    n = n.where(F.col("n") >= F.greatest(F.lit(1), F.floor(p.min_tpm * F.col("months"))))
+    if max_jaccard is not None:  # the triple against its largest member
+        size = active.groupBy("ticker", "event_id").agg(F.count("*").alias("m"))
+        least = n.select("ticker", "event_id", "n", F.explode("members").alias("member")).join(size.withColumnRenamed("event_id", "member"), ["ticker", "member"])
+        n = n.join(least.groupBy("ticker", "event_id").agg(F.max(F.col("n") / F.col("m")).alias("share")).where(F.col("share") <= max_jaccard), ["ticker", "event_id"], "left_semi")
+    gated = gate(met.join(n.select("ticker", "event_id"), ["ticker", "event_id"], "left_semi"), bars, p)
+    order = F.row_number().over(Window.partitionBy("ticker", "passed").orderBy(F.xxhash64(F.lit(PAIR_SEED), "event_id"), "event_id"))
+    return gated.withColumn("place", order).where(~F.col("passed") | (F.col("place") <= max_triples)).drop("place")
 
 
 #: Grades that may be paired, in order, with their caps; the best are paired exhaustively.
@@ -126,7 +142,7 @@ def grade_pairs(pooled: DataFrame, *, cap: int = 100, exhaustive: int = 5000) ->
     """Valid pairs of graded events by stratum, each stratum up to its cap, deduplicated by members."""
     pairs = candidate_pairs(pooled)
     g = pooled.select("event_id", "grade")
-    pairs = pairs.join(F.broadcast(g.select(F.col("event_id").alias("a"), F.col("grade").alias("ga"))), "a").join(F.broadcast(g.select(F.col("event_id").alias("b"), F.col("grade").alias("gb"))), "b")
+    pairs = pairs.join(g.select(F.col("event_id").alias("a"), F.col("grade").alias("ga")), "a").join(g.select(F.col("event_id").alias("b"), F.col("grade").alias("gb")), "b")
     stratum = F.concat(F.least("ga", "gb"), F.greatest("ga", "gb"))
     caps = F.create_map(*(F.lit(x) for a, b in STRATA for x in (a + b, exhaustive if b <= "B" else cap)))
     pairs = pairs.withColumn("stratum", stratum).withColumn("most", F.try_element_at(caps, F.col("stratum"))).where("most is not null")

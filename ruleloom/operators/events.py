@@ -105,6 +105,10 @@ class Event:
         (_, f), (_, v), (_, b), (_, test) = self.sql()
         return f"SELECT *, {test} AS active FROM (SELECT *, {b} FROM (SELECT *, {v} FROM (SELECT *, {f} FROM {source})))"
 
+    def dominant_window(self) -> int:
+        """The longest window of any component."""
+        return max((c.windows() for c in self.components), default=0)
+
     def to_json(self) -> str:
         return json.dumps({"event_id": self.event_id, "components": [asdict(c) for c in self.components], "meta": self.meta}, default=str)
 

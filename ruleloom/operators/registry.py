@@ -106,7 +106,26 @@ def ingest(verdicts: DataFrame, ledger: DataFrame, *keys: str) -> DataFrame:
 
 
 def regime_type(dependency: Column, avoid: Column) -> Column:
-    return F.when(F.size(avoid) > 0, "REGIME-DEPENDENT").when(dependency > 0.30, "CONCENTRATED").otherwise("REGIME-FREE")
+    """Conditional on regimes to avoid, specific if concentrated in few months, else agnostic."""
+    return F.when(F.size(avoid) > 0, "conditional").when(dependency > 0.30, "specific").otherwise("agnostic")
+
+
+def evidence_grade(verdict: Column, profit_factor: Column, dsr: Column) -> Column:
+    """The grade of a rule that comes without one. What a strong edge takes."""
+    strong = F.coalesce((dsr >= 1.5) & (profit_factor >= 3.0), F.lit(False))
+    return F.when(verdict == "EDGE", F.when(strong, "A").otherwise("B+")).when(verdict == "PARTIAL-EDGE", "B").otherwise("C")
+
+
+def diagnostics_vs_verdict(contracts: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``(ticker, event_id, grade, diagnostic, verdict)``: a row for each diagnostic of a contract, one without any for none."""
+    rows = contracts.select("ticker", "event_id", "grade", F.explode_outer("diagnostics").alias("diagnostic"))
+    return rows.join(verdicts.select("ticker", "event_id", "verdict"), ["ticker", "event_id"])
+
+
+def lottery_only(verdicts: DataFrame, reason: str) -> DataFrame:
+    """``(ticker, event_id, n_reasons, lottery_only)`` of partial edges: whether the rotations of the search are all that stands against them."""
+    rows = verdicts.where("verdict = 'PARTIAL-EDGE'")
+    return rows.select("ticker", "event_id", F.size("reasons").alias("n_reasons"), F.when(F.size("reasons") == 1, F.get("reasons", F.lit(0)).startswith(reason)).otherwise(False).alias("lottery_only"))
 
 
 def fold_stability(folds: DataFrame, *keys: str, cap: float = 10.0) -> DataFrame:

@@ -81,11 +81,23 @@ def a34(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("place", co.stratified_rank("stratum", co.pair_order(p))).select("stratum", "place", "a", "b")
 
 
-@query("a5_triples")
+_MO = "mo AS (SELECT DISTINCT ticker, year(open_dt) * 12 + month(open_dt) AS month FROM bars), nm AS (SELECT ticker, count(*) AS months FROM mo GROUP BY 1)"
+
+
+@query(
+    "a5_triples",
+    f"""WITH {EVENTS_SQL}, {_PAIRS}, {_MO}, tr AS (SELECT DISTINCT list_sort([pr.a, pr.b, z.event_id]) AS ms FROM pr JOIN e x ON x.event_id = pr.a JOIN e y ON y.event_id = pr.b JOIN e z ON z.slot <> x.slot AND z.slot <> y.slot),
+m AS (SELECT x.ticker, array_to_string(ms, '&') AS event_id, x.rn, x.open_dt FROM tr JOIN a x ON x.event_id = ms[1] JOIN a y ON y.event_id = ms[2] AND y.ticker = x.ticker AND y.rn = x.rn JOIN a z ON z.event_id = ms[3] AND z.ticker = x.ticker AND z.rn = x.rn),
+w AS (SELECT ticker, event_id, count(*) AS n FROM m JOIN nm USING (ticker) GROUP BY 1, 2 HAVING count(*) >= greatest(1, floor(0.5 * any_value(months)))),
+q AS (SELECT m.*, lag(rn) OVER (PARTITION BY ticker, event_id ORDER BY rn) AS q FROM m SEMI JOIN w USING (ticker, event_id)),
+c AS (SELECT ticker, event_id, year(open_dt) * 12 + month(open_dt) AS month, sum((q IS NULL OR rn - q - 1 > 1)::INT) AS ep FROM q GROUP BY 1, 2, 3),
+g AS (SELECT w.ticker, w.event_id, any_value(w.n) AS n, sum(coalesce(ep, 0)) AS ne, avg(coalesce(ep, 0)) AS et, var_samp(coalesce(ep, 0)) / nullif(avg(coalesce(ep, 0)), 0) AS ed, count(*) AS k FROM w JOIN mo USING (ticker) LEFT JOIN c USING (ticker, event_id, month) GROUP BY 1, 2)
+SELECT ticker, event_id, n::BIGINT AS n_activations, ne::BIGINT AS n_episodes, round(et, 6) AS episode_tpm,
+NOT (et < 0.5 OR ne < 10 OR coalesce(ed > pow(1 - 2 / (9.0::DOUBLE * (k - 1)) + {gt.Z95!r} * sqrt(2 / (9.0::DOUBLE * (k - 1))), 3) * 1.3, false)) AS passed FROM g""",
+)
 def a5c(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, a, p = pooled(spark, sf_dir)
-    passed = co.compose_pairs(a, bars, co.candidate_pairs(p)).where("passed")
-    return rounded(co.triples(fixed_events(), a, bars, passed).select("ticker", "event_id", "n_activations", "n_episodes", "episode_tpm", "passed"))
+    return rounded(co.triples(fixed_events()[:-1], a, bars, co.candidate_pairs(p)).select("ticker", "event_id", "n_activations", "n_episodes", "episode_tpm", "passed"))
 
 
 @query("a10_grade_guided_pairs")
@@ -165,19 +177,77 @@ def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(al.choose_horizon(al.rotation_null(*rotation_inputs(spark, sf_dir))).withColumn("z", F.round("z", 5)))
 
 
+_PER = "OVER (PARTITION BY ticker, event_id ORDER BY h)"
+_ELBOW = f"""el AS (SELECT *, (coalesce(lead(h) {_PER}, h) - coalesce(lag(h) {_PER}, h)) / 2.0::DOUBLE * delta / h AS area, delta - coalesce(lag(delta) {_PER}, 0) AS step, coalesce(lag(h) {_PER}, h) AS before FROM d),
+eb AS (SELECT ticker, event_id, min(CASE WHEN step * CASE WHEN s >= 0 THEN 1 ELSE -1 END <= 0 THEN before END) AS stop, max(h) AS last FROM (SELECT *, sum(area) OVER (PARTITION BY ticker, event_id) AS s FROM el) GROUP BY 1, 2)"""
+
+
+#: Per event: the integral of the excess per bar over all shifts, the rank correlation of rate and horizon, and what follows.
+_DERIVE = f"""{_ROT.replace("h IN (1, 5)", "h IN (1, 3, 5, 10)")}, {_BH},
+tw AS (SELECT * FROM (VALUES (1, 1.0::DOUBLE), (3, 2.0), (5, 3.5), (10, 2.5)) v(h, w)),
+au AS (SELECT ticker, event_id, o, sum(w * d / h) AS auc FROM de JOIN tw USING (h) GROUP BY 1, 2, 3 HAVING count(d) = 4),
+ap AS (SELECT n.ticker, n.event_id, any_value(r.auc) AS auc, (1 + sum((abs(n.auc) >= abs(r.auc) - 1e-15)::INT)) / (1 + count(*)) AS p_auc FROM au n JOIN au r ON r.ticker = n.ticker AND r.event_id = n.event_id AND r.o = 0 WHERE n.o > 0 GROUP BY 1, 2),
+rt AS (SELECT ticker, event_id, h, CASE WHEN auc >= 0 THEN 1 ELSE -1 END * delta / h AS rate, p_auc FROM re JOIN ap USING (ticker, event_id)),
+rk AS (SELECT *, rank() OVER (PARTITION BY ticker, event_id ORDER BY h) AS x, rank() OVER (PARTITION BY ticker, event_id ORDER BY rate) AS y FROM rt),
+na AS (SELECT ticker, event_id, any_value(p_auc) AS p, corr(x, y) AS rho FROM rk GROUP BY 1, 2)"""
+_H4 = (1, 3, 5, 10)
+
+
+def study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    bars, a = fixed_activations(spark, sf_dir)
+    return bars, a, al.rotation_study(a, al.forward(bars, _H4))
+
+
+@query("m9_auc_significance", f"WITH {_DERIVE} SELECT ticker, event_id, round(auc, 6) + 0.0::DOUBLE AS auc, round(p_auc, 6) AS p_auc FROM ap")
+def m9b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(study(spark, sf_dir)[2].select("ticker", "event_id", "auc", "p_auc").distinct())
+
+
+@query("m10_nature", f"WITH {_DERIVE} SELECT ticker, event_id, CASE WHEN p < 0.1 THEN round(rho, 6) + 0.0::DOUBLE END AS rho, CASE WHEN p >= 0.1 THEN 'not significant' WHEN rho > 0.5 THEN 'momentum' WHEN rho < -0.5 THEN 'mean reversion' ELSE 'idiosyncratic' END AS nature FROM na")
+def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(al.nature(study(spark, sf_dir)[2]))
+
+
+_TARGETS = f"""{_DERIVE}, us AS (SELECT *, max(significant::INT) OVER (PARTITION BY ticker, event_id) = 0 AS weak FROM l WHERE n >= 2),
+ch AS (SELECT *, row_number() OVER (PARTITION BY ticker, event_id ORDER BY abs(z) DESC, h) AS place FROM us WHERE significant OR weak), d AS (SELECT ticker, event_id, h, delta FROM re), {_ELBOW},
+bo AS (SELECT ticker, event_id, max(h) AS last_h FROM ms WHERE z IS NOT NULL GROUP BY 1, 2),
+dv AS (SELECT c.ticker, c.event_id, c.h AS zh, c.delta, c.weak, ap.auc, p_auc, p_auc < 0.1 AS clear, coalesce(stop, last) AS eh, stop IS NULL AS rising, last_h FROM ch c LEFT JOIN ap USING (ticker, event_id) LEFT JOIN eb USING (ticker, event_id) LEFT JOIN bo USING (ticker, event_id) WHERE place = 1),
+dt AS (SELECT dv.*, x.delta AS ed, CASE WHEN NOT weak THEN CASE WHEN clear THEN 'both' ELSE 'z_score' END WHEN clear THEN 'auc' END AS route FROM dv LEFT JOIN re x ON x.ticker = dv.ticker AND x.event_id = dv.event_id AND x.h = eh),
+tg AS (SELECT ticker, event_id, CASE WHEN route = 'auc' THEN eh ELSE zh END AS h, route, CASE WHEN route = 'auc' THEN ed ELSE delta END AS adv, weak, p_auc, CASE WHEN route = 'auc' THEN rising ELSE zh = last_h END AS edge FROM dt),
+fv AS (SELECT tg.ticker, tg.event_id, a.rn, CASE WHEN any_value(adv) > 0 THEN max(y.close) / any_value(x.close) - 1 ELSE 1 - min(y.close) / any_value(x.close) END AS mfe FROM tg JOIN a ON a.ticker = tg.ticker AND a.event_id = tg.event_id JOIN bars x ON x.ticker = a.ticker AND x.rn = a.rn JOIN bars y ON y.ticker = a.ticker AND y.rn > a.rn AND y.rn <= a.rn + tg.h WHERE route IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= any_value(tg.h)),
+tp AS (SELECT ticker, event_id, greatest(quantile_cont(mfe, 0.5), 0.005) AS tp FROM fv WHERE mfe > 0 GROUP BY 1, 2)"""
+
+
+@query(
+    "m8b_m11_derived_targets",
+    f"""WITH {_TARGETS} SELECT ticker, event_id, h::INTEGER AS h, CASE WHEN route IS NULL THEN 'undetermined' WHEN adv > 0 THEN 'long' ELSE 'short' END AS direction, route, CASE WHEN route IS NOT NULL THEN round(adv, 6) + 0.0::DOUBLE END AS advantage,
+weak, CASE WHEN route IS NOT NULL THEN edge END AS at_boundary, CASE WHEN route IS NOT NULL THEN round(coalesce(tp, 0.005), 6) END AS take_profit FROM tg LEFT JOIN tp USING (ticker, event_id)""",
+)
+def m8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, a, s = study(spark, sf_dir)
+    return rounded(al.derive_target(s, a, bars).select("ticker", "event_id", "h", "direction", "route", "advantage", "weak", "at_boundary", "take_profit"))
+
+
+@query("m14_fixed_target", f"WITH {_TARGETS}, sg AS (SELECT ticker, event_id, significant FROM l WHERE h = 5) SELECT ticker, event_id, 5 AS h, 0.1::DOUBLE AS take_profit, 'long' AS direction, NOT coalesce(significant, false) AS weak, tg.h::INTEGER AS derived_h FROM tg LEFT JOIN sg USING (ticker, event_id)")
+def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, a, s = study(spark, sf_dir)
+    return al.fixed_target(al.derive_target(s, a, bars), s, 5, 0.1, "long").select("ticker", "event_id", "h", "take_profit", "direction", "weak", "derived_h")
+
+
+@query("m5_enriched_horizons", "SELECT * FROM (VALUES ('E-SPREAD', 20), ('E-SPREAD', 40), ('E-CROSS', 20), ('E-CROSS', 40), ('E-ZHIGH', 24), ('E-ZHIGH', 48), ('E-ZHIGH', 96), ('E-RANGE', 20), ('E-RANGE', 40), ('E-VOLUME', 20), ('E-VOLUME', 40), ('E-DELTA', 20), ('E-DELTA', 40), ('E-AND', 20), ('E-AND', 40)) v(event_id, h)")
+def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = {e.event_id: e.dominant_window() for e in fixed_events()}
+    more = al.enriched_horizons(windows, _H4, 2000)
+    return spark.createDataFrame([(e, h) for e, hs in more.items() for h in hs], "event_id string, h int")
+
+
 @query("m9_auc", f"WITH {_EXC} SELECT ticker, event_id, round(sum(CASE h WHEN 1 THEN 1.0 WHEN 3 THEN 2.0 WHEN 5 THEN 3.5 ELSE 2.5 END::DOUBLE * delta / h), 6) + 0.0::DOUBLE AS auc FROM d GROUP BY 1, 2")
 def m9(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, a = fixed_activations(spark, sf_dir)
     return rounded(al.auc(al.excess(a, al.forward(bars, H)), H))
 
 
-@query(
-    "m12_elbow_horizon",
-    f"""WITH {_EXC}, s AS (SELECT *, sign(last_value(delta) OVER (PARTITION BY ticker, event_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) * delta AS v FROM d),
-t AS (SELECT *, v - lag(v) OVER (PARTITION BY ticker, event_id ORDER BY h) AS st, lag(h) OVER (PARTITION BY ticker, event_id ORDER BY h) AS b FROM s),
-g AS (SELECT ticker, event_id, min(CASE WHEN st <= 0 THEN b END) AS stop, max(h) AS last, arg_max(st, h) AS ls FROM t GROUP BY 1, 2)
-SELECT ticker, event_id, coalesce(stop, last)::INTEGER AS h_elbow, CASE WHEN ls > 0 THEN 'rising' WHEN ls IS NULL THEN 'ambiguous' ELSE 'plateau' END AS edge FROM g""",
-)
+@query("m12_elbow_horizon", f"WITH {_EXC}, {_ELBOW} SELECT ticker, event_id, coalesce(stop, last)::INTEGER AS h_elbow, CASE WHEN stop IS NULL THEN 'rising' ELSE 'plateau' END AS edge FROM eb")
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, a = fixed_activations(spark, sf_dir)
     return al.elbow(al.excess(a, al.forward(bars, H)))
@@ -222,6 +292,13 @@ def m18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.withColumn("cohens_d", F.round("cohens_d", 5)))
 
 
+@query("m29_m30_summary", f"WITH {_ST} SELECT ticker, event_id, round(wr - br, 6) + 0.0::DOUBLE AS lift FROM g WHERE wr - br >= 0.02")
+def m29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, a = fixed_activations(spark, sf_dir)
+    rows = al.event_stats(a, target(bars)).withColumn("direction", F.lit("long")).withColumn("composite", F.col("lift"))
+    return rounded(al.promoted(al.summary(rows), 0.02).select("ticker", "event_id", "lift"))
+
+
 @query("m19_two_sample_t", f"WITH {_ST} SELECT ticker, event_id, round((m1 - m0) / sqrt(((n - 1) * v1 + (n0 - 1) * v0) / (n + n0 - 2) * (1.0::DOUBLE / n + 1.0::DOUBLE / n0)), 4) + 0.0::DOUBLE AS t, (n + n0 - 2)::DOUBLE AS df FROM g")
 def m19(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, a = fixed_activations(spark, sf_dir)
@@ -298,14 +375,27 @@ def n4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(al.lift_score(a, target(bars)).withColumn("z", F.round("z", 5)))
 
 
-@query("n5_top_events_by_lift", f"WITH {EVENTS_SQL}, {HIT}, {_LIFT}, x AS (SELECT ticker, event_id, pe / pb AS l FROM lf JOIN ba USING (ticker)), r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY l DESC, event_id) AS r FROM x) SELECT ticker, r::INTEGER AS r, event_id, round(l, 6) AS lift FROM r WHERE r <= 3")
+@query(
+    "n5_target_optimizer",
+    f"""WITH {EVENTS_SQL}, {HIT}, {_LIFT}, {_PAIRS}, {_MO},
+kp AS (SELECT ticker, event_id FROM lf JOIN ba USING (ticker) WHERE pb > 0 AND pb < 1 AND pe / pb >= 1.0),
+ax AS (SELECT a.* FROM a SEMI JOIN kp USING (ticker, event_id)),
+m AS (SELECT x.ticker, pr.a || '&' || pr.b AS event_id, x.rn, x.open_dt FROM pr JOIN ax x ON x.event_id = pr.a JOIN ax y ON y.event_id = pr.b AND y.ticker = x.ticker AND y.rn = x.rn),
+en AS (SELECT ticker, event_id FROM m JOIN nm USING (ticker) GROUP BY 1, 2 HAVING count(*) >= greatest(1, floor(0.5 * any_value(months)))),
+al AS (SELECT ticker, event_id, rn, open_dt FROM ax UNION ALL SELECT ticker, event_id, rn, open_dt FROM m SEMI JOIN en USING (ticker, event_id)),
+l2 AS (SELECT al.ticker, al.event_id, count(*) AS n, avg(hit::INT) AS pe FROM al JOIN t USING (ticker, rn) WHERE hit IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10),
+sv AS (SELECT ticker, event_id, l2.n, pe, pb, pe / pb AS lift FROM l2 JOIN ba USING (ticker) WHERE pb > 0 AND pb < 1 AND pe / pb >= 1.05),
+q AS (SELECT al.*, lag(rn) OVER (PARTITION BY ticker, event_id ORDER BY rn) AS q FROM al SEMI JOIN sv USING (ticker, event_id)),
+c AS (SELECT ticker, event_id, year(open_dt) * 12 + month(open_dt) AS month, sum((q IS NULL OR rn - q - 1 > 1)::INT) AS ep FROM q GROUP BY 1, 2, 3),
+g AS (SELECT sv.ticker, sv.event_id, any_value(sv.n) AS n, any_value(pe) AS pe, any_value(pb) AS pb, any_value(lift) AS lift, sum(coalesce(ep, 0)) AS ne, avg(coalesce(ep, 0)) AS et, var_samp(coalesce(ep, 0)) / nullif(avg(coalesce(ep, 0)), 0) AS ed, count(*) AS k FROM sv JOIN mo USING (ticker) LEFT JOIN c USING (ticker, event_id, month) GROUP BY 1, 2),
+ok AS (SELECT * FROM g WHERE NOT (et < 0.5 OR ne < 10 OR coalesce(ed > pow(1 - 2 / (9.0::DOUBLE * (k - 1)) + {gt.Z95!r} * sqrt(2 / (9.0::DOUBLE * (k - 1))), 3) * 1.3, false)))
+SELECT ticker, event_id, n::BIGINT AS n, round(pe, 6) AS p_event, round(lift, 6) AS lift, row_number() OVER (PARTITION BY ticker ORDER BY lift DESC, event_id)::INTEGER AS place FROM ok""",
+)
 def n5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixed events of largest lift: the ranking of N5 alone, without its generation, pruning, AND and gate."""
-    from pyspark.sql.window import Window
-
-    bars, a = fixed_activations(spark, sf_dir)
-    s = al.lift_score(a, target(bars))
-    return rounded(s.withColumn("r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("lift"), "event_id"))).where("r <= 3").select("ticker", "r", "event_id", "lift"))
+    """Atoms, lift prune, AND, prune, gate and ranking over the fixed events."""
+    bars, a, p = pooled(spark, sf_dir)
+    out = al.optimise_target(a, target(bars), bars, co.candidate_pairs(p))
+    return rounded(out.select("ticker", "event_id", "n", "p_event", "lift", "place"))
 
 
 def _lift(where: str) -> str:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ruleloom.functions.lineage import written
-from ruleloom.functions.stats import with_p_greater
 from ruleloom.operators import alpha, backtest, compose, events, features, gate, registry
 from ruleloom.operators.regime import EmaRegime
 from ruleloom.plans.settings import Ledger, SessionConfig, TimeBudget, resolve
@@ -33,6 +32,7 @@ class SessionResult:
     contracts: DataFrame
     search: DataFrame
     ledger: DataFrame
+    oos: DataFrame
     verdicts: DataFrame
     hypotheses: Ledger = field(default_factory=Ledger)
 
@@ -43,7 +43,11 @@ class SessionResult:
         return self.verdicts.where("verdict in ('EDGE', 'PARTIAL-EDGE')")
 
     def summary(self) -> DataFrame:
-        return self.contracts.join(self.verdicts.select("ticker", "event_id", "verdict", "reasons"), ["ticker", "event_id"], "left").orderBy(F.desc("composite"))
+        return alpha.summary(self.contracts.join(self.verdicts.select("ticker", "event_id", "verdict", "reasons"), ["ticker", "event_id"], "left"))
+
+    def submissions(self) -> DataFrame:
+        """Validated rules with the contract that each comes from, for the registry."""
+        return self.validated().join(self.contracts.drop("n", "p", "t", "direction"), ["ticker", "event_id"])
 
     def by_grade(self, *grades: str) -> DataFrame:
         return self.contracts.where(F.col("grade").isin(*grades))
@@ -60,20 +64,26 @@ def run_session(bars: DataFrame, config: SessionConfig | None = None, *, params:
     they fail the gate.  All planned features, transforms and pairs are mined;
     ``most_features``, ``kinds`` and ``compose_pairs`` narrow that, and the ledger says so.
     """
-    n = bars.groupBy("ticker").count().agg(F.max("count")).first()[0]
+    sizes = bars.groupBy("ticker").agg(F.count("*").alias("n_bars"))
+    n = sizes.agg(F.max("n_bars")).first()[0]
     hours = bar_hours(bars).agg(F.percentile("bar_hours", F.lit(0.5))).first()[0]
     done = resolve(SessionConfig(n_bars=n, measured_bar_hours=hours) if config is None else config, strict=strict)
     c = done.config
     budget = TimeBudget(n, c.train_ratio, purge=max(c.horizons), embargo=c.embargo)
     if "regime" not in bars.columns:
         bars = EmaRegime(stable_window=c.stable_window).classify(bars)
-    bars = written(bars, "bars")  # each stage reads tables, not the plans that made them
-    inner = bars.where(F.col("rn") < budget.event_split)
+    # every ticker is cut at its own share of its bars
+    bars = bars.join(sizes, "ticker").withColumn("split", F.round(F.col("n_bars") * c.train_ratio).cast("long")).withColumn("event_split", F.floor(F.col("n_bars") * c.train_ratio))
+    bars = written(bars.drop("n_bars"), "bars")  # each stage reads tables, not the plans that made them
+    splits = written(bars.select("ticker", "split", "event_split").distinct(), "splits")
+    inner = bars.where(F.col("rn") < F.col("event_split"))
+    first_part = lambda rows, cut: rows.join(splits.select("ticker", F.col(cut).alias("__cut")), "ticker").where(F.col("rn") < F.col("__cut")).drop("__cut")
+    mined = [x for x in bars.columns if x not in ("split", "event_split")]
 
     ledger = Ledger(horizons=len(c.horizons))
     if manual is None:
-        classified = features.classify(inner)
-        whole = features.freeze(inner, features.plan_features(classified, bars.columns))
+        classified = features.classify(inner.select(*mined))
+        whole = features.freeze(inner, features.plan_features(classified, mined))
         plan = whole if most_features is None else whole[:most_features]
         transforms = {f.name: features.catalogue(f, kinds) for f in plan}
         found = events.generate(inner, plan, transforms)
@@ -85,7 +95,7 @@ def run_session(bars: DataFrame, config: SessionConfig | None = None, *, params:
         found = manual
     ledger.events = len(found)
     every = written(events.activations(bars, found), "activations")
-    active = every.where(F.col("rn") < budget.event_split)
+    active = first_part(every, "event_split")
     gated = written(gate.gate(active, inner, c.gate), "gated")
     kept = gated.select("ticker", "event_id") if manual is not None else gated.where("passed").select("ticker", "event_id")
     if compose_pairs and manual is None:
@@ -98,13 +108,14 @@ def run_session(bars: DataFrame, config: SessionConfig | None = None, *, params:
             found = found + more
             ledger.composed, ledger.events = len(more), len(found)
             every = every.unionByName(events.activations(bars, more))
-            active = every.where(F.col("rn") < budget.event_split)
+            active = first_part(every, "event_split")
             kept = kept.union(gate.gate(active.where(F.col("event_id").isin([e.event_id for e in more])), inner, c.gate).where("passed").select("ticker", "event_id"))
     active = written(active.join(kept, ["ticker", "event_id"], "left_semi"), "active")
 
-    fwd = written(alpha.forward(bars, tuple(c.horizons), split=budget.split, purge=budget.purge), "returns")
-    inside = fwd.where(F.col("rn") < budget.split)
-    best = written(alpha.choose_horizon(alpha.rotation_null(active, inside)), "horizons")
+    fwd = written(alpha.forward(bars, tuple(c.horizons), split=F.col("split"), purge=budget.purge), "returns")
+    inside = first_part(fwd, "split")
+    study = written(alpha.rotation_study(active, inside), "study")
+    best = written(alpha.derive_target(study, active, first_part(bars, "split"), q=c.fdr_q, auc_p=c.auc_p, mfe_floor=c.mfe_floor), "targets")
     hit = bars.select("ticker", "rn", *(alpha.binary_target(h, c.tp_floor).alias(f"hit_{h}") for h in c.horizons))
     per = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"hit_{h}").alias("hit")) for h in c.horizons))).alias("x")
     target = hit.select("ticker", "rn", per).select("ticker", "rn", "x.h", "x.hit").join(inside.select("ticker", "rn", "h", "fwd"), ["ticker", "rn", "h"])
@@ -113,28 +124,38 @@ def run_session(bars: DataFrame, config: SessionConfig | None = None, *, params:
         chosen = best.where(F.col("h") == h).select("ticker", "event_id")
         s = alpha.event_stats(active.join(chosen, ["ticker", "event_id"], "left_semi"), target.where(F.col("h") == h)).withColumn("h", F.lit(h))
         stats = s if stats is None else stats.unionByName(s)
-    contracts = best.select("ticker", "event_id", "h", "delta", "z", "p", "weak").join(stats.drop("n"), ["ticker", "event_id", "h"], "left")
+    regimes = bars.select("ticker", "rn", "regime")
+    breadth = None
+    for h in c.horizons:
+        on = active.join(best.where(F.col("h") == h).select("ticker", "event_id"), ["ticker", "event_id"], "left_semi")
+        r = alpha.regime_breadth(alpha.regime_sensitivity(on, target.where(F.col("h") == h), regimes)).select("ticker", "event_id", "breadth")
+        breadth = r if breadth is None else breadth.unionByName(r)
+    contracts = best.join(stats.drop("n"), ["ticker", "event_id", "h"], "left").join(breadth, ["ticker", "event_id"], "left")
     none = F.lit(None).cast("double")
-    score = alpha.composite(none, F.col("lift"), F.col("cohens_d"), F.col("z"), none, weak=F.col("weak"), confirmed=F.lit(False))
-    contracts = contracts.withColumn("direction", F.when(F.col("weak"), "undetermined").when(F.col("delta") < 0, "short").otherwise("long")).withColumn("composite", score)
+    score = alpha.composite(none, F.col("lift"), F.col("cohens_d"), F.col("z"), F.col("breadth"), weak=F.col("weak"), confirmed=F.lit(False))
+    notes = [("weak horizon", F.col("weak")), ("at the end of the grid", F.col("at_boundary")), ("little lift", F.col("lift") < (c.min_lift or 0.0)), ("small effect", F.col("cohens_d") < c.min_cohens_d)]
+    contracts = contracts.withColumn("diagnostics", F.array_compact(F.array(*(F.when(F.coalesce(x, F.lit(False)), F.lit(k)) for k, x in notes))))
+    contracts = contracts.withColumn("composite", score)
     contracts = written(contracts.withColumn("grade", alpha.grade(F.col("composite"))), "contracts")
     search = written(alpha.search_null(active, inside, c.alpha), "search")
 
-    params = params or [backtest.Params(buy_type="market", sell=max(0.01, c.tp_floor), horizon=int(c.target_h), fee=c.rule_fee)]
-    ledger.cells = len(params)
-    promoted = contracts.where("direction <> 'undetermined'").select("ticker", "event_id")
-    signals = every.join(promoted, ["ticker", "event_id"], "left_semi")
-    trades, counts = backtest.run(bars, signals, backtest.cells(bars.sparkSession, params))
-    trades, counts = written(trades, "trades"), written(counts, "signals")
-    keys = ("ticker", "event_id")
-    summary = written(backtest.select_best(backtest.summarise(trades, counts, backtest.span_months(bars), keys=(*keys, "cell")), *keys), "summary")
-    trades = written(trades.join(summary.select(*keys, "cell"), [*keys, "cell"], "left_semi"), "trades")
-    g = trades.groupBy(*keys).agg(F.count("*").alias("k"), F.avg("net_pct_gain").alias("m"), F.stddev_samp("net_pct_gain").alias("sd"))
-    g = with_p_greater(g.withColumn("t", F.col("m") / F.nullif(F.col("sd") / F.sqrt("k"), F.lit(0.0))).withColumn("df", F.col("k") - 1), "t", "df", "p")
-    late = trades.where(F.col("signal_rn") >= budget.oos_start).groupBy(*keys).agg(backtest.profit_factor().alias("oos_pf"))
-    extra = g.select(*keys, "p", (F.col("m") / F.nullif(F.col("sd"), F.lit(0.0))).alias("dsr")).join(late, list(keys), "left").join(backtest.stability(trades, *keys).select(*keys, "stability"), list(keys)).join(backtest.dependency(trades, *keys).select(*keys, "dependency"), list(keys))
-    verdicts = written(backtest.decide(summary.join(extra, list(keys), "left")), "verdicts")
-    return SessionResult(c, budget, bars, found, gated, active, contracts, search, trades, verdicts, ledger)
+    promoted = alpha.promoted(contracts, c.min_lift)
+    signals = every.join(promoted.select("ticker", "event_id"), ["ticker", "event_id"], "left_semi")
+    base = backtest.Params(buy_type="market", sell=max(0.01, c.tp_floor), horizon=int(c.target_h), fee=c.rule_fee)
+    grid = params or backtest.seeded(promoted, base, floor=c.tp_floor)
+    ledger.cells = len(params) if params else 9
+    ledger.contracts = promoted.count()
+    verdicts, trades, oos = backtest.discover(bars, signals, grid, n_splits=c.test_splits, min_train=c.min_train_months, embargo=c.rule_embargo, policy=c.policy, tpm=c.rule_tpm)
+    verdicts = verdicts.join(search.select("ticker", F.col("p").alias("rotation_p")), "ticker", "left")
+    beaten = (F.col("verdict") == "EDGE") & (F.col("rotation_p") > c.alpha)
+    verdicts = verdicts.withColumn("reasons", F.when(F.col("verdict").isin("EDGE", "PARTIAL-EDGE") & (F.col("rotation_p") > c.alpha), F.concat("reasons", F.array(F.lit(backtest.ROTATION_REASON)))).otherwise(F.col("reasons")))
+    verdicts = written(verdicts.withColumn("verdict", F.when(beaten, "PARTIAL-EDGE").otherwise(F.col("verdict"))), "verdicts")
+    return SessionResult(c, budget, bars, found, gated, active, contracts, search, trades, oos, verdicts, ledger)
+
+
+def run_sessions(tables: dict[str, DataFrame], config: SessionConfig | None = None, **options) -> dict[str, SessionResult]:
+    """A session of each table, say of assets whose thresholds must not be shared; one after the other, each a row of Spark jobs."""
+    return {name: run_session(bars, config, **options) for name, bars in tables.items()}
 
 
 def lookup(result: SessionResult, event_id: str) -> dict:

@@ -41,7 +41,7 @@ def timeframe_minutes(timeframe: str) -> int:
 
 def timeframe_class(timeframe: str) -> str:
     n = timeframe_minutes(timeframe)
-    return "daily" if n >= 1440 else "intraday" if n >= 15 else "fast"
+    return "daily" if n >= 1440 else "intraday" if n >= 60 else "fast"
 
 
 #: Horizon grids by class of timeframe.
@@ -49,7 +49,7 @@ HORIZONS = {"daily": (1, 2, 3, 5, 7, 10), "intraday": (1, 2, 4, 8, 12, 24), "fas
 
 
 def bars_per_month(timeframe: str) -> float:
-    return 30.4375 * 1440 / timeframe_minutes(timeframe)
+    return 30.0 * 1440 / timeframe_minutes(timeframe)
 
 
 @dataclass(frozen=True)
@@ -140,6 +140,13 @@ class SessionConfig:
     test_splits: int = 4
     alpha: float = 0.05
     bars_per_episode: float = 1.76
+    policy: str = "last"  # or consensus
+    fdr_q: float = 0.10
+    auc_p: float = 0.10
+    oos_p: float = 0.10
+    min_lift: float | None = None
+    min_cohens_d: float = 0.0
+    criteria: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -228,17 +235,34 @@ def resolve(config: SessionConfig, *, strict: bool = True) -> Resolution:
     return out
 
 
-#: How often, how bursty and how many episodes each preset asks for.
+#: What each preset asks for. Rates are a month's of daily bars: of active bars, of episodes, and of trades.
 PRESETS = {
-    "sniper": {"min_tpm": 0.5, "margin": 1.2, "min_episodes": 8},
-    "balanced": {"min_tpm": 1.0, "margin": 1.3, "min_episodes": 10},
-    "sweep": {"min_tpm": 2.0, "margin": 1.5, "min_episodes": 15},
-    "burst": {"min_tpm": 3.0, "margin": 2.0, "min_episodes": 15},
+    "sniper": {"tpm": 1.0, "episode_tpm": 0.3, "rule_tpm": 1.0, "dispersion": 1.0, "margin": 1.05, "min_episodes": 10, "pf": 2.5, "win_rate": 0.60, "score": 0.40, "fill": 0.80, "lift": 0.10, "cohens_d": 0.15, "fdr_q": 0.05, "oos_p": 0.10},
+    "balanced": {"tpm": 3.0, "episode_tpm": 1.0, "rule_tpm": 2.5, "dispersion": 2.0, "margin": 1.30, "min_episodes": 10, "pf": 2.0, "win_rate": 0.55, "score": 0.30, "fill": 0.80, "lift": 0.06, "cohens_d": 0.10, "fdr_q": 0.15, "oos_p": 0.20},
+    "sweep": {"tpm": 1.0, "episode_tpm": 0.3, "rule_tpm": 1.0, "dispersion": 2.5, "margin": 1.60, "min_episodes": 5, "pf": 1.8, "win_rate": 0.50, "score": 0.25, "fill": 0.70, "lift": 0.05, "cohens_d": 0.05, "fdr_q": 0.25, "oos_p": 0.20},
+    "burst": {"tpm": 2.5, "episode_tpm": 1.5, "rule_tpm": 2.0, "dispersion": 5.0, "margin": 3.00, "min_episodes": 10, "pf": 2.0, "win_rate": 0.55, "score": 0.30, "fill": 0.80, "lift": 0.08, "cohens_d": 0.12, "fdr_q": 0.10, "oos_p": 0.10},
 }
+#: The share of a daily dispersion that faster bars are allowed.
+DISPERSION = {"daily": 1.0, "intraday": 0.45, "fast": 0.20}
 
 
-def preset(name: str, timeframe: str = "1d", train_ratio: float = 0.7) -> SessionConfig:
-    """A named configuration; rates grow with the number of bars a month has beyond daily ones."""
-    p = PRESETS[name]
-    scale = max(1.0, (bars_per_month(timeframe) / bars_per_month("1d")) ** 0.5)
-    return SessionConfig(timeframe=timeframe, train_ratio=train_ratio, gate=GateParams(min_tpm=p["min_tpm"] * scale, margin=p["margin"], min_episodes=p["min_episodes"]))
+def scale_tpm(daily: float, timeframe: str) -> float:
+    """A monthly rate of daily bars, at the bars a month has."""
+    return daily * bars_per_month(timeframe) / 30.0
+
+
+def scale_dispersion(daily: float, timeframe: str) -> float:
+    share = DISPERSION[timeframe_class(timeframe)]
+    return daily if share == 1.0 else round(daily * share, 2)
+
+
+def preset(name: str, timeframe: str = "1d", train_ratio: float = 0.7, *, counting: str = "episode", **changes) -> SessionConfig:
+    """A named configuration, scaled to the timeframe; ``changes`` replace any of its numbers."""
+    if name not in PRESETS:
+        raise ValueError(f"{name!r} is none of {', '.join(PRESETS)}")
+    if unknown := set(changes) - set(PRESETS[name]):
+        raise ValueError(f"not a number of a preset: {', '.join(sorted(unknown))}")
+    p = PRESETS[name] | changes
+    rate = scale_tpm(p["episode_tpm" if counting == "episode" else "tpm"], timeframe)
+    own = GateParams(min_tpm=rate, max_dispersion=scale_dispersion(p["dispersion"], timeframe), margin=p["margin"], counting=counting, min_episodes=p["min_episodes"])
+    return SessionConfig(timeframe=timeframe, train_ratio=train_ratio, gate=own, rule_tpm=scale_tpm(p["rule_tpm"], timeframe), fdr_q=p["fdr_q"], oos_p=p["oos_p"], min_lift=p["lift"], min_cohens_d=p["cohens_d"], criteria={"pf": p["pf"], "wr": p["win_rate"], "score": p["score"], "fill": p["fill"]})

@@ -13,7 +13,7 @@ from ruleloom.sources import bars as src
 from ruleloom.sources import files
 from ruleloom.streaming.monitor import monitor
 
-CONFIG = SessionConfig(gate=GateParams(min_tpm=0.5, min_episodes=5), horizons=(1, 2, 3))
+CONFIG = SessionConfig(gate=GateParams(min_tpm=0.5, min_episodes=5), horizons=(1, 2, 3), min_train_months=6)
 
 
 def test_session_finds_the_planted_edge(spark, walk, tmp_path):

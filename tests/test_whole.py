@@ -86,9 +86,3 @@ def test_reports_cover_every_ticker_event_and_cell(spark, tables):
     windows = {(r.ticker, r.event_id): r.windows for r in q["b14_walk_forward"](spark, SF).collect()}
     assert windows == {(r.ticker, r.event_id): r["count"] for r in best.groupBy("ticker", "event_id").count().collect()}
     assert {e for _, e in windows} == set(active["event_id"])
-
-
-def test_ranking_is_not_named_a_search(spark):
-    q = catalog.queries()
-    assert "n5_lift_search" not in q and "n5_lift_search" not in catalog.oracle_sql()
-    assert {r.r for r in q["n5_top_events_by_lift"](spark, SF).collect()} <= {1, 2, 3}
