@@ -404,17 +404,19 @@ def optimise_target(active: DataFrame, target: DataFrame, bars: DataFrame, pairs
     Atoms below ``least_atoms`` go; ``pairs`` of those left are joined by AND down to the volume floor; of both, those of
     ``least_result`` and more that pass the gate stay.
     """
+    from ruleloom.functions.lineage import written
     from ruleloom.operators import compose, gate
 
     p = gate_params or gate.GateParams()
     keys = ["ticker", "event_id"]
     score = lift_score(active, target, least=least)
-    atoms = active.join(score.where(F.col("lift") >= least_atoms).select(*keys), keys, "left_semi")
+    atoms = written(active.join(score.where(F.col("lift") >= least_atoms).select(*keys), keys, "left_semi"), "atoms")
     both = compose.pair_activations(atoms, pairs)
     months = bars.groupBy("ticker").agg(F.count_distinct(gate.month(F.col("open_dt"))).alias("months"))
     enough = both.groupBy(*keys).agg(F.count("*").alias("k")).join(months, "ticker").where(F.col("k") >= F.greatest(F.lit(1), F.floor(p.min_tpm * F.col("months"))))
     every = atoms.select(*keys, "rn", "open_dt").union(both.join(enough.select(*keys), keys, "left_semi").select(*keys, "rn", "open_dt"))
-    scored = lift_score(every, target, least=least).where(F.col("lift") >= least_result)
+    every = written(every, "candidates")
+    scored = written(lift_score(every, target, least=least).where(F.col("lift") >= least_result), "scored")
     passed = gate.gate(every.join(scored.select(*keys), keys, "left_semi"), bars, p).where("passed").select(*keys)
     place = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("lift"), "event_id"))
     return scored.join(passed, keys).withColumn("members", F.split("event_id", "&")).withColumn("place", place)

@@ -404,6 +404,8 @@ def discover(
     """
     from ruleloom.functions.lineage import written
 
+    bars = written(bars.select("ticker", "rn", "open_dt", "open", "high", "low", "close"), "prices")
+    signals = written(signals.select(*keys, "rn"), "signals")
     windows = written(walk_windows(bars, params, n_splits=n_splits, min_train=min_train, embargo=embargo), "windows")
     grid = written(params if isinstance(params, DataFrame) else cells(bars.sparkSession, params), "grid")
     keyed = [k for k in keys if k in grid.columns]

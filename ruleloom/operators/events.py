@@ -122,6 +122,11 @@ class Event:
         return cls(doc["event_id"], tuple(comps), doc["meta"])
 
 
+def is_pointwise(event: Event) -> bool:
+    """Whether the event may be built on a part of the bars alone: plain thresholds without transforms or lags."""
+    return all(c.kind in ("threshold", "binary", "onehot") and c.transform.kind == "identity" and not c.feature.lag and "_lag" not in c.feature.name for c in event.components)
+
+
 def formula_event(event_id: str, formula: str) -> Event:
     """A user's SQL condition; null counts as false."""
     return Event(event_id, (Component(Feature(event_id, "identity", ()), kind="formula", threshold=formula),))

@@ -222,6 +222,20 @@ def derive_ema_windows(bars: DataFrame, *, window: int, stride: int, fast_ratio:
     return h.select("ticker", F.when(ok, short).otherwise(fixed[0]).alias("short"), F.when(ok, long).otherwise(fixed[1]).alias("long"))
 
 
+def suggest_ema_windows(bars: DataFrame, timeframe: str = "1h", *, window_hours: float = 168.0, stride_hours: float = 24.0, fast_ratio: float = 1 / 2.3) -> DataFrame:
+    """``(ticker, half_life, half_life_hours, short, long, estimates, hurst)``: what the local half-lives of a ticker suggest.
+
+    Tickers without a mean-reverting window have null windows.
+    """
+    window, stride = hours_to_bars(window_hours, timeframe), hours_to_bars(stride_hours, timeframe)
+    h = rolling_half_life(bars, window, stride).groupBy("ticker").agg(F.percentile("half_life", F.lit(0.5)).alias("half_life"), F.count("half_life").alias("estimates"))
+    long = F.greatest(F.round("half_life").cast("int"), F.lit(2))
+    memory = rolling_hurst(bars, window, stride).groupBy("ticker").agg(F.round(F.percentile("hurst", F.lit(0.5)), 3).alias("hurst"))
+    out = h.join(memory, "ticker", "left").withColumn("half_life_hours", F.round(F.col("half_life") * timeframe_hours(timeframe), 1))
+    some = F.col("half_life").isNotNull()
+    return out.select("ticker", "half_life", "half_life_hours", F.when(some, F.greatest(F.round(F.col("half_life") * fast_ratio).cast("int"), F.lit(1))).alias("short"), F.when(some, long).alias("long"), "estimates", "hurst")
+
+
 def timeframe_hours(timeframe: str) -> float:
     """``15m``, ``4h``, ``1d``, ``1w`` in hours."""
     n, unit = int(timeframe[:-1]), timeframe[-1].lower()

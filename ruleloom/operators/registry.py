@@ -143,6 +143,32 @@ def promotion_gate(rules: DataFrame, *, least_stability: float | None = None) ->
     return out.withColumn("promoted", F.size("blocked") == 0)
 
 
+def build_registry(verdicts: DataFrame, trades: DataFrame, crossed: DataFrame, *, duplicate_from: float = 0.70, least_stability: float | None = None) -> dict[str, DataFrame]:
+    """The registry of a session's validated rules.
+
+    ``verdicts`` has ticker, event_id, verdict, profit_factor, dsr and dependency, ``trades`` the
+    ledger, ``crossed`` the results on other tickers.  Returns ``rules`` (with duplicates,
+    genericity, grade, regime type, and whether they are promoted), ``overlap``, ``correlation`` and ``monthly``.
+    """
+    kept = verdicts.where(F.col("verdict").isin("EDGE", "PARTIAL-EDGE")).withColumn("rule_id", F.concat_ws("/", "ticker", "event_id"))
+    own = trades.withColumn("rule_id", F.concat_ws("/", "ticker", "event_id")).join(kept.select("rule_id"), "rule_id", "left_semi")
+    gains = own.select("rule_id", F.col("fill_dt").alias("dt"), F.col("net_pct_gain").alias("gain"))
+    overlap = jaccard_by_date(gains)
+    duplicates = mark_duplicates(kept.select("rule_id", F.col("profit_factor").alias("pf")), overlap, duplicate_from)
+    transfer = genericity_of(crossed).select("event_id", "n_passed", "n_tickers", "genericity")
+    grade = evidence_grade(F.col("verdict"), F.col("profit_factor"), F.col("dsr"))
+    none = F.array().cast("array<string>")
+    avoid = F.coalesce("avoid", none) if "avoid" in verdicts.columns else none
+    rules = kept.join(duplicates, "rule_id", "left").join(transfer, "event_id", "left")
+    rules = rules.withColumn("grade", grade).withColumn("regime_type", regime_type(F.col("dependency"), avoid))
+    return {
+        "rules": promotion_gate(rules, least_stability=least_stability),
+        "overlap": overlap,
+        "correlation": gain_correlation(gains),
+        "monthly": own.groupBy("rule_id", (F.year("fill_dt") * 12 + F.month("fill_dt")).alias("month")).agg(F.sum("net_pct_gain").alias("gain"), F.count("*").alias("n")),
+    }
+
+
 def monitoring_manifest(rules: DataFrame, exported: DataFrame) -> DataFrame:
     """Rules with the file they were exported to, if any."""
     return rules.join(exported.select("ticker", "event_id", "path"), ["ticker", "event_id"], "left")

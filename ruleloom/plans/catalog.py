@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ruleloom.plans.registry import QUERIES, SQL
 
-MODULES = ("q_indicators", "q_regime", "q_events", "q_alpha", "q_backtest", "q_reports", "q_flagship")
+MODULES = ("q_indicators", "q_regime", "q_events", "q_alpha", "q_backtest", "q_reports", "q_sessions", "q_flagship")
 for _m in MODULES:
     importlib.import_module(f"ruleloom.plans.{_m}")
 

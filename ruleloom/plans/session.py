@@ -181,6 +181,37 @@ def export_rules(result: SessionResult, folder: str | Path) -> list[dict]:
     return out
 
 
+def select_seeds(result: SessionResult, most: int = 5, *, max_jaccard: float = 0.85) -> list[events.Event]:
+    """The best validated events, one of each family of features, none that overlaps an earlier one by ``max_jaccard``."""
+    ranked = result.submissions().orderBy((F.col("verdict") != "EDGE"), F.desc_nulls_last("composite"), "event_id").select("event_id").collect()
+    near = {}
+    for r in gate.overlaps(result.active, max_jaccard).select("a", "b").distinct().collect():  # pairs of validated events that nearly coincide
+        near.setdefault(r.a, set()).add(r.b)
+        near.setdefault(r.b, set()).add(r.a)
+    by_id = {e.event_id: e for e in result.events}
+    chosen, families = [], set()
+    for event_id in dict.fromkeys(r.event_id for r in ranked):
+        family = tuple(sorted({s for c in by_id[event_id].components for s in c.feature.sources}))
+        if family not in families and not near.get(event_id, set()) & {e.event_id for e in chosen}:
+            chosen.append(by_id[event_id])
+            families.add(family)
+        if len(chosen) == most:
+            break
+    return chosen
+
+
+def confirm(bars: DataFrame, grown: list[events.Event], params: list[backtest.Params], from_dt, **options) -> DataFrame:
+    """``(ticker, event_id, verdict, later_gain, confirmed)`` on search and hold-out bars together.
+
+    An event is confirmed by a validated verdict, or by a mean gain above 0 in the test windows' trades from ``from_dt`` on.
+    """
+    verdicts, _, oos = backtest.discover(bars, events.activations(bars, grown), params, **options)
+    later = oos.where(F.col("fill_dt") >= F.lit(from_dt)).groupBy("ticker", "event_id").agg(F.avg("net_pct_gain").alias("later_gain"))
+    out = verdicts.join(later, ["ticker", "event_id"], "left")
+    ok = F.col("verdict").isin("EDGE", "PARTIAL-EDGE") | F.coalesce(F.col("later_gain") > 0, F.lit(False))
+    return out.select("ticker", "event_id", "verdict", "later_gain", ok.alias("confirmed"))
+
+
 def stepwise(bars: DataFrame, seeds: list[events.Event], plan: list[features.Feature], *, depth: int = 2, retain: float = 0.2, p: gate.GateParams = gate.GateParams(min_tpm=0.25, margin=3.0, min_episodes=4)) -> list[events.Event]:
     """Grow each seed by the child event, found on its active bars alone, that keeps enough of them and passes the gate."""
     grown: list[events.Event] = []

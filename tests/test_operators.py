@@ -82,7 +82,7 @@ def test_rotations_equal_a_loop():
     rng = np.random.default_rng(3)
     mask, x = rng.random(40) < 0.2, rng.normal(size=40)
     valid = rng.random(40) < 0.9
-    mu, count = alpha.rotations(mask, x, valid)
+    mu, count = alpha.Series(1, np.where(valid, x, np.nan)).under(np.conj(np.fft.rfft(mask.astype(float))))
     for k in range(40):
         hit = np.roll(mask, k) & valid
         assert count[k] == hit.sum()
@@ -171,6 +171,6 @@ def test_picks_over_windows_and_entries(spark):
     best = spark.createDataFrame([("E", 0, 2), ("E", 1, 2), ("E", 2, 5), ("E", 3, 5), ("F", 0, 1), ("F", 1, 1), ("F", 2, 3)], "event_id string, window int, cell int")
     cell = lambda policy: {r.event_id: r.cell for r in backtest.pick_cell(best, "event_id", policy=policy).collect()}
     assert cell("last") == {"E": 5, "F": 3} and cell("consensus") == {"E": 5, "F": 1}
-    m = spark.createDataFrame([("E", 1.0, 0.5, 0.2), ("F", 1.0, 0.5, 0.2), ("G", 1.0, 0.5, 0.2)], "event_id string, fill_rate double, sharpe_raw double, total_net_gain double")
-    lim = spark.createDataFrame([("E", 0.9, 0.6, 0.3), ("F", 0.7, 0.9, 0.9)], "event_id string, fill_rate double, sharpe_raw double, total_net_gain double")
+    m = spark.createDataFrame([("E", 1.0, 0.5, 0.2), ("F", 1.0, 0.5, 0.2), ("G", 1.0, 0.5, 0.2)], "event_id string, fill_rate double, sharpe double, total_net_gain double")
+    lim = spark.createDataFrame([("E", 0.9, 0.6, 0.3), ("F", 0.7, 0.9, 0.9)], "event_id string, fill_rate double, sharpe double, total_net_gain double")
     assert {r.event_id: r.adopted for r in backtest.adopt_limit(m, lim, "event_id").collect()} == {"E": True, "F": False, "G": False}
