@@ -37,8 +37,10 @@ PAD = TOKENS
 SLOT_BITS = 18
 WIDTH = 16
 REACH = 3
-BATCH = 2048
-RATE = 0.08
+#: Consecutive tokens that are trained together, and tokens in a step.
+RUN = 32
+BATCH = 8192
+RATE = 0.3
 FIXED = 1 << 16
 #: Words whose counts every executor holds at most; the counts of others are joined, with the same result.
 KNOWN = 1 << 18
@@ -105,37 +107,49 @@ class Network:
         back[order] = out
         return back
 
-    def step(self, windows: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
-        """One Adagrad step on targets with their windows (a column per place)."""
-        n = len(target)
+    def step(self, runs: np.ndarray, squares: list[np.ndarray]) -> int:
+        """One Adagrad step on every token of some runs (rows of consecutive tokens with REACH before and after); how many there were."""
+        inner = runs.shape[1] - 2 * REACH
+        at = [slice(REACH + j, REACH + j + inner) for j in SHIFTS]
+        target = runs[:, REACH : REACH + inner].ravel()
         order, ends = by_class(target)
-        windows, target = windows[order], target[order]
-        e = self.embed[windows]
-        h = np.repeat(self.shift[None, :], n, axis=0)
-        for j, w in enumerate(self.place):
-            h += w * e[:, j]
+        n = int(ends[CLASSES])  # pads come last
+        if not n:
+            return 0
+        order, ends = order[:n], ends[: CLASSES + 1]
+        e = self.embed[runs]
+        h = np.empty((len(runs), inner, WIDTH), np.float32)
+        h[:] = self.shift
+        for w, i in zip(self.place, at):
+            h += w * e[:, i]
         np.tanh(h, out=h)
+        target, h = target[order], h.reshape(-1, WIDTH)[order]
         hidden, word = np.ascontiguousarray(h.T), target & 63
         p = softmax(self.to_class @ hidden + self.class_bias[:, None])
         p[target >> 6, np.arange(n)] -= 1
         g_class, g_class_bias, g_h = p @ h, p.sum(axis=1), self.to_class.T @ p
         g_word, g_word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
         for c in np.flatnonzero(np.diff(ends)):
-            at = slice(ends[c], ends[c + 1])
-            q = softmax(self.to_word[c] @ hidden[:, at] + self.word_bias[c][:, None])
-            q[word[at], np.arange(q.shape[1])] -= 1
-            g_word[c], g_word_bias[c] = q @ h[at], q.sum(axis=1)
-            g_h[:, at] += self.to_word[c].T @ q
-        g_h = np.ascontiguousarray(g_h.T) * (1 - h * h)
-        g_place = np.stack([(e[:, j] * g_h).sum(axis=0) for j in range(len(SHIFTS))])
-        spread = (g_h[:, None, :] * self.place[None]).reshape(-1, WIDTH)
-        flat = windows.ravel().astype(np.int16)
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-        rows = flat[order][first]
-        g_embed = np.add.reduceat(spread[order], first, axis=0)
+            own = slice(ends[c], ends[c + 1])
+            q = softmax(self.to_word[c] @ hidden[:, own] + self.word_bias[c][:, None])
+            q[word[own], np.arange(q.shape[1])] -= 1
+            g_word[c], g_word_bias[c] = q @ h[own], q.sum(axis=1)
+            g_h[:, own] += self.to_word[c].T @ q
+        g_h = g_h.T * (1 - h * h)
+        spread = np.zeros((len(runs) * inner, WIDTH), np.float32)
+        spread[order] = g_h
+        spread = spread.reshape(len(runs), inner, WIDTH)
+        g_place, g_e = np.empty_like(self.place), np.zeros_like(e)
+        for j, (w, i) in enumerate(zip(self.place, at)):
+            g_place[j] = np.einsum("rid,rid->d", e[:, i], spread)
+            g_e[:, i] += w * spread
+        flat = runs.ravel().astype(np.int16)
+        by_token = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(flat[by_token]) > 0]))
+        rows = flat[by_token][first]
+        g_embed = np.add.reduceat(g_e.reshape(-1, WIDTH)[by_token], first, axis=0)
         g_embed[rows == PAD] = 0
-        # of the embeddings only those of the windows have a gradient
+        # of the embeddings only those of the runs have a gradient
         g_embed /= n
         squares[0][rows] += g_embed * g_embed
         self.embed[rows] -= RATE * g_embed / (np.sqrt(squares[0][rows]) + 1e-4)
@@ -143,10 +157,11 @@ class Network:
             g /= n
             s += g * g
             w -= RATE * g / (np.sqrt(s) + 1e-4)
+        return n
 
 
 def by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of targets by class, and where each class begins and the last ends."""
+    """An order of targets by class, pads last, and where each class begins and the last ends."""
     group = (target >> 6).astype(np.uint8)
     return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=CLASSES))])
 
@@ -194,35 +209,30 @@ def _padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tokens, place
 
 
+def runs_of(tokens: np.ndarray) -> np.ndarray:
+    """The padded tokens of several texts as rows of RUN tokens with REACH before and after, in an order by hash."""
+    n = -(-(len(tokens) - 2 * REACH) // RUN)
+    whole = np.full(n * RUN + 2 * REACH, PAD, np.int64)
+    whole[: len(tokens)] = tokens
+    rows = np.lib.stride_tricks.sliding_window_view(whole, RUN + 2 * REACH)[::RUN]
+    return rows[np.argsort(mix(np.arange(n, dtype=np.uint64)))]
+
+
 def train_on(batches: Iterator[list[str | None]], table: np.ndarray, start: Network) -> tuple[Network, int]:
-    """One pass over the texts of a partition."""
+    """One pass over the texts of a partition; a step has runs of many texts."""
     net = start.load(start.flat())
     squares = [np.zeros_like(p) for p in net.parts()]
-    windows, targets, held, seen = [], [], 0, 0
-
-    def step() -> None:
-        net.step(np.concatenate(windows), np.concatenate(targets), squares)
-        windows.clear()
-        targets.clear()
-
+    held, seen, most = np.empty((0, RUN + 2 * REACH), np.int64), 0, BATCH // RUN
     for texts in batches:
         for slots, at in _groups(texts):
             if not len(slots):
                 continue
-            tokens, place = _padded(table[slots], at)
-            # in an order by hash, so that a step's targets are of many texts
-            chosen = place[np.argsort(mix(np.arange(len(place), dtype=np.uint64)))]
-            seen += len(chosen)
-            for i in range(0, len(chosen), BATCH):
-                c = chosen[i : i + BATCH]
-                windows.append(np.stack([tokens[c + j] for j in SHIFTS], axis=1))
-                targets.append(tokens[c])
-                held += len(c)
-                if held >= BATCH:
-                    step()
-                    held = 0
-    if targets:
-        step()
+            held = np.concatenate([held, runs_of(_padded(table[slots], at)[0])])
+            while len(held) >= most:
+                seen += net.step(held[:most], squares)
+                held = held[most:]
+    if len(held):
+        seen += net.step(held, squares)
     return net, seen
 
 
