@@ -10,16 +10,18 @@ network predicts, times the word's share of that token by counts of the whole co
 Frequent words have a token almost to themselves, the others share ``TOKENS -
 FREQUENT``.  Words are told apart by 64-bit hashes.  The executors hold the counts of
 the most frequent words, and the others are joined, so the number of words is not
-bounded.  Training reads every document: each partition starts from the corpus
-counts, makes one pass over its own texts with every token as a target, and the
-weights of all partitions are averaged, weighted by their targets, in fixed point so
-that reruns agree.
+bounded.  Training reads every document: documents are dealt to shards by a hash, each
+shard starts from the corpus counts, makes one pass over its texts with every token as
+a target, and the weights of all shards are averaged, weighted by their targets, in
+fixed point.  The number of shards follows the number of words, so reruns agree
+however the input is split into files and whatever the size of the cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.llm import scratch
-from ruleloom.llm.batches import bound, small
+from ruleloom.llm.batches import ROWS, bound, small
 from ruleloom.llm.shingles import mix, word_hashes
 
 CLASSES = 64
@@ -45,6 +47,9 @@ FIXED = 1 << 16
 #: Words whose counts every executor holds at most; the counts of others are joined, with the same result.
 KNOWN = 1 << 18
 GROUP_BYTES = 400_000
+#: A shard has this many words, or more where there would be over ``MOST_SHARDS``.
+SHARD_WORDS = 4_000_000
+MOST_SHARDS = 1 << 16
 SHIFTS = [j for j in range(-REACH, REACH + 1) if j]
 
 
@@ -337,10 +342,37 @@ def word_shares(counts: DataFrame, tokens: np.ndarray) -> Shares:
     return Shares(np.log(np.maximum(tokens, 1.0)), words[order], logs, least if held else 1 << 62)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text") -> tuple[np.ndarray, Network]:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, Network]:
     """Table from word slot to token, and the averaged network, from all of ``docs``."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    return _fit(texts, scratch.cut(count_words(texts), "lm-words"))[:2]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _fit(texts, scratch.cut(count_words(texts.select("text")), "lm-words"))[:2]
+
+
+def _shards(texts: DataFrame, words: int) -> DataFrame:
+    """The texts dealt by a hash of id and text, each shard in the order of that hash."""
+    n = max(1, -(-words // max(SHARD_WORDS, words // MOST_SHARDS)))
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    return keyed.withColumn("shard", F.pmod("key", F.lit(n))).repartition(n, "shard").sortWithinPartitions("shard", "key").select("text", "shard")
+
+
+def _by_shard(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    cuts = [0, *(np.flatnonzero(np.diff(batch.column(1).to_numpy())) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def _even(columns: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """Lists of ``ROWS`` texts, whatever the size of the batches that they come in."""
+    held: list[str | None] = []
+    for column in columns:
+        for i in range(0, len(column), ROWS):
+            held += column.slice(i, ROWS).to_pylist()
+            while len(held) >= ROWS:
+                yield held[:ROWS]
+                held = held[ROWS:]
+    if held:
+        yield held
 
 
 def _fit(texts: DataFrame, words: DataFrame) -> tuple[np.ndarray, Network, np.ndarray]:
@@ -353,8 +385,8 @@ def _fit(texts: DataFrame, words: DataFrame) -> tuple[np.ndarray, Network, np.nd
     counts = np.bincount(table[counted["slot"].to_numpy(np.int64)], counted["n"].to_numpy(np.float64), TOKENS)
     start = Network.start(counts)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = train_on((b.column(0).to_pylist() for b in small(batches)), table, start)
+    def weights(texts: list[list[str | None]]) -> Iterator[pa.RecordBatch]:
+        net, seen = train_on(texts, table, start)
         if seen:
             weight = 1 + seen // 1024
             values = np.rint(net.flat().astype(np.float64) * FIXED).astype(np.int64) * weight
@@ -362,7 +394,14 @@ def _fit(texts: DataFrame, words: DataFrame) -> tuple[np.ndarray, Network, np.nd
                 part = values[i : i + 65536]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), weight, np.int64))], ["i", "v", "w"])
 
-    mean = texts.mapInArrow(train, "i int, v long, w long").groupBy("i").agg((F.sum("v").cast("double") / F.sum("w")).alias("v")).toPandas()  # one row per weight
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards of a partition, one after the other."""
+        parts = ((b.column(1)[0].as_py(), b) for batch in batches for b in _by_shard(batch))
+        for _, own in groupby(parts, key=lambda x: x[0]):
+            yield from weights(_even(b.column(0) for _, b in own))
+
+    total = int(counted["n"].sum())
+    mean = _shards(texts, total).mapInArrow(train, "i int, v long, w long").groupBy("i").agg((F.sum("v").cast("double") / F.sum("w")).alias("v")).toPandas()  # one row per weight
     flat = start.flat().astype(np.float64)
     flat[mean["i"].to_numpy(np.int64)] = mean["v"].to_numpy() / FIXED
     return table, start.load(flat), counts
@@ -372,13 +411,13 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Per input row: doc_id, n_tokens, score (summed log-probability of its words), mean_score (per word).
 
     Defined cases: a null, empty or blank text has no tokens, score 0 and a null
-    mean; places beyond a text's ends are a padding token; repeated rows get equal
-    scores; null ids are kept; an empty table gives an empty result; other
+    mean; places beyond a text's ends are a padding token; texts of any length are
+    scored whole; repeated rows get equal scores, however the rows are split; null ids are kept; an empty table gives an empty result; other
     columns are not read.
     """
     bound(docs.sparkSession)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    words = scratch.cut(count_words(texts), "lm-words")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    words = scratch.cut(count_words(texts.select("text")), "lm-words")
     table, net, counts = _fit(texts, words)
     shares = word_shares(words, counts)
 

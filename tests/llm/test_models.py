@@ -144,6 +144,14 @@ def test_every_word_has_a_probability_of_its_own(spark, monkeypatch, known):
     assert np.allclose(sorted(r.score for r in got), sorted(want), atol=1e-3)
 
 
+def test_scores_do_not_depend_on_the_split_of_the_input(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_WORDS", 700)
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(["a", "b", "c", f"w{rng.randrange(99)}"]) for _ in range(rng.randrange(80)))) for i in range(150)], "doc_id long, text string")
+    want = sorted((r.doc_id, r.score) for r in lm_score.score_documents(df.coalesce(1)).collect())
+    assert want == sorted((r.doc_id, r.score) for r in lm_score.score_documents(df.repartition(7)).collect())
+
+
 def test_every_token_is_a_target():
     texts = [" ".join(f"w{(i * j) % 50}" for j in range(70)) for i in range(90)] + [None, ""]
     table = np.arange(1 << lm_score.SLOT_BITS) % lm_score.TOKENS
