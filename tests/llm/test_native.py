@@ -41,32 +41,71 @@ def rule_of(host, path):
 
 def codes(u):
     t = u.lower().translate(str.maketrans("123456789", "0" * 9))
-    t = "^^" + re.sub(r"[^a-z0/.\-_?=&%#:~]", "*", t) + "$"
+    t = "^" * (url_filter.ORDER - 1) + re.sub(r"[^a-z0/.\-_?=&%#:~]", "*", t) + "$"
     return [ALPHABET.index(c) for c in t]
 
 
 class Model:
-    """Witten-Bell interpolation, from counts."""
+    """Witten-Bell interpolation, from counts; contexts of three and more characters only where ``kept`` has them."""
 
-    def __init__(self, texts):
-        self.n = [collections.Counter() for _ in range(3)]
+    def __init__(self, texts, kept=()):
+        self.kept = kept
+        self.n = [collections.Counter() for _ in range(url_filter.ORDER)]
         for u in texts:
             c = codes(u)
-            for i in range(2, len(c)):
-                for k in range(3):
+            for i in range(url_filter.ORDER - 1, len(c)):
+                for k in range(url_filter.ORDER):
                     self.n[k][tuple(c[i - k : i + 1])] += 1
+        self.after = [collections.defaultdict(list) for _ in self.n]
+        for k, counts in enumerate(self.n):
+            for g, n in counts.items():
+                self.after[k][g[:-1]].append(n)
 
     def p(self, gram):
         out = 1.0 / SIZE
-        for k in range(3):
-            ctx = gram[2 - k : 2]
-            same = {g: n for g, n in self.n[k].items() if g[:-1] == ctx}
-            c, t = sum(same.values()), len(same)
+        for k in range(url_filter.ORDER):
+            ctx = gram[len(gram) - 1 - k : len(gram) - 1]
+            if k > 2 and ctx not in self.kept:
+                break
+            same = self.after[k][ctx]
+            c, t = sum(same), len(same)
             if c:
-                out = (same.get(gram[2 - k :], 0) + t * out) / (c + t)
+                out = (self.n[k].get(ctx + gram[-1:], 0) + t * out) / (c + t)
         return out
 
 
+def kept_contexts(texts, most):
+    """Contexts of three and four characters that the examples have at least eight times, from a count on at which at most ``most`` are left."""
+    counts = collections.Counter()
+    for u in texts:
+        c = codes(u)
+        for i in range(url_filter.ORDER - 1, len(c)):
+            for k in (3, 4):
+                counts[tuple(c[i - k : i])] += 1
+    step = lambda n: math.floor(math.log2(n) * url_filter.STEPS)
+    often = {c: step(n) for c, n in counts.items() if n >= url_filter.LEAST_COUNT}
+    least = min((b for b in set(often.values()) if sum(x >= b for x in often.values()) <= most), default=1 << 30)
+    return {c for c, b in often.items() if b >= least}
+
+
+@pytest.mark.parametrize("most", [url_filter.MOST_CONTEXTS, 40, 0])
+def test_contexts_of_any_order(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_CONTEXTS", most)
+    rng = random.Random(1)
+    texts = {f"http://{rng.choice(['aa', 'ab', 'news', 'shop'])}.{rng.choice(['org', 'net'])}/{rng.choice(['fr', 'de'])}/{'x' * rng.randrange(9)}{i}": rng.choice(["allow", "block"]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "url string, verdict string")
+    table = {r.g: r.ratio for r in url_filter.fit(df, spark).collect()}
+    kept = kept_contexts(texts, most)
+    assert len(table) == SIZE**3 + SIZE * len(kept) and (len(kept) > 40) == (most > 40)
+    m = {v: Model([u for u in texts if texts[u] == v], kept) for v in ("allow", "block")}
+    scored = {r.url: r.score for r in url_filter._scores(df, ["url"], url_filter.fit(df, spark)).collect()}
+    for u in list(texts)[:20]:
+        c = codes(u)
+        grams = [tuple(c[i - url_filter.ORDER + 1 : i + 1]) for i in range(url_filter.ORDER - 1, len(c))]
+        want = sum(math.log(m["allow"].p(g)) - math.log(m["block"].p(g)) for g in grams) / len(grams)
+        assert abs(scored[u] - want) < 1e-6
+
+
 def test_rules_scores_and_verdicts(spark):
     rows = [(i, u, "h", "p") for i, u in enumerate(urls())] + [(3, urls()[3], "h", "p")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
@@ -82,10 +121,11 @@ def test_rules_scores_and_verdicts(spark):
         assert r.verdict == rule.verdict if rule else r.verdict in ("allow", "block")
     decided = {u: rule_of(*parts(u)).verdict for u in urls() if u and rule_of(*parts(u))}
     fold = {r.u: r.f for r in spark.createDataFrame([(u,) for u in decided], "u string").select("u", F.pmod(F.xxhash64("u"), F.lit(5)).alias("f")).collect()}
-    m = {v: Model([u for u in decided if decided[u] == v and fold[u]]) for v in ("allow", "block")}
+    kept = kept_contexts([u for u in decided if fold[u]], url_filter.MOST_CONTEXTS)
+    m = {v: Model([u for u in decided if decided[u] == v and fold[u]], kept) for v in ("allow", "block")}
     for i, u in list(enumerate(urls()))[:4] + [(305, urls()[305])]:
         c = codes(u)
-        grams = [tuple(c[k : k + 3]) for k in range(len(c) - 2)]
+        grams = [tuple(c[k - url_filter.ORDER + 1 : k + 1]) for k in range(url_filter.ORDER - 1, len(c))]
         want = sum(math.log(m["allow"].p(g)) - math.log(m["block"].p(g)) for g in grams) / len(grams)
         assert abs(out[i][0].score - want) < 1e-6
     held = [u for u in decided if not fold[u]]
