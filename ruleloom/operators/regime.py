@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import insort
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -55,13 +56,38 @@ def balanced_thresholds(df: DataFrame, value: str, shares: tuple[float, ...] = S
     return q.select("ticker", F.when((F.col("n") >= least) & rising, F.col("q")).otherwise(F.array(*map(F.lit, fixed))).alias("thresholds"))
 
 
-def expanding_code(value: Column, shares: tuple[float, ...] = SHARES, *, fixed: tuple[float, ...] = THRESHOLDS, warm_up: int = WARM_UP) -> Column:
-    """Bucket by quantiles of all values so far; fixed thresholds until ``warm_up`` values are seen."""
-    w = by_bar().rowsBetween(Window.unboundedPreceding, 0)
+def with_expanding_code(df: DataFrame, value: str, out: str, shares: tuple[float, ...] = SHARES, *, fixed: tuple[float, ...] = THRESHOLDS, warm_up: int = WARM_UP) -> DataFrame:
+    """Adds ``out``: bucket by quantiles of all values so far; fixed thresholds until ``warm_up`` values are seen.
+
+    One pass per ticker keeps its values sorted as they come, so a bar costs a search and an
+    insertion and not a sort of all before it; a task holds one number per bar of a ticker.
+    """
+    import pyarrow as pa
+
     cum = [round(sum(shares[: i + 1]), 12) for i in range(len(shares) - 1)]
-    seen = F.count(value).over(w)
-    now = F.when(seen >= warm_up, F.percentile(value, F.array(*map(F.lit, cum))).over(w)).otherwise(F.array(*map(F.lit, fixed)))
-    return F.when(value.isNotNull(), F.size(F.filter(now, lambda t: t < value)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        seen: list[float] = []
+        codes: list[int | None] = []
+        for v in table["v"].to_pylist():
+            if v is None:
+                codes.append(None)
+                continue
+            insort(seen, v)
+            now = fixed
+            if len(seen) >= warm_up:
+                now = []
+                for q in cum:
+                    at = q * (len(seen) - 1)
+                    low = int(at)
+                    high = min(low + 1, len(seen) - 1)
+                    now.append(seen[low] if seen[low] == seen[high] else (low + 1 - at) * seen[low] + (at - low) * seen[high])
+            codes.append(sum(t < v for t in now))
+        return pa.table({"ticker": table["ticker"], "rn": table["rn"].cast(pa.int64()), "code": pa.array(codes, pa.int32())})
+
+    found = df.select("ticker", "rn", F.col(value).cast("double").alias("v")).groupBy("ticker").applyInArrow(run, "ticker string, rn long, code int")
+    return df.join(found.select("ticker", "rn", F.col("code").alias(out)), ["ticker", "rn"], "left")
 
 
 def with_runs(df: DataFrame, value: str, out: str = "run") -> DataFrame:
@@ -109,7 +135,7 @@ class EmaRegime:
             raise KeyError(f"no column {self.source!r}")
         df = with_ema_ratio(bars, self.source, self.short, self.long)
         if self.mode == "expanding":
-            df = df.withColumn("regime_code", expanding_code(F.col("ema_ratio")))
+            df = with_expanding_code(df, "ema_ratio", "regime_code")
         elif self.mode == "balanced":
             df = df.join(balanced_thresholds(df, "ema_ratio"), "ticker")
             df = df.withColumn("regime_code", bucket(F.col("ema_ratio"), [F.get("thresholds", i) for i in range(len(THRESHOLDS))])).drop("thresholds")

@@ -74,7 +74,7 @@ t AS (SELECT *, CASE WHEN n >= 200 THEN q1 ELSE 0.975 END AS t1, CASE WHEN n >=
 SELECT ticker, rn::BIGINT AS rn, CASE WHEN v IS NOT NULL THEN (v > t1)::INT + (v > t2)::INT + (v > t3)::INT + (v > t4)::INT END::INTEGER AS code FROM t""",
 )
 def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_rn(with_ratio(spark, sf_dir).select("ticker", "rn", "v").withColumn("code", reg.expanding_code(F.col("v"))).select("ticker", "rn", "code"))
+    return long_rn(reg.with_expanding_code(with_ratio(spark, sf_dir).select("ticker", "rn", "v"), "v", "code").select("ticker", "rn", "code"))
 
 
 @query("r5_stability", f"WITH {BARS}, {RUNS} SELECT ticker, rn::BIGINT AS rn, regime, regime IS NOT NULL AND run_len >= 3 AS regime_stable FROM k")
